@@ -6,35 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules
+from . import bpe, language, licenses, media, mixing, personal_data, quality_rules, warc
 from .common import table
-from .sql import MIX_SQL, QUALITY_SQL
+from .sql import LICENSE_SQL, MIX_SQL, QUALITY_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.detect(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
+def op8_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_quality_ledger,
+        op3_personal_data,
         op5_byte_bpe,
+        op6_language,
+        op8_wav_media,
         op9_source_mix,
+        op10_warc_round_trip,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": LICENSE_SQL,
     "op2_quality_ledger": QUALITY_SQL,
     "op9_source_mix": MIX_SQL,
+    "op10_warc_round_trip": WARC_SQL,
 }

@@ -1,5 +1,7 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
+from . import licenses, warc
+
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 
@@ -75,3 +77,54 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
        CAST(floor(rate) + (draw < rate - floor(rate))::INT AS BIGINT) AS copies,
        CAST((floor(rate) + (draw < rate - floor(rate))::INT) * size AS BIGINT) AS taken
 FROM dealt"""
+
+
+def license_sql() -> str:
+    names = ", ".join(f"('{name}', '{text}')" for name, text in licenses.SENTENCES.items())
+    steps, last = [], "l_start"
+    for i, (licence, seq) in enumerate(licenses.RULES):
+        want = "|" + "||".join(seq) + "|"
+        steps.append(
+            f"l_{i} AS (SELECT rid, doc_id, n, ids, replace(rest, '{want}', '/') AS rest,"
+            f" CASE WHEN contains(rest, '{want}') AND NOT list_contains(found, '{licence}')"
+            f" THEN list_append(found, '{licence}') ELSE found END AS found FROM {last})"
+        )
+        last = f"l_{i}"
+    return rf"""WITH l_dict(name, sentence) AS (VALUES {names}),
+l_docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+l_cut AS (SELECT rid, string_split(regexp_replace(t, '{licenses.SENTENCE_END}', chr(10), 'g'), chr(10)) AS s FROM l_docs),
+l_each AS (
+  SELECT rid, unnest(s) AS raw, unnest(generate_series(1, len(s))) AS nth FROM l_cut),
+l_known AS (
+  SELECT rid, nth, name FROM l_each JOIN l_dict
+    ON trim(regexp_replace(lower(raw), '{licenses.NOT_KEPT}', ' ', 'g')) = sentence),
+l_ids AS (
+  SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY nth) AS ids,
+         string_agg('|' || name || '|', '' ORDER BY nth) AS rest
+  FROM l_known GROUP BY rid),
+l_start AS (
+  SELECT rid, doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, coalesce(rest, '') AS rest,
+         CAST([] AS VARCHAR[]) AS found
+  FROM l_docs LEFT JOIN l_ids USING (rid)),
+{("," + chr(10)).join(steps)}
+SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, ids AS sentence_ids, array_to_string(found, ',') AS licences
+FROM {last}"""
+
+
+LICENSE_SQL = license_sql()
+
+WARC_SQL = f"""
+WITH w_pages AS (
+  SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS hex FROM pages),
+w_bits AS (
+  SELECT page_id, strlen(p) AS size, hex,
+         array_to_string(list_transform(generate_series(0, 31),
+           lambda k: substr('{warc.BASE32}', CAST(1 + ((
+             (CAST('0x' || substr(hex, 1 + 10 * CAST(k // 8 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS BIGINT)) & 31)) AS INT), 1)), '')
+           AS digest
+  FROM w_pages),
+w_first AS (SELECT *, min(page_id) OVER (PARTITION BY hex, size) AS first FROM w_bits)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM w_first"""
