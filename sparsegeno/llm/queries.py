@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, media, mixing, personal_data, quality_rules, warc
+from . import bpe, language, licenses, media, mixing, near_dups, personal_data, quality_rules, warc
 from .common import table
-from .sql import LICENSE_SQL, MIX_SQL, QUALITY_SQL, WARC_SQL
+from .sql import LICENSE_SQL, MIX_SQL, NEAR_SQL, QUALITY_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
         op3_personal_data,
         op5_byte_bpe,
         op6_language,
+        op7_near_duplicates,
         op8_wav_media,
         op9_source_mix,
         op10_warc_round_trip,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": LICENSE_SQL,
     "op2_quality_ledger": QUALITY_SQL,
+    "op7_near_duplicates": NEAR_SQL,
     "op9_source_mix": MIX_SQL,
     "op10_warc_round_trip": WARC_SQL,
 }

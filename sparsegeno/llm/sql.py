@@ -128,3 +128,29 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM w_first"""
+
+NEAR_SQL = r"""
+WITH RECURSIVE n_words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+n_sets AS (
+  SELECT rid, doc_id,
+         CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(generate_series(1, len(w) - 3),
+                   lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+  FROM n_words),
+n_each AS (SELECT rid, len(s) AS n, unnest(s) AS shingle FROM n_sets),
+n_pairs AS (
+  SELECT a.rid AS x, b.rid AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM n_each a JOIN n_each b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+n_links AS (SELECT x, y FROM n_pairs WHERE 100 * common >= 80 * (na + nb - common)),
+n_reach AS (
+  SELECT rid AS x, rid AS y FROM n_sets
+  UNION
+  SELECT n_reach.x, n_links.y FROM n_reach JOIN n_links ON n_reach.y = n_links.x),
+n_least AS (
+  SELECT n_reach.x AS rid, min(doc_id) AS component_id FROM n_reach JOIN n_sets ON n_reach.y = n_sets.rid GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM n_sets JOIN n_least USING (rid)"""
