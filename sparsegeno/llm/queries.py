@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, media, mixing, near_dups, personal_data, quality_rules, warc
+from . import bpe, language, licenses, media, mixing, near_dups, personal_data, quality_rules, substrings, warc
 from .common import table
 from .sql import LICENSE_SQL, MIX_SQL, NEAR_SQL, QUALITY_SQL, WARC_SQL
 
@@ -25,6 +25,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
         op1_license_scan,
         op2_quality_ledger,
         op3_personal_data,
+        op4_suffix_dedup,
         op5_byte_bpe,
         op6_language,
         op7_near_duplicates,
