@@ -9,8 +9,9 @@ threshold; each survivor is confirmed on the full sets.
 
 Equal sets are one node. Links are found without all pairs of a bucket:
 
-1. every node of a bucket is compared with the smallest node of the bucket (the hub);
-   links give components, which settles all large groups of near copies;
+1. every node is compared with one node, the smallest hub (first node) of its buckets; links
+   give components, which settles large groups of near copies; ``HUB_ROUNDS`` times, with
+   hubs in other components that weren't tried yet;
 2. buckets that still hold two or more components are searched for pairs across
    components, in blocks of ``BLOCK`` nodes, on sketches alone; only pairs that pass the
    estimate leave the task and are confirmed.
@@ -45,6 +46,7 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 11
 SLACK = 6 * math.sqrt(0.8 * 0.2 / REGISTERS)
+HUB_ROUNDS = 3
 #: Nodes in a block of the search across components, and members that a hub takes in one task.
 BLOCK, MEMBERS = 2048, 5000
 #: Bytes that are hashed at once; a longer word makes a longer piece.
@@ -222,10 +224,27 @@ def _by_nid(sk: DataFrame, used: DataFrame) -> DataFrame:
     return _table(one.select("nid", "node", "r.*"), "nodes")
 
 
-def _hub_pairs(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes, hub first, whose sketches pass the estimate."""
-    pairs = buckets.where("nid != hub").select("hub", "nid").distinct()
-    a = nodes.select(F.col("nid").alias("hub"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+def _proposals(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """(hub, nid): for each node the smallest hub of its buckets in another component, not tried yet.
+
+    One pair per node, however many buckets it shares.
+    """
+    rows = buckets.where("nid != hub").select("hub", "nid")
+    if labels is not None:
+        known = nodes.join(labels, "node").select("nid", "label")
+        own = known.groupBy("nid").agg(F.min("label").alias("own"))
+        rows = rows.distinct().join(own, "nid", "left")
+        rows = rows.join(own.withColumnsRenamed({"nid": "hub", "own": "theirs"}), "hub", "left")
+        rows = rows.where(F.col("own").isNull() | F.col("theirs").isNull() | (F.col("own") != F.col("theirs")))
+        rows = rows.select("hub", "nid").join(tried, ["hub", "nid"], "left_anti")
+    return cut(rows.groupBy("nid").agg(F.min("hub").alias("hub")).select("hub", "nid"))
+
+
+def _hub_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (hub, nid) those (a, b), hub first, whose sketches pass the estimate."""
+    a = nodes.select(
+        F.col("nid").alias("hub"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")
+    )
     b = nodes.select("nid", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     wide = pairs.join(a, "hub").join(b, "nid").select("a", "b", "na", "nb", "ra", "rb")
 
@@ -329,6 +348,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     Pairs are grouped by ``a``. A task reads a's text, then streams the texts of its
     partners; an ``a`` with many partners is copied to as many tasks as it needs.
     """
+    pairs = cut(pairs)
     texts = _texts(docs, nodes, pairs)
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("tasks"))
     hub = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("part"), F.col("a").alias("node"))
@@ -357,27 +377,38 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a string, b string")
 
 
+def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels of nodes after ``links`` have joined components; untouched single nodes stay absent."""
+    if labels is None:
+        return cut(components(links))
+    ends = labels.withColumnsRenamed({"node": "end", "label": "__label"})
+    for side in ("a", "b"):
+        links = links.join(ends.withColumnRenamed("end", side), side, "left")
+        links = links.withColumn(side, F.coalesce("__label", side)).drop("__label")
+    outer = components(links)
+    top = outer.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return cut(old.unionByName(outer.join(labels.select("node"), "node", "left_anti")))
+
+
 def _components(docs: DataFrame, sk: DataFrame) -> DataFrame:
     """(node, component_id) of every set; component_id is the smallest doc_id reachable."""
     buckets = _shared_buckets(sk)
     nodes = _by_nid(sk, buckets.select("nid"))
-    tried = cut(_hub_pairs(buckets, nodes))
-    labels = components(confirm(tried, docs, nodes))
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(_cross_pairs(buckets, nodes, labels).join(seen, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirm(rest, docs, nodes)
-        ends = labels.select(F.col("node").alias("end"), "label")
-        for side in ("a", "b"):
-            more = more.join(ends.withColumnRenamed("end", side), side, "left")
-            more = more.withColumn(side, F.coalesce("label", side)).drop("label")
-        outer = components(more)
-        joined = labels.join(outer.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-        labels = joined.select("node", F.coalesce("top", "label").alias("label")).unionByName(
-            outer.join(labels.select("node"), "node", "left_anti")
-        )
-        labels = cut(labels)
+    labels, tried = None, None
+    for _ in range(HUB_ROUNDS):
+        pairs = _proposals(buckets, nodes, labels, tried)
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = _merge(labels, confirm(_hub_pairs(pairs, nodes), docs, nodes))
+    if labels is not None:
+        rest = cut(_cross_pairs(buckets, nodes, labels))
+        if not rest.isEmpty():
+            labels = _merge(labels, confirm(rest, docs, nodes))
     own = sk.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    if labels is None:
+        return own.select("node", F.col("doc").alias("component_id"))
     own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("doc").alias("component_id"))
     return own.select("node", "label").join(least, "label").select("node", "component_id")
