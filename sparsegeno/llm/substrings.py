@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path
@@ -334,6 +334,13 @@ def cover(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int,
 
 # -- Spark -----------------------------------------------------------------------------------
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 INTERVAL = "doc_id long, t8 long, a int, b int"
 
 
@@ -455,40 +462,25 @@ def _counted_cover(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
 def intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, t8, a, b): byte intervals whose union is exactly what occurs elsewhere, too."""
-    spark = docs.sparkSession
-    by_key = Window.partitionBy("key")
-    by_context = Window.partitionBy("key", "c1", "c2")
-    rows = anchor_rows(docs, length, gram).repartition("key")  # one shuffle for both windows
-    rows = rows.withColumns(
-        {
-            "n": F.count("*").over(by_context),
-            "nth": F.row_number().over(by_context.orderBy("doc_id", "t8", "pos")),
-        }
-    )
-    rows = rows.withColumn("contexts", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_key))
-    rows = rows.where("n > 1 or contexts > 1")
-    rows = rows.select(
-        "doc_id",
-        "t8",
-        "pos",
-        "ra",
-        "key",
-        (F.col("n") > 1).alias("settled"),
-        ((F.col("nth") == 1) & (F.col("contexts") > 1)).alias("sort"),
-        (F.col("contexts") > hot).alias("hot"),
-    )
-    path = new_path(spark, "anchors")
-    rows.write.parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
+    # most keys occur once; a semi-join (which Spark can split at hot keys) leaves the others
+    rows = _table(anchor_rows(docs, length, gram), "anchors")
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = _table(rows.join(often, "key", "left_semi"), "candidates")
+    same = ["key", "c1", "c2"]
+    groups = rows.groupBy(same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t8", "pos")).alias("first"))
+    groups = _table(groups, "contexts")
     # equal contexts: every string around the anchor that fits into the document
     most = F.least(F.lit(length - gram), F.col("pos"))
     least = F.greatest(F.lit(0), length - F.col("ra"))
-    equal = rows.where("settled").where(least <= most)
+    equal = rows.join(groups.where("n > 1").select(same), same, "left_semi").where(least <= most)
     equal = equal.select("doc_id", "t8", (F.col("pos") - most).alias("a"), (F.col("pos") - least + length).alias("b"))
-    wanted = rows.where("sort").select("doc_id", "t8", "pos", "key", "hot", "settled")
+    per_key = groups.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    wanted = groups.join(per_key, "key").select(
+        "first.*", "key", (F.col("contexts") > hot).alias("hot"), (F.col("n") > 1).alias("settled")
+    )
     contexts = _contexts(docs, wanted, length, gram)
     out = equal.unionByName(_sorted_cover(contexts.where("not hot"), length, gram))
-    if not rows.where("sort and hot").isEmpty():
+    if not per_key.where(F.col("contexts") > hot).isEmpty():
         out = out.unionByName(_counted_cover(contexts.where("hot"), length, gram))
     return out
 
