@@ -12,9 +12,11 @@ Equal sets are one node. Links are found without all pairs of a bucket:
 1. every node is compared with one node, the smallest hub (first node) of its buckets; links
    give components, which settles large groups of near copies; ``HUB_ROUNDS`` times, with
    hubs in other components that weren't tried yet;
-2. buckets that still hold two or more components are searched for pairs across
-   components, in blocks of ``BLOCK`` nodes, on sketches alone; only pairs that pass the
-   estimate leave the task and are confirmed.
+2. buckets that still hold two or more components are searched for links across
+   components, in blocks of bounded size. A pair is looked at in the first band that it
+   shares; if the estimate lets it pass and the task hasn't joined its components yet, it is
+   confirmed on the spot. Only links that join components leave the task, so there are
+   never more than nodes.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^5)^40 = 1.2e-7, and
 the estimate's slack is six standard deviations.
@@ -46,9 +48,9 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 11
 SLACK = 6 * math.sqrt(0.8 * 0.2 / REGISTERS)
-HUB_ROUNDS = 3
-#: Nodes in a block of the search across components, and members that a hub takes in one task.
-BLOCK, MEMBERS = 2048, 5000
+HUB_ROUNDS = 2
+#: Nodes and shingles in a block of the search across components; members of a hub in one task.
+BLOCK, BLOCK_SHINGLES, MEMBERS = 2048, 4_000_000, 5000
 #: Bytes that are hashed at once; a longer word makes a longer piece.
 PIECE = 1 << 22
 
@@ -207,8 +209,8 @@ def _table(df: DataFrame, name: str) -> DataFrame:
 
 
 def _shared_buckets(sk: DataFrame) -> DataFrame:
-    """(bucket, hub, nid) of the buckets with two or more different nodes."""
-    spread = sk.where("node is not null").select(F.explode("bands").alias("bucket"), _short())
+    """(band, bucket, hub, nid) of the buckets with two or more different nodes."""
+    spread = sk.where("node is not null").select(F.posexplode("bands").alias("band", "bucket"), _short())
     hubs = spread.groupBy("bucket").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"))
     hubs = hubs.where("hub != last").select("bucket", "hub")
     return _table(spread.join(hubs, "bucket").distinct(), "buckets")
@@ -262,70 +264,100 @@ def _hub_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, "a string, b string")
 
 
-def _cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components inside one bucket whose sketches pass the estimate."""
-    known = nodes.join(labels, "node", "left").select(
-        "nid", "node", "n", "registers", F.coalesce("label", "node").alias("label")
-    )
-    named = buckets.select("bucket", "nid").join(known.select("nid", "label"), "nid")
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(a, b)
+    return int((a[np.minimum(at, len(a) - 1)] == b).sum())
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    common = _common(a, b)
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+class _Block:
+    """Nodes of one bucket that meet in one task."""
+
+    def __init__(self):
+        self.own, self.node, self.label, self.registers, self.sets = [], [], [], [], []
+
+    def links(self, i: int, j: int, band: int) -> Iterator[tuple[str, str]]:
+        """Links between blocks i and j that join components which nothing here has joined before."""
+        own, n = np.array(self.own), np.array([len(s) for s in self.sets])
+        part = np.unique(self.label, return_inverse=True)[1]
+        reg = np.frombuffer(b"".join(self.registers), np.uint16).reshape(-1, REGISTERS)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for k in left:
+            others = right[right > k] if i == j else right
+            others = others[part[others] != part[k]]
+            if not len(others):
+                continue
+            equal = reg[others] == reg[k]
+            good = may_link(equal.sum(axis=1), n[others], np.broadcast_to(n[k], len(others)))
+            others, equal = others[good], equal[good]
+            first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            others, equal = others[first], equal[first]
+            for o in others[np.argsort(-equal.sum(axis=1), kind="stable")]:
+                if part[o] != part[k] and _linked(self.sets[k], self.sets[o]):
+                    part[part == part[o]] = part[k]
+                    yield self.node[k], self.node[o]
+
+
+def _cross_links(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) across components inside one bucket; enough of them to join all that have any."""
+    known = nodes.join(labels, "node", "left").select("nid", "node", "n", F.coalesce("label", "node").alias("label"))
+    known = cut(known)
+    named = buckets.select("bucket", "nid").join(known, "nid")
     mixed = named.groupBy("bucket").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.sum("n").alias("total")
     )
-    mixed = mixed.where("lo != hi").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = buckets.select("bucket", "nid").join(mixed, "bucket").join(known, "nid")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own)
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.where("lo != hi").select("bucket", blocks.alias("blocks"))
+    rows = cut(buckets.select("band", "bucket", "nid").join(mixed, "bucket"))
+    used = nodes.join(rows.select("nid").distinct(), "nid", "left_semi")
+    texts = _texts(docs, used, used.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    full = known.join(used.select("node", "registers"), "node").join(texts, "node")
+    full = full.select("nid", "node", "label", "registers", "text")
+    rows = rows.join(full, "nid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     # a block meets every block once: block pairs (least, greatest)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "registers", "label"
+        "bucket",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        "band",
+        "own",
+        "node",
+        "label",
+        "registers",
+        "text",
     )
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def search(group: dict[str, list], i: int, j: int) -> Iterator[tuple[str, str]]:
-        own = np.array(group["own"])
-        n = np.array(group["n"])
-        node = group["node"]
-        label = np.unique(group["label"], return_inverse=True)[1]
-        reg = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for k in left:
-            others = right[right > k] if i == j else right
-            others = others[label[others] != label[k]]
-            if len(others):
-                good = may_link((reg[others] == reg[k]).sum(axis=1), n[others], np.broadcast_to(n[k], len(others)))
-                for o in others[good]:
-                    yield min(node[k], node[o]), max(node[k], node[o])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("own", "node", "n", "registers", "label")
-        key, group = None, {x: [] for x in names}
-        pairs: set[tuple[str, str]] = set()
+        key, block, found = None, _Block(), []
+
+        def close() -> None:
+            if key is not None and len(block.own) > 1:
+                found.extend(block.links(*key[1:]))
 
         def flush() -> pa.RecordBatch:
-            out = sorted(pairs)
-            pairs.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], ["a", "b"]
-            )
+            out = [pa.array([x[c] for x in found], pa.string()) for c in (0, 1)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(out, ["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            columns = {x: batch.column(batch.schema.get_field_index(x)).to_pylist() for x in names}
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if key != tuple(keys[s]):
-                    if key is not None and len(group["n"]) > 1:
-                        pairs.update(search(group, key[1], key[2]))
-                    key, group = tuple(keys[s]), {x: [] for x in names}
-                for x in names:
-                    group[x] += columns[x][s:e]
-            if len(pairs) > 10_000:
-                yield flush()
-        if key is not None and len(group["n"]) > 1:
-            pairs.update(search(group, key[1], key[2]))
+            for row in batch.to_pylist():
+                here = (row["bucket"], row["i"], row["j"], row["band"])
+                if here != key:
+                    close()
+                    key, block = here, _Block()
+                for name in ("own", "node", "label", "registers"):
+                    getattr(block, name).append(row[name])
+                block.sets.append(shingles(row["text"]))
+            yield flush()
+        close()
         yield flush()
 
     return rows.mapInArrow(run, "a string, b string").distinct()
@@ -367,8 +399,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 if part == 0:
                     hub, own = a, found
                 elif hub == a:
-                    common = len(np.intersect1d(own, found, assume_unique=True))
-                    if 100 * common >= PERCENT * (len(own) + len(found) - common):
+                    if _linked(own, found):
                         links.append((a, node))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in links], pa.string()), pa.array([y for _, y in links], pa.string())], ["a", "b"]
@@ -403,9 +434,9 @@ def _components(docs: DataFrame, sk: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         labels = _merge(labels, confirm(_hub_pairs(pairs, nodes), docs, nodes))
     if labels is not None:
-        rest = cut(_cross_pairs(buckets, nodes, labels))
+        rest = cut(_cross_links(docs, buckets, nodes, labels))
         if not rest.isEmpty():
-            labels = _merge(labels, confirm(rest, docs, nodes))
+            labels = _merge(labels, rest)
     own = sk.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
     if labels is None:
         return own.select("node", F.col("doc").alias("component_id"))
