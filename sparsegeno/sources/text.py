@@ -55,22 +55,30 @@ def scan_beagle(
     rows = lines.where("line > 0").select((F.col("line") - 1).alias("site_idx"), "value")
     if site_mask is not None:
         rows = rows.join(site_mask.where("keep = 1").select("site_idx"), "site_idx", "left_semi")
-    t = rows.select("site_idx", F.slice(tokens(F.col("value")), 4, 2**31 - 1).alias("t"))
-    if sample_mask is None:
-        at = F.sequence(F.lit(0), (F.size("t") / 3).cast("int") - 1)
-    else:
-        if set(sample_mask) - {0, 1}:
-            raise ValueError("a sample mask holds 0 and 1 only")
-        at = F.array(*(F.lit(i) for i, keep in enumerate(sample_mask) if keep))
+    if sample_mask is not None and set(sample_mask) - {0, 1}:
+        raise ValueError("a sample mask holds 0 and 1 only")
 
-    def part(k: int, name: str) -> Column:
-        return F.transform(at, lambda i: F.get("t", i * 3 + k).cast("double")).alias(name)
+    def number(t: Column, i: Column, k: int) -> Column:
+        return F.get(t, i * 3 + (k + 3)).cast("double")
 
-    if check:
-        total = F.transform(at, lambda i: sum((F.get("t", i * 3 + k).cast("double") for k in range(3)), F.lit(0.0)))
-        good = F.forall(total, lambda x: F.abs(x - 1.0) < 1e-3)
-        t = t.withColumn("t", F.when(good, F.col("t")).otherwise(F.raise_error(F.lit("likelihoods don't sum to 1"))))
-    return t.select("site_idx", part(0, "l0"), part(1, "l1"))
+    def arrays(t: Column) -> Column:
+        if sample_mask is None:
+            at = F.sequence(F.lit(0), (F.size(t) / 3).cast("int") - 2)
+        else:
+            at = F.array(*(F.lit(i) for i, keep in enumerate(sample_mask) if keep))
+        parts = [
+            F.transform(at, lambda i: number(t, i, 0)).alias("l0"),
+            F.transform(at, lambda i: number(t, i, 1)).alias("l1"),
+        ]
+        if check:
+            bad = F.exists(at, lambda i: F.abs(number(t, i, 0) + number(t, i, 1) + number(t, i, 2) - 1.0) > 1e-3)
+            failed = F.raise_error(F.lit("likelihoods don't sum to 1")).cast("array<double>")
+            parts[0] = F.when(bad, failed).otherwise(parts[0]).alias("l0")
+        return F.struct(*parts)
+
+    # the tokens are bound once per line, as the variable of a one-element transform
+    cells = rows.select("site_idx", F.transform(F.array(tokens(F.col("value"))), arrays).getItem(0).alias("c"))
+    return cells.select("site_idx", "c.l0", "c.l1")
 
 
 def call_likelihoods(code: Column, error: float) -> Column:
@@ -113,11 +121,9 @@ class BedReader(DataSourceReader):
     def _open(self):
         from pyarrow import fs
 
-        if "://" in self.path or self.path.startswith("file:"):
-            system, inner = fs.FileSystem.from_uri(self.path.replace("file:/", "file:///", 1) if "://" not in self.path else self.path)
-        else:
-            system, inner = fs.LocalFileSystem(), self.path
-        return system, inner
+        if "://" in self.path:
+            return fs.FileSystem.from_uri(self.path)
+        return fs.LocalFileSystem(), self.path.removeprefix("file:")
 
     def partitions(self) -> list[InputPartition]:
         system, inner = self._open()
