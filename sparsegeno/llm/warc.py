@@ -117,8 +117,8 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     """Candidate records of all archives below ``path`` with their offsets and headers.
 
-    Whole records leave only their digests; text is carried on only for pieces that are
-    no whole record by themselves.
+    Pieces that look like whole records leave only digests (``mark`` is that of the piece);
+    text is carried on only for the others.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     raw = raw.select(
@@ -152,6 +152,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("whole"), F.octet_length(body).cast("long")).alias("payload_bytes"),
         F.when(F.col("whole"), base32(F.sha1(body.cast("binary")))).alias("sha1"),
         F.when(~F.col("whole"), F.col("value")).alias("value"),
+        F.when(F.col("whole"), F.md5(F.col("value").cast("binary"))).alias("mark"),
     )
     order = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
     # before the first magic there is an empty piece, so the first record starts at 0
@@ -171,7 +172,7 @@ def _payload(text: Column) -> Column:
 def _chains(pieces: DataFrame) -> DataFrame:
     """(file, start) of the records that the chain from the file's start reaches."""
 
-    def walk(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start")
         start = rows["start"].to_numpy(np.int64)
         span = rows["span"].fillna(0).to_numpy(np.int64)
@@ -182,6 +183,20 @@ def _chains(pieces: DataFrame) -> DataFrame:
     return links.groupBy("file").applyInPandas(walk, "file string, start long")
 
 
+def _with_texts(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
+    """``parts`` with the texts of pieces that look like records but lie in a payload.
+
+    They are rare; only if there are any the archives are read once more for them.
+    """
+    lost = parts.where("whole").select("mark").distinct()
+    if lost.isEmpty():
+        return parts
+    raw = spark.read.option("lineSep", MAGIC).text(path)
+    raw = raw.select(F.md5(F.col("value").cast("binary")).alias("mark"), F.col("value").alias("again"))
+    found = raw.join(lost, "mark", "left_semi").dropDuplicates(["mark"])
+    return parts.join(found, "mark", "left").withColumn("value", F.coalesce("value", "again")).drop("again")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest of every verified record."""
     pieces = cut(read_pieces(spark, path))
@@ -191,12 +206,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     record = F.last(F.when(F.col("is_record"), F.col("start")), ignorenulls=True).over(order)
     pieces = cut(pieces.withColumn("record", record).where("record is not null"))
     single = pieces.where("is_record and whole").select("head", "payload_bytes", "sha1")
-    parts = pieces.where("not (coalesce(is_record, false) and whole)")
+    parts = _with_texts(spark, path, pieces.where("not (coalesce(is_record, false) and whole)"))
     joined = parts.groupBy("file", "record").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), MAGIC
         ).alias("text"),
-        F.first("head", ignorenulls=True).alias("__any"),
         F.max(F.when(F.col("is_record"), F.col("head"))).alias("head"),
     )
     body = _payload(F.col("text"))
