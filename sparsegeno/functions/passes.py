@@ -57,25 +57,34 @@ def with_site_columns(panel: DataFrame, make: Callable[[Columns], Columns], **ki
     return panel.mapInArrow(run, schema)
 
 
-def site_sums(panel: DataFrame, make: Callable[[Columns], np.ndarray]) -> DataFrame:
+def site_sums(panel: DataFrame, make: Callable[[Columns], np.ndarray], mean: bool = False) -> DataFrame:
     """(i, j, v): the matrix that ``make`` gives for batches of sites, summed over all sites.
 
-    Each task adds up its own batches; only one matrix per task is shuffled, by cell.
+    Each task adds up its own batches; only one matrix per task is shuffled, by cell. Every
+    cell comes with the task's number of sites, so the ``mean`` per site needs no second pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, sites = None, 0
         for batch in _batches(batches):
+            sites += batch.num_rows
             part = np.atleast_2d(make({n: to_numpy(c) for n, c in zip(batch.schema.names, batch.columns, strict=True)}))
             total = part if total is None else total + part
         if total is not None:
             i, j = np.indices(total.shape, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel().astype(np.float64))], ["i", "j", "v"]
+                [
+                    pa.array(i.ravel()),
+                    pa.array(j.ravel()),
+                    pa.array(total.ravel().astype(np.float64)),
+                    pa.array(np.full(total.size, sites, np.int64)),
+                ],
+                ["i", "j", "v", "sites"],
             )
 
-    parts = panel.mapInArrow(run, "i int, j int, v double")
-    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    parts = panel.mapInArrow(run, "i int, j int, v double, sites long")
+    total = F.sum("v") / F.sum("sites") if mean else F.sum("v")
+    return parts.groupBy("i", "j").agg(total.alias("v"))
 
 
 def collect_matrix(cells: DataFrame) -> np.ndarray:

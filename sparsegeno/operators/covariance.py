@@ -44,13 +44,9 @@ def dosage_out(panel: DataFrame) -> DataFrame:
     return with_site_columns(panel, lambda c: {"e": k.dosage(c["l0"], c["l1"], c["pi"])}, e=ARRAY)
 
 
-def gram(panel: DataFrame, column: str = "e") -> DataFrame:
-    """(i, j, v): inner products of samples over all sites."""
-    return site_sums(panel, lambda c: c[column].T @ c[column])
-
-
-def _scaled(cells: DataFrame, sites: int) -> DataFrame:
-    return cells.select("i", "j", (F.col("v") / float(max(sites, 1))).alias("v"))
+def gram(panel: DataFrame, column: str = "e", mean: bool = False) -> DataFrame:
+    """(i, j, v): inner products of samples over all sites, or their mean per site."""
+    return site_sums(panel, lambda c: c[column].T @ c[column], mean)
 
 
 def covariance(panel: DataFrame, pi: str | None = None) -> DataFrame:
@@ -66,7 +62,7 @@ def covariance(panel: DataFrame, pi: str | None = None) -> DataFrame:
         np.fill_diagonal(out, k.spread(c["l0"], c["l1"], p, c["f"]).sum(axis=0))
         return out
 
-    return _scaled(site_sums(panel, make), panel.count())
+    return site_sums(panel, make, mean=True)
 
 
 def pi_standardised(panel: DataFrame) -> DataFrame:
@@ -81,4 +77,4 @@ def pi_standardised(panel: DataFrame) -> DataFrame:
 
 def pi_covariance(panel: DataFrame) -> DataFrame:
     """(i, j, v): mean product of standardised individual frequencies."""
-    return _scaled(gram(pi_standardised(panel), "z"), panel.count())
+    return gram(pi_standardised(panel), "z", mean=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def scans(panel: DataFrame, components: int) -> DataFrame:
     samples: selection = M (eV / s)^2, weight = (eV) s / M, and pcadapt is eV over the
     residual's standard deviation with N - K degrees of freedom (0 without a residual).
     """
-    rows = dosage_std(panel)
+    rows = dosage_std(panel).persist(StorageLevel.MEMORY_AND_DISK)  # read for the count, the products, the scores
     sites = rows.count()
     if not sites:
         return rows.drop("e").selectExpr("*", *(f"cast(null as {ARRAY}) as {c}" for c in ("selection", "pcadapt", "weight")))
