@@ -10,7 +10,7 @@ threshold; each survivor is confirmed on the full sets.
 Equal sets are one node. Links are found without all pairs of a bucket:
 
 1. every node is compared with one node, the smallest hub (first node) of its buckets; links
-   give components, which settles large groups of near copies; ``HUB_ROUNDS`` times, with
+   give components, which settles large groups of near copies; ``HUB_ROUNDS`` times, the later ones with
    hubs in other components that weren't tried yet;
 2. buckets that still hold two or more components are searched for links across
    components, in blocks of bounded size. A pair is looked at in the first band that it
@@ -48,7 +48,7 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 11
 SLACK = 6 * math.sqrt(0.8 * 0.2 / REGISTERS)
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Nodes and shingles in a block of the search across components; members of a hub in one task.
 BLOCK, BLOCK_SHINGLES, MEMBERS = 2048, 4_000_000, 5000
 #: Bytes that are hashed at once; a longer word makes a longer piece.
