@@ -7,7 +7,7 @@ rows kept out of the fit, are redacted, the best first where they overlap.
 
 The trees are fitted on a bounded sample: at most ``SAMPLE_DOCS`` documents chosen by
 hash (about ``SAMPLE_DOCS`` in expectation) and ``SAMPLE_SPANS`` candidates, weakly labelled
-by ``weak_label``, plus ``SEEDED`` made-up examples so that both classes always occur.
+by ``weak_label``, plus the spans of ``SEEDED`` made-up pairs of texts so that both classes occur.
 Every document is searched whole.
 
 Defined results: null and empty texts have no spans. Positions are code points, ends
