@@ -2,7 +2,9 @@
 
 Texts are cut into sentences, sentences are normalised and mapped to identifiers of known
 licence sentences, and the sequence of identifiers is matched against ordered rules. The
-first rule that finds its sequence takes it out; the next rules see what is left.
+first rule that finds its sequence takes it out; the next rules see what is left. A
+sentence is found on lines of its own, on part of a line after and before other sentences,
+and wrapped over several lines, in comments too.
 
 Native: one narrow pass of DataFrame functions, no shuffle; the dictionary and the rules
 are fixed literals of the plan.
@@ -72,27 +74,50 @@ RULES = (
     ("Unlicense", ("unlicense-domain",)),
     ("Proprietary", ("all-rights",)),
 )
-#: Every known sentence holds one of these; other sentences are not looked up.
-TRIGGER = "licen[sc]e|permission|copyright|warranty|redistribution|public domain|licensed"
-#: Sentences end at a line break, or at . ! ? ; before white space or the end.
+# The dictionary above is also that of the SQL. These are found by the scan alone: sentences that
+# the original cuts at a semicolon.
+CUT_SENTENCES = {
+    "gpl-hope-useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-hope-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+}
+CUT_RULES = (("GPL-3.0-or-later", ("gpl-free", "gpl-hope-useful", "gpl-hope-implied")),)
+#: Every known sentence holds one of these; other texts are not cut.
+TRIGGER = "licen[sc]e|permission|copyright|warranty|redistribution|public[^a-z0-9]+domain|licensed"
+#: Sentences end at . ! ? ; before white space or the end; in the SQL, at each line break too.
 SENTENCE_END = r"[.!?;]+([\x20\x09-\x0D]|\z)"
+#: The same, but for the dot of a version: v. 2.0
+END = r"(?!(?<=\bv)\.[\x20\x09-\x0D]+[0-9])" + SENTENCE_END
 NOT_KEPT = r"[^a-z0-9.-]+"
+#: What stands before the words of a line: comment signs, dashes, quotes.
+LEADER = r"(^|\n)[^a-z0-9\n]+"
+#: Numbers of list items at the start of a line, as left by LEADER.
+ITEM = r"(^|\n)([0-9]{1,2}|[ivx]{1,4}|[a-z])\)"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; runs of anything but letters, digits, dots and hyphens become one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_KEPT, " "))
-
+def marked(text: Column) -> Column:
+    """Lower case words with single spaces, L for line breaks and S for ends of sentences.
 
-def sentences(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(text, SENTENCE_END, "\n"), "\n"), normalised)
+    Runs of anything but letters, digits, dots and hyphens are one space; capitals are free
+    for the marks.
+    """
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), LEADER, "$1"), ITEM, "$1S")
+    out = F.regexp_replace(F.regexp_replace(out, END, "S"), r"[^a-z0-9.\nS-]+", " ")
+    out = F.regexp_replace(out, r" ?\n[ \n]*", "L")
+    return F.trim(F.regexp_replace(out, "[ SL]*S[ SL]*", "S"))
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*(F.lit(x) for name, s in SENTENCES.items() for x in (s, name)))
-    marked = F.filter(sentences(text), lambda s: F.rlike(s, F.lit(TRIGGER)))
-    found = F.filter(F.transform(marked, lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
+    """Identifiers of the known sentences of a text, in order.
+
+    A sentence begins and ends at a mark or an end of the text; its words can be wrapped over any lines.
+    """
+    entries = SENTENCES | CUT_SENTENCES
+    known = F.create_map(*(F.lit(x) for name, s in entries.items() for x in (s, name)))
+    # the longest first, as one sentence may be the first lines of another
+    words = (s.replace(".", r"\.").replace(" ", "[ L]") for s in sorted(entries.values(), key=len, reverse=True))
+    pattern = F.lit("(?<![^SL])(?:" + "|".join(words) + ")(?![^SL])")
+    each = F.regexp_extract_all(marked(text), pattern, F.lit(0))
+    found = F.transform(each, lambda s: F.element_at(known, F.replace(s, F.lit("L"), F.lit(" "))))
     has = F.coalesce(F.rlike(F.lower(text), F.lit(TRIGGER)), F.lit(False))
     return F.when(has, found).otherwise(F.array().cast("array<string>"))
 
@@ -102,7 +127,7 @@ def match_rules(ids: Column) -> Column:
     rules = F.array(
         *(
             F.struct(F.lit(name).alias("name"), F.lit("|" + "||".join(seq) + "|").alias("seq"))
-            for name, seq in RULES
+            for name, seq in CUT_RULES + RULES
         )
     )
     # each identifier is written |id|; what a rule takes leaves a bar, so neighbours don't close up

@@ -488,3 +488,74 @@ def test_licences(spark):
     ]
     got = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: ["MIT"], 2: ["MIT"], 3: ["Apache-2.0", "CC-BY-NC-4.0"], 4: [], 5: [], 6: ["CC-BY-NC-4.0"]}
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+(2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing
+""",
+    "Unlicense": "This is free and unencumbered software released into the public\ndomain.\n",
+}
+WRAPPED_IDS = {
+    "MIT": "mit-grant mit-condition as-is",
+    "BSD-2-Clause": "bsd-grant bsd-source bsd-binary",
+    "GPL-3.0-or-later": "gpl-free gpl-hope-useful gpl-hope-implied",
+    "MPL-2.0": "mpl-2.0-notice",
+    "Apache-2.0": "apache-2.0-notice-the apache-2.0-comply apache-2.0-copy",
+    "Unlicense": "unlicense-domain",
+}
+
+
+def test_wrapped_licences(spark):
+    rows, want = [], []
+    for name, text in WRAPPED.items():
+        for leader in ("", "# ", " * ", ";; ", "-- "):
+            body = "".join(leader + line + "\n" for line in text.splitlines())
+            rows.append((len(rows), f"Some heading\n{body}code = 1\n"))
+            want.append(([name], WRAPPED_IDS[name].split()))
+    rows.append((len(rows), "Licensed under the MIT License\nLicensed under CC BY 4.0\nand more\nreleased under the MIT license (no)"))
+    want.append((["MIT", "CC-BY-4.0"], ["mit-notice-licensed", "cc-by-4.0-notice"]))
+    got = {r["doc_id"]: (r["licences"], r["sentence_ids"]) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i, _ in rows] == want
