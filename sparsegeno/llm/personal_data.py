@@ -91,8 +91,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators: every run that holds a digit and could be a key, an account or a contact.
-_secret = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,512}+").finditer
-_account = re.compile(r"(?<![A-Za-z0-9])[A-Z]{0,2}[0-9](?:[ ./-]?[A-Z0-9]){7,33}+(?![A-Za-z0-9])").finditer
+_secret = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+").finditer
+# not possessive: the run can enter a following word and must back out of it (by 26 steps at most)
+_account = re.compile(r"(?<![A-Za-z0-9])[A-Z]{0,2}[0-9](?:[ ./-]?[A-Z0-9]){7,33}(?![A-Za-z0-9])").finditer
+# where words in capitals begin: those that end the run, and, in a number, any of three letters or more
+_words_last = re.compile(r"(?:[ ./-][A-Z]+)++\Z").finditer
+_words = re.compile(r"[ ./-](?=[A-Z]{3,}(?![A-Z0-9]))|(?:[ ./-][A-Z]+)++\Z").finditer
 _contact = re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ .-]?[0-9]{2,5}){2,4}+(?![0-9])").finditer
 _run = re.compile(r"[^\s]*[0-9][^\s]*(?: [0-9(][^\s]*)*").finditer
 CUES = {
@@ -111,6 +115,11 @@ def candidates(text: str) -> list[Span]:
         for m in find(text):
             if _digit(m[0]):
                 out.add((kind, *m.span()))
+    for kind, a, b in [c for c in out if c[0] == "account"]:
+        # capitals after an account may be words: it is proposed with and without them
+        for w in (_words if text[a].isdigit() else _words_last)(text[a:b]):
+            if sum(map(str.isalnum, text[a : a + w.start()])) >= 8:
+                out.add((kind, a, a + w.start()))
     return sorted(out)
 
 

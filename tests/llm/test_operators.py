@@ -295,6 +295,28 @@ def test_long_runs_take_linear_time():
         personal_data.candidates(text)
 
 
+@pytest.mark.parametrize("after", [" For details", ". Please", "/Ref", "-Xy", " FOR DETAILS", " PLEASE CONTACT THE OFFICE IN TOWN TODAY", " FOR 3 DAYS"])
+@pytest.mark.parametrize("number", ["1234567890", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"])
+def test_accounts_before_words(number, after):
+    text = f"account {number}{after}"
+    want = {("account", 8, 8 + len(number))}
+    if number[0].isalpha() and after == " FOR 3 DAYS":  # may be a part of it
+        want = {("account", 8, 8 + len(number) + 6)}
+    assert want <= set(personal_data.candidates(text))
+
+
+def test_long_secrets_are_redacted_whole(spark):
+    key = "".join(random.Random(1).choices("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789", k=1500))
+    rows = [(1, f'token = "{key}"'), (2, "account: 1234567890 For details")]
+    got = {r["doc_id"]: r["text"] for r in personal_data.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 'token = "[SECRET]"', 2: "account: [ACCOUNT] For details"}
+
+
+def test_capitals_take_linear_time():
+    for text in ("1A " * 100_000, "12345678 A" * 50_000, "A1-" * 100_000, "aB3" * 100_000, "1 2 3 4 5 6 7 8a " * 20_000):
+        personal_data.candidates(text)
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
