@@ -61,8 +61,8 @@ def read_wav(media: bytes) -> bytes:
 def spectrogram(samples: np.ndarray) -> Iterator[np.ndarray]:
     """Magnitudes of the short-time Fourier transform, a block of frames at a time."""
     x = samples.astype(np.float64) - 128.0
-    if x.size < FRAME:
-        x = np.pad(x, (0, FRAME - x.size))
+    # silence up to a whole number of hops, so that the last samples lie in a frame
+    x = np.pad(x, (0, FRAME - x.size if x.size < FRAME else -(x.size - FRAME) % HOP))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     for i in range(0, len(frames), BLOCK):
         yield np.abs(np.fft.rfft(frames[i : i + BLOCK] * _window, axis=1))

@@ -361,6 +361,15 @@ def test_media(sample):
     assert len(one["times"]) == len(one["codes"])
 
 
+@pytest.mark.parametrize("n", [576, 640, 704, 768, 832])
+def test_last_samples_reach_the_spectrogram(n):
+    x = np.full(n, 128, np.uint8)
+    y = x.copy()
+    y[-40:] = np.arange(40) * 5
+    first, second = (np.concatenate(list(media.spectrogram(s))) for s in (x, y))
+    assert not np.allclose(first, second)
+
+
 def test_peaks_of_a_tone():
     t = np.arange(40 * media.HOP)
     samples = (128 + 100 * np.sin(2 * np.pi * 40 * t / media.FRAME) * (t % 4096 < 2048)).astype(np.uint8)
