@@ -5,9 +5,10 @@ by zstandard with each of them; the language with the smallest result wins, and
 margin marks the row as rejected. Before both, letters are put in lower case and every
 run of other characters becomes one space, so capitals and junk don't decide.
 
-The dictionaries are fitted on a bounded sample of labelled rows: at most
-``ROWS_PER_LANGUAGE`` texts of at most ``ROW_BYTES`` bytes, ``DICT_BYTES`` bytes in all,
-per language, chosen by a hash of the row. Every text is classified whole.
+Every language with a labelled text is learned. The dictionaries are fitted on a bounded
+sample of labelled rows: at most ``ROWS_PER_LANGUAGE`` texts, each cut after ``ROW_BYTES``
+characters, ``DICT_BYTES`` bytes in all (fewer if all languages would take more than
+``MODEL_BYTES``), per language, chosen by a hash of the row. Every text is classified whole.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for
 every text if no language could be learned. A null doc_id counts as the text '' in the
@@ -25,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_LANGUAGE, ROW_BYTES, DICT_BYTES = 400, 8192, 110_000
-#: Languages beyond this number (the rarest) are not learned; a bound on the model.
-LANGUAGES = 64
+#: All dictionaries together; with more than 64 languages each gets an equal share.
+MODEL_BYTES = 64 * DICT_BYTES
 LEVEL = 6
 #: Relative margin below which a prediction counts as rejected.
 MARGIN = 0.01
@@ -45,31 +46,27 @@ def split_of(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
-    """Texts per language from a bounded, hash-chosen sample; at most LANGUAGES * DICT_BYTES bytes."""
-    rows = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("n"))
-    rows = rows.where(
-        F.col("lang").isNotNull() & (F.col("n") > 0) & (F.col("n") <= ROW_BYTES) & (split_of(docs["doc_id"]) != 1)
-    )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Texts per language from a bounded, hash-chosen sample; about MODEL_BYTES bytes at most."""
+    text = F.substring("text", 1, ROW_BYTES)
+    size = F.abs(F.xxhash64("doc_id", "text").cast("double"))
+    rows = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (split_of(docs["doc_id"]) != 1))
+    rows = rows.select(text.alias("text"), "lang", size.alias("h"), F.octet_length(text).alias("n"))
+    counts = rows.groupBy("lang").agg(F.count("*"), F.min("h")).collect()  # one row per language
     if not counts:
         return []
-    # hashes below a cut of their own keep about twice the rows wanted of each language
-    span = 2.0**63
-    cut = F.create_map(
-        *(
-            x
-            for r in counts
-            for x in (F.lit(r["lang"]), F.lit(span * min(1.0, 2.0 * ROWS_PER_LANGUAGE / r["count"])))
-        )
-    )
-    rows = rows.where(F.abs(F.col("h").cast("double")) <= F.element_at(cut, F.col("lang")))
+    # hashes below a cut of their own keep about twice the rows wanted of each language, and one at least
+    cuts = [(lang, max(2.0**63 * min(1.0, 2.0 * ROWS_PER_LANGUAGE / n), least)) for lang, n, least in counts]
+    upto = docs.sparkSession.createDataFrame(cuts, "lang string, upto double")
+    rows = rows.join(F.broadcast(upto), "lang").where(F.col("h") <= F.col("upto"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     rows = rows.withColumn("nth", nth).where(F.col("nth") <= ROWS_PER_LANGUAGE)
-    total = F.sum("n").over(Window.partitionBy("lang").orderBy("nth"))
-    rows = rows.withColumn("total", total).where(F.col("total") <= DICT_BYTES)
+    budget = max(1, min(DICT_BYTES, MODEL_BYTES // len(counts)))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("nth")) - F.col("n")
+    rows = rows.withColumn("left", F.lit(budget) - before).where(F.col("left") > 0)
     chosen: dict[str, list[str]] = {}
-    for r in rows.orderBy("lang", "nth").select("lang", "text").collect():
-        chosen.setdefault(r["lang"], []).append(r["text"])
+    for r in rows.orderBy("lang", "nth").select("lang", "text", "left").collect():
+        part = r["text"].encode()[: r["left"]].decode(errors="ignore")  # the last text fills what is left
+        chosen.setdefault(r["lang"], []).append(part)
     return sorted(chosen.items())
 
 
@@ -98,7 +95,7 @@ class Classifier:
 
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
-    # at most LANGUAGES dictionaries of DICT_BYTES bytes: 7 MB
+    # MODEL_BYTES of dictionaries: 7 MB
     model = docs.sparkSession.sparkContext.broadcast(training_sample(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -346,6 +346,20 @@ def test_language(spark):
 # -- media -----------------------------------------------------------------------------------
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(5)
+    words = {f"l{k:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)] for k in range(70)}
+    rows = [(len(words) * i + j, " ".join(r.choices(w, k=60)), lang) for i in range(6) for j, (lang, w) in enumerate(words.items())]
+    long = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)]
+    rows += [(10_000 + i, " ".join(r.choices(long, k=4000)), "long") for i in range(6)]
+    rows += [(20_000 + i, " ".join(r.choices(long, k=60)), None) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang = {i: x or "long" for i, t, x in rows if x != "long"}
+    got = {x["doc_id"]: x["lang_pred"] for x in language.classify(docs).collect() if x["doc_id"] in lang}
+    assert got == lang
+    assert sum(len(t.encode()) for _, ts in language.training_sample(docs) for t in ts) <= language.MODEL_BYTES
+
+
 def test_media(sample):
     texts = {r["doc_id"]: r["text"] or "" for r in sample.collect()}
     by_text = {}
