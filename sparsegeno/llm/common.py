@@ -16,13 +16,15 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only in a local session without it."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -40,6 +42,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder.
+
+    Sums that rows are joined with are written first: a join of two plain tables, unlike one with an aggregate
+    below it, can be split by Spark where one key holds a large part of the rows.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, as the variable of a one-element transform."""
     return F.transform(F.array(value), body).getItem(0)
