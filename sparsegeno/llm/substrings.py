@@ -16,8 +16,14 @@ bytes that such a string around it can reach: LENGTH - GRAM to the left, LENGTH
 
 All found strings around one anchor contain it, so they cover one interval. The intervals
 of a document are put together, and its bytes without them are hashed or returned.
-A key with more than ``HOT`` contexts isn't sorted in one task; its strings are counted by
-128-bit fingerprint instead, spread over all tasks.
+A key with more than ``MOST`` contexts is dealt to several tasks: strings with lo to hi bytes to the
+left of the anchor share their inner LENGTH - (hi - lo) bytes, so that the range of o is halved,
+each half gets the longer inner string as its key, and halves that meet no other context are
+dropped. Keys that are still too large are halved again, down to a single o, where equal keys
+are equal strings and nothing is left to sort.
+
+Anchors are counted with partial sums, and joined with the written counts, so that a key or context
+that holds a large part of all rows needn't meet in one task.
 
 Defined results: a null or empty text has no bytes; texts shorter than LENGTH lose nothing.
 Rows that repeat a document are two places: all of it goes if it has LENGTH bytes. Rows are
@@ -35,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import written
 
 LENGTH, GRAM = 400, 128
 #: Bytes whose hash chooses anchors.
@@ -43,7 +49,7 @@ PICK = 16
 #: Depth of the multikey quicksort.
 SHALLOW = 64
 #: Contexts of one key that one task sorts, and contexts sorted together.
-HOT, TOGETHER = 50_000, 20_000
+MOST, TOGETHER = 50_000, 20_000
 #: Windows whose anchors are chosen at once.
 PIECE = 1 << 20
 
@@ -305,11 +311,13 @@ def deep_shallow(strings: list[bytes], groups: np.ndarray) -> tuple[np.ndarray,
     return order, prefix
 
 
-def cover(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def cover(
+    keys: np.ndarray, left: list[bytes], right: list[bytes], length: int, least: np.ndarray, most: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Per context the smallest and largest o for which its string with o bytes to the left of the
     anchor occurs in another context of the key; (length, -1) if there is none.
 
-    ``left`` is read from the anchor outwards.
+    ``left`` is read from the anchor outwards; o goes from ``least`` to ``most`` of the context's key.
     """
     n = len(keys)
     r_order, r_prefix = deep_shallow(right, keys)
@@ -318,7 +326,7 @@ def cover(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int,
     r_run, l_run = np.empty(n, np.int64), np.empty(n, np.int64)
     l_len = np.fromiter(map(len, left), np.int64, n)
     r_len = np.fromiter(map(len, right), np.int64, n)
-    for o in range(length - gram + 1):
+    for o in range(int(least.min()), int(most.max()) + 1):
         r_run[r_order] = np.cumsum(r_prefix < length - o)
         l_run[l_order] = np.cumsum(l_prefix < o)
         pair = r_run * (n + 1) + l_run
@@ -327,6 +335,7 @@ def cover(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int,
         same = p[1:] == p[:-1]
         twice = by[np.append(same, False) | np.append(False, same)]
         twice = twice[(l_len[twice] >= o) & (r_len[twice] >= length - o)]
+        twice = twice[(least[twice] <= o) & (o <= most[twice])]
         low[twice] = np.minimum(low[twice], o)
         high[twice] = o
     return low, high
@@ -334,65 +343,97 @@ def cover(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int,
 
 # -- Spark -----------------------------------------------------------------------------------
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the shared folder."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+INTERVAL = "doc_id long, t8 long, a int, b int"
+#: A context of a key: where its anchor is, the key, the range of o that the key stands for, whether all is
+#: settled, how many contexts the key has, and the bytes: left part from the anchor outwards, right part.
+CONTEXT = (
+    "doc_id long, t8 long, pos int, key long, key2 long, least int, most int, settled boolean, n long, l binary, r binary"
+)
+CONTEXT_SCHEMA = pa.schema(
+    [
+        (x.split()[0], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]])
+        for x in CONTEXT.split(", ")
+    ]
+)
 
 
-INTERVAL = "doc_id long, t8 long, a int, b int"
+def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on (doc_id, t8), where null ids are equal."""
+    r = right.withColumnsRenamed({"doc_id": "__d", "t8": "__t"})
+    same = left["doc_id"].eqNullSafe(r["__d"]) & left["t8"].eqNullSafe(r["__t"])
+    return left.join(r, same, how).drop("__d", "__t")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(CONTEXT_SCHEMA)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, CONTEXT_SCHEMA, strict=True)], schema=CONTEXT_SCHEMA
+    )
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The context bytes of the wanted anchors (doc_id, t8, pos, key, hot): left part reversed, right part."""
-    left = length - gram
-    per_doc = wanted.groupBy("doc_id", "t8").agg(F.collect_list(F.struct("pos", "key", "hot", "settled")).alias("at"))
+    """The wanted contexts with their bytes."""
+    fields = CONTEXT_SCHEMA.names[2:-2]
+    per_doc = wanted.groupBy("doc_id", "t8").agg(F.collect_list(F.struct(*fields)).alias("at"))
     rows = _joined(_named(docs), per_doc, "inner").select("doc_id", "t8", "text", "at")
-    schema = "doc_id long, t8 long, pos int, key long, hot boolean, settled boolean, l binary, r binary"
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
                 out = []
-                for doc, t8, text, at in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for doc, t8, text, at in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
                     data = text.encode()
                     for x in at:
                         p = x["pos"]
-                        a = data[max(0, p - left) : p][::-1]
-                        out.append((doc, t8, p, x["key"], x["hot"], x["settled"], a, data[p : p + length]))
-                if out:
-                    columns = zip(*out, strict=True)
-                    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+                        left, right = data[max(0, p - length + gram) : p][::-1], data[p : p + length]
+                        out.append((doc, t8, *(x[f] for f in fields), left, right))
+                yield _batch(out)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, CONTEXT)
 
 
-def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on (doc_id, t8), where null ids are equal."""
-    r = right.withColumnsRenamed({"doc_id": "__d", "t8": "__t"})
-    same = left["doc_id"].eqNullSafe(r["__d"]) & left["t8"].eqNullSafe(r["__t"])
-    return left.join(r, same, how).drop("__d", "__t")
+def _halved(contexts: DataFrame, length: int) -> DataFrame:
+    """``contexts`` with each range of o in two halves, keyed by the bytes that all strings of a half share."""
+    import xxhash
 
+    names = CONTEXT_SCHEMA.names
 
-def _sorted_cover(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                out = []
+                for x in batch.select(names).slice(i, 1024).to_pylist():
+                    middle, left, right = (x["least"] + x["most"]) // 2, x["l"], x["r"]
+                    for least, most in ((x["least"], middle), (middle + 1, x["most"])):
+                        if least <= len(left) and length - most <= len(right):  # else no string of this half fits
+                            shared = left[:least][::-1] + right[: length - most]
+                            mark = xxhash.xxh3_128_digest(shared, seed=least * 4096 + most)
+                            key, key2 = (int.from_bytes(mark[k : k + 8], "little", signed=True) for k in (0, 8))
+                            new = {"key": key, "key2": key2, "least": least, "most": most, "n": 0}
+                            out.append(tuple((x | new)[f] for f in names))
+                yield _batch(out)
+
+    return contexts.mapInArrow(run, CONTEXT)
+
+
+def _sorted_cover(contexts: DataFrame, length: int) -> DataFrame:
     """Intervals from sorting, a task reading whole keys and sorting many keys together."""
-    rows = contexts.repartition("key").sortWithinPartitions("key")
+    rows = contexts.repartition("key", "key2").sortWithinPartitions("key", "key2")
     names = ["doc_id", "t8", "a", "b"]
 
+    def groups(table: pa.Table) -> np.ndarray:
+        """Number of the key in each row."""
+        k, k2 = table["key"].to_numpy(), table["key2"].to_numpy()
+        return np.cumsum(np.append(False, (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
 
         def work(table: pa.Table) -> pa.RecordBatch:
-            pos = table["pos"].to_numpy().astype(np.int64)
-            keys = table["key"].to_numpy()
+            pos, least, most = (table[n].to_numpy().astype(np.int64) for n in ("pos", "least", "most"))
             settled = table["settled"].to_numpy(zero_copy_only=False)
-            low, high = cover(keys, table["l"].to_pylist(), table["r"].to_pylist(), length, gram)
+            low, high = cover(groups(table), table["l"].to_pylist(), table["r"].to_pylist(), length, least, most)
             found = (high >= 0) & ~settled
             take = table.filter(pa.array(found)).combine_chunks()
             a, b = (pos - high)[found], (pos - low + length)[found]
@@ -413,8 +454,8 @@ def _sorted_cover(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             count += batch.num_rows
             if count >= TOGETHER:
                 table = pa.Table.from_batches(held)
-                keys = table["key"].to_numpy()
-                whole = int(np.searchsorted(keys, keys[-1], side="left"))  # the last key may go on
+                of = groups(table)
+                whole = int(np.searchsorted(of, of[-1], side="left"))  # the last key may go on
                 if whole:
                     yield work(table.slice(0, whole))
                     held = table.slice(whole).combine_chunks().to_batches()
@@ -425,64 +466,44 @@ def _sorted_cover(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, INTERVAL)
 
 
-def _counted_cover(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Intervals of hot keys: each string around an anchor by fingerprint, counted over all tasks."""
-    import xxhash
-
-    schema = "doc_id long, t8 long, pos int, settled boolean, o int, f1 long, f2 long"
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                out, marks = [], []
-                part = batch.slice(i, 64).to_pylist()
-                for x in part:
-                    near = len(x["l"])
-                    data = x["l"][::-1] + x["r"]
-                    for o in range(max(0, length - len(x["r"])), min(near, length - gram) + 1):
-                        marks.append(xxhash.xxh3_128_digest(data[near - o : near - o + length]))
-                        out.append((x["doc_id"], x["t8"], x["pos"], x["settled"], o))
-                if out:
-                    two = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
-                    columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*columns, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names
-                    )
-
-    strings = contexts.mapInArrow(run, schema)
-    again = strings.groupBy("o", "f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("o", "f1", "f2")
-    found = strings.where("not settled").join(again, ["o", "f1", "f2"])
-    at = F.col("pos") - F.max("o")
-    return found.groupBy("doc_id", "t8", "pos").agg(
-        at.alias("a"), (F.col("pos") - F.min("o") + length).alias("b")
-    ).select("doc_id", "t8", F.col("a").cast("int"), F.col("b").cast("int"))
-
-
-def intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(doc_id, t8, a, b): byte intervals whose union is exactly what occurs elsewhere, too."""
-    # most keys occur once; a semi-join (which Spark can split at hot keys) leaves the others
-    rows = _table(anchor_rows(docs, length, gram), "anchors")
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = _table(rows.join(often, "key", "left_semi"), "candidates")
-    same = ["key", "c1", "c2"]
-    groups = rows.groupBy(same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t8", "pos")).alias("first"))
-    groups = _table(groups, "contexts")
+    rows = written(anchor_rows(docs, length, gram), "anchors")
+    # any anchor of a context stands for it: their bytes are equal, and so are their keys
+    same, one = ["c1", "c2"], [F.first(c).alias(c) for c in ("doc_id", "t8", "pos", "key")]
+    groups = written(rows.groupBy(same).agg(F.count("*").alias("n"), *one), "contexts")
     # equal contexts: every string around the anchor that fits into the document
-    most = F.least(F.lit(length - gram), F.col("pos"))
-    least = F.greatest(F.lit(0), length - F.col("ra"))
-    equal = rows.join(groups.where("n > 1").select(same), same, "left_semi").where(least <= most)
-    equal = equal.select("doc_id", "t8", (F.col("pos") - most).alias("a"), (F.col("pos") - least + length).alias("b"))
-    per_key = groups.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = groups.join(per_key, "key").select(
-        "first.*", "key", (F.col("contexts") > hot).alias("hot"), (F.col("n") > 1).alias("settled")
-    )
+    far = F.least(F.lit(length - gram), F.col("pos"))
+    near = F.greatest(F.lit(0), length - F.col("ra"))
+    around = rows.select(*same, "doc_id", "t8", "pos", "ra").where(near <= far)
+    equal = around.join(groups.where("n > 1").select(same), same)
+    found = equal.select("doc_id", "t8", (F.col("pos") - far).alias("a"), (F.col("pos") - near + length).alias("b"))
+    wanted = groups.select(
+        "doc_id", "t8", "pos", "key", F.lit(0).cast("long").alias("key2"), F.lit(0).alias("least"),
+        F.lit(length - gram).alias("most"), (F.col("n") > 1).alias("settled"),
+    )
+    wanted = written(_of_shared_keys(wanted), "wanted")
     contexts = _contexts(docs, wanted, length, gram)
-    out = equal.unionByName(_sorted_cover(contexts.where("not hot"), length, gram))
-    if not per_key.where(F.col("contexts") > hot).isEmpty():
-        out = out.unionByName(_counted_cover(contexts.where("hot"), length, gram))
-    return out
+    large, single, at = F.col("n") > most, F.col("least") == F.col("most"), F.col("pos") - F.col("least")
+    if wanted.where(large).isEmpty():
+        return found.unionByName(_sorted_cover(contexts, length))
+    contexts = written(contexts, "contexts-with-bytes")
+    found = found.unionByName(_sorted_cover(contexts.where(~large), length))
+    while not contexts.where(large & ~single).isEmpty():
+        halves = written(_halved(contexts.where(large & ~single), length), "halves")
+        contexts = written(_of_shared_keys(halves.drop("n")), "contexts-halved")
+        found = found.unionByName(_sorted_cover(contexts.where(~large & ~single), length))
+        # a single o: the key is the string
+        alone = contexts.where(single & ~F.col("settled"))
+        found = found.unionByName(alone.select("doc_id", "t8", at.alias("a"), (at + length).alias("b")))
+    return found
+
+
+def _of_shared_keys(rows: DataFrame) -> DataFrame:
+    """Rows whose key others have, too, with the number of rows of the key."""
+    keys = ["key", "key2"]
+    per_key = written(rows.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    return rows.join(per_key, keys)
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -504,9 +525,9 @@ def remove(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bytes_too: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bytes_too: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; ``bytes_too`` adds the kept bytes."""
-    found = intervals(docs, length, gram, hot)
+    found = intervals(docs, length, gram, most)
     per_doc = found.groupBy("doc_id", "t8").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     rows = _joined(_named(docs), per_doc, "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
