@@ -23,9 +23,9 @@ the estimate's slack is six standard deviations.
 
 Defined results: documents without words have an empty set and are linked with nothing;
 their component is their own id. A null doc_id is ignored in minima: its component is the
-smallest id of its group, or null. Rows that repeat a doc_id are one document: ``kept`` is
-true for all of them or none. Extra columns are ignored (``near_duplicates``) or carried
-along (``keep``).
+smallest id of its group, or null. Rows that repeat a doc_id are judged each by its own text, and each
+is kept if its id is the smallest of its component. Extra columns are ignored (``near_duplicates``)
+or carried along (``keep``).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, new_path
+from .common import BROADCAST_ROWS, cut, written
 from .connected import components
 
 SHINGLE = 4
@@ -201,29 +201,27 @@ def _short(node: str = "node"):
     return F.xxhash64(node).alias("nid")
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the shared folder."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _sets(sk: DataFrame) -> DataFrame:
+    """One row per node, however many documents hold it: nid, node, doc (smallest id), and its sketch."""
+    any_text = F.min(F.struct("text_id", F.col("n_shingles").alias("n"), "registers", "bands")).alias("r")
+    rows = sk.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc"), any_text
+    )
+    return written(rows.select(_short(), "node", "doc", "r.*"), "sets")
 
 
-def _shared_buckets(sk: DataFrame) -> DataFrame:
-    """(band, bucket, hub, nid) of the buckets with two or more different nodes."""
-    spread = sk.where("node is not null").select(F.posexplode("bands").alias("band", "bucket"), _short())
+def _shared_buckets(sets: DataFrame) -> DataFrame:
+    """(bucket, band, nid, hub) of the buckets with two or more different nodes."""
+    spread = sets.select(F.posexplode("bands").alias("band", "bucket"), "nid")
     hubs = spread.groupBy("bucket").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"))
-    hubs = hubs.where("hub != last").select("bucket", "hub")
-    return _table(spread.join(hubs, "bucket").distinct(), "buckets")
+    hubs = written(hubs.where("hub != last").select("bucket", "hub"), "hubs")
+    return written(spread.join(hubs, "bucket").distinct(), "buckets")
 
 
-def _by_nid(sk: DataFrame, used: DataFrame) -> DataFrame:
+def _by_nid(sets: DataFrame, used: DataFrame) -> DataFrame:
     """One row per node that ``used`` (nid) names: nid, node, n, registers, text_id."""
-    rows = sk.where("node is not null").select(
-        _short(), "node", F.col("n_shingles").alias("n"), "registers", "text_id"
-    )
-    rows = rows.join(used.distinct(), "nid", "left_semi")
-    one = rows.groupBy("nid", "node").agg(F.min(F.struct("text_id", "n", "registers")).alias("r"))
-    return _table(one.select("nid", "node", "r.*"), "nodes")
+    rows = sets.select("nid", "node", "n", "registers", "text_id")
+    return written(rows.join(used.distinct(), "nid", "left_semi"), "nodes")
 
 
 def _proposals(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None, tried: DataFrame | None) -> DataFrame:
@@ -422,10 +420,10 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut(old.unionByName(outer.join(labels.select("node"), "node", "left_anti")))
 
 
-def _components(docs: DataFrame, sk: DataFrame) -> DataFrame:
+def _components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component_id) of every set; component_id is the smallest doc_id reachable."""
-    buckets = _shared_buckets(sk)
-    nodes = _by_nid(sk, buckets.select("nid"))
+    buckets = _shared_buckets(sets)
+    nodes = _by_nid(sets, buckets.select("nid"))
     labels, tried = None, None
     for _ in range(HUB_ROUNDS):
         pairs = _proposals(buckets, nodes, labels, tried)
@@ -437,21 +435,23 @@ def _components(docs: DataFrame, sk: DataFrame) -> DataFrame:
         rest = cut(_cross_links(docs, buckets, nodes, labels))
         if not rest.isEmpty():
             labels = _merge(labels, rest)
-    own = sk.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    own = sets.select("node", "doc")
     if labels is None:
-        return own.select("node", F.col("doc").alias("component_id"))
+        return own.withColumnRenamed("doc", "component_id")
     own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = own.groupBy("label").agg(F.min("doc").alias("component_id"))
+    least = written(own.groupBy("label").agg(F.min("doc").alias("component_id")), "components")
     return own.select("node", "label").join(least, "label").select("node", "component_id")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    sk = _table(sketches(docs), "sketches")
-    found = _components(docs, sk)
-    rows = sk.select("doc_id", "text_id", "n_shingles", "node").join(found, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    sk = written(sketches(docs), "sketches")
+    found = written(_components(docs, _sets(sk)), "found")
+    rows = sk.select("doc_id", "text_id", "n_shingles", "node")
+    # empty sets, which may be many, aren't shuffled
+    empty = rows.where("node is null").withColumn("component_id", F.col("doc_id"))
+    rows = rows.join(found, "node").unionByName(empty)
     return rows.select(
-        "doc_id", "text_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "text_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
