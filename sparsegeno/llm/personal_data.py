@@ -2,13 +2,14 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns with validators and always
 stay. Generators of high recall propose further, overlapping spans; boosted trees score
-each by its format and context; spans at or above a threshold, calibrated for precision on
-rows kept out of the fit, are redacted, the best first where they overlap.
+each by its format and context; spans at or above their kind's threshold, calibrated for
+precision on rows kept out of the fit, are redacted, the best first where they overlap.
 
-The trees are fitted on a bounded sample: at most ``SAMPLE_DOCS`` documents chosen by
-hash (about ``SAMPLE_DOCS`` in expectation) and ``SAMPLE_SPANS`` candidates, weakly labelled
-by ``weak_label``, plus the spans of ``SEEDED`` made-up pairs of texts so that both classes occur.
-Every document is searched whole.
+The labels of the fit are known because the spans are planted: made-up secrets, accounts and
+contacts, with and without a cue before them, and look-alikes (dates, versions, order numbers,
+commits, identifiers) are put into snippets of at most about ``SAMPLE_DOCS`` documents chosen
+by hash, ``PLANTED`` of them in all. A proposal that is a planted secret, account or contact is of
+the first class, any other that touches a planted span of the second. Every document is searched whole.
 
 Defined results: null and empty texts have no spans. Positions are code points, ends
 exclusive. Equal texts get equal spans. Extra columns are ignored or carried along.
@@ -16,12 +17,13 @@ exclusive. Equal texts get equal spans. Extra columns are ignored or carried alo
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "account", "contact")
-SAMPLE_DOCS, SAMPLE_SPANS, SEEDED = 4000, 20_000, 600
-#: The threshold keeps at least this precision on the calibration rows.
+SAMPLE_DOCS, PLANTED = 4000, 8000
+#: Characters of a snippet; candidates that are scored at once.
+SNIPPET, SCORED = 160, 20_000
+#: Each kind's threshold keeps at least this precision on the calibration rows.
 PRECISION = 0.97
 CONTEXT = 24
 
@@ -39,7 +43,6 @@ Span = tuple[str, int, int]
 
 # The patterns are those asked for, with possessive runs where backing up cannot help.
 _domain = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+").match
-_local = re.compile(r"[A-Za-z0-9._%+-]+\Z").search
 _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++").finditer
 _card = re.compile(r"[0-9](?:[ -]?[0-9]){15,}+").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
@@ -90,36 +93,53 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# Generators: every run that holds a digit and could be a key, an account or a contact.
+# Generators: every run that could be a key, an account or a contact.
 _secret = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+").finditer
+# what follows a name for secrets, an assignment or not
+_named = re.compile(
+    r"(?:password|passwd|passphrase|pwd|secret|token|key|auth|bearer)[\"']?[ \t]?[:=]?[ \t]?[\"']?([^\s\"',;:=]{8,}+)", re.I
+).finditer
 # not possessive: the run can enter a following word and must back out of it (by 26 steps at most)
 _account = re.compile(r"(?<![A-Za-z0-9])[A-Z]{0,2}[0-9](?:[ ./-]?[A-Z0-9]){7,33}(?![A-Za-z0-9])").finditer
+_unbroken = re.compile(r"(?<![A-Za-z0-9])[A-Z]{0,2}[0-9][A-Z0-9]{33,}+(?![A-Za-z0-9])").finditer
 # where words in capitals begin: those that end the run, and, in a number, any of three letters or more
 _words_last = re.compile(r"(?:[ ./-][A-Z]+)++\Z").finditer
 _words = re.compile(r"[ ./-](?=[A-Z]{3,}(?![A-Z0-9]))|(?:[ ./-][A-Z]+)++\Z").finditer
 _contact = re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ .-]?[0-9]{2,5}){2,4}+(?![0-9])").finditer
-_run = re.compile(r"[^\s]*[0-9][^\s]*(?: [0-9(][^\s]*)*").finditer
+NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "key", "auth", "bearer")
 CUES = {
-    "secret": ("token", "secret", "password", "passwd", "key", "auth", "bearer", "pwd"),
+    "secret": (*NAMES, "apikey", "apitoken"),
     "account": ("iban", "account", "acct", "ssn", "passport", "insurance", "tax", "licence no"),
     "contact": ("phone", "tel", "call", "mobile", "fax", "contact"),
 }
+OTHER_CUES = ("commit", "order", "isbn", "version", "page", "date", "sha", "ticket", "invoice", "doi", "lot", "model")
+
+
+def _begins_word(words: tuple[str, ...]) -> Callable:
+    """Search for any of the words where no letter stands before it."""
+    return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})").search
+
+
+_cue = {kind: _begins_word(words) for kind, words in CUES.items()}
+_other_cue = _begins_word(OTHER_CUES)
 
 
 def candidates(text: str) -> list[Span]:
-    """Overlapping spans that may be personal data; only texts with a digit have any."""
-    out: set[Span] = set()
-    if not _digit(text):
-        return []
-    for kind, find in (("secret", _secret), ("account", _account), ("contact", _contact)):
-        for m in find(text):
-            if _digit(m[0]):
-                out.add((kind, *m.span()))
-    for kind, a, b in [c for c in out if c[0] == "account"]:
-        # capitals after an account may be words: it is proposed with and without them
-        for w in (_words if text[a].isdigit() else _words_last)(text[a:b]):
-            if sum(map(str.isalnum, text[a : a + w.start()])) >= 8:
-                out.add((kind, a, a + w.start()))
+    """Overlapping spans that may be personal data."""
+    out: set[Span] = {("secret", *m.span()) for m in _secret(text)}
+    low = text.lower()
+    if any(name in low for name in NAMES):
+        out |= {("secret", *m.span(1)) for m in _named(text)}
+    if _digit(text):
+        out |= {("contact", *m.span()) for m in _contact(text)}
+        out |= {("account", *m.span()) for m in _unbroken(text)}
+        for m in _account(text):
+            a, b = m.span()
+            out.add(("account", a, b))
+            # capitals after an account may be words: it is proposed with and without them
+            for w in (_words if text[a].isdigit() else _words_last)(m[0]):
+                if sum(map(str.isalnum, text[a : a + w.start()])) >= 8:
+                    out.add(("account", a, a + w.start()))
     return sorted(out)
 
 
@@ -128,7 +148,15 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in map(s.count, set(s)))
 
 
-FEATURES = 14
+_date = re.compile(r"(?:19|20)[0-9]{2}[-./ ]?[01][0-9][-./ ]?[0-3][0-9]|[0-3]?[0-9][-./][01]?[0-9][-./](?:19|20)[0-9]{2}").match
+
+
+def iban_ok(s: str) -> bool:
+    """The check digits of an international account number."""
+    t = s.replace(" ", "")
+    if not (15 <= len(t) <= 34 and t[:2].isalpha() and t.isalnum() and t.isascii()):
+        return False
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
 def span_features(text: str, span: Span) -> list[float]:
@@ -136,59 +164,101 @@ def span_features(text: str, span: Span) -> list[float]:
     s = text[a:b]
     before = text[max(0, a - CONTEXT) : a].lower()
     n = len(s)
-    digits = sum(c.isdigit() for c in s)
-    letters = sum(c.isalpha() for c in s)
-    hexa = sum(c in "0123456789abcdefABCDEF" for c in s)
-    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:], strict=False))
+    counts = {c: s.count(c) for c in set(s)}
+
+    def share(of: str) -> float:
+        return sum(counts.get(c, 0) for c in of) / n
+
+    digits, upper = share(string.digits), share(string.ascii_uppercase)
+    letters = upper + share(string.ascii_lowercase)
+    numbers = "".join(filter("0123456789".__contains__, s)) if kind != "secret" and n <= 40 else ""
+    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(s[:200], s[1:201], strict=False)) / min(n, 200)
     return [
         float(KINDS.index(kind)),
         float(min(n, 200)),
-        digits / n,
-        letters / n,
-        hexa / n,
-        sum(c.isupper() for c in s) / n,
-        _entropy(s),
-        changes / n,
-        float(any(c in before for c in CUES[kind])),
-        float(bool(re.search(r"[=:]\s*[\"']?$", before))),
+        digits,
+        letters,
+        share("0123456789abcdefABCDEF"),
+        upper,
+        -sum(k / n * math.log2(k / n) for k in counts.values()),
+        changes,
+        float(_cue[kind](before) is not None),
+        float(_other_cue(before) is not None),
+        float(before.rstrip("\"' ").endswith(("=", ":"))),
         float(before.endswith(('"', "'")) and text[b : b + 1] in ('"', "'")),
-        float(sum(c in " ./-()" for c in s)),
-        float(bool(digits >= 12 and luhn("".join(c for c in s if c in "0123456789")))),
-        float(sum(s.lower().count(v) for v in "aeiou") / n),
+        share(" ./-()") * n,
+        float(len(numbers) >= 12 and luhn(numbers)),
+        float(kind == "account" and iban_ok(s)),
+        share("aeiouAEIOU"),
+        float(_date(s) is not None),
+        float(len(numbers)),
     ]
 
 
-def weak_label(x: list[float]) -> int:
-    """Labelling functions: a cue word with the right format speaks for a span.
-
-    Made for precision; the trees see the same features and carry the judgement over to
-    spans where only some of them hold.
-    """
-    kind, cue, assign = KINDS[int(x[0])], x[8], x[9]
-    if kind == "secret":
-        return int(x[6] > 3.0 and x[7] > 0.15 and (cue > 0 or assign > 0 or x[10] > 0))
-    return int(cue > 0 and x[2] > 0.5)
-
-
-def seeded_examples(n: int, seed: int = 7) -> tuple[list[list[float]], list[int]]:
-    """Made-up spans of both classes."""
+def _iban(r: random.Random) -> str:
+    country, rest = r.choice(("DE", "GB", "FR", "NL", "ES")), "".join(r.choices(string.digits, k=r.randint(12, 20)))
+    left = int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+    s = f"{country}{98 - left:02d}{rest}"
+    return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.6 else s
+
+
+def _digits(r: random.Random, pattern: str) -> str:
+    return "".join(r.choice(string.digits) if c == "#" else c for c in pattern)
+
+
+def planted(r: random.Random) -> tuple[str, str, str, str]:
+    """Text before, the span, text after, and its kind ("" for a look-alike)."""
+    alnum, word = string.ascii_letters + string.digits, lambda: "".join(r.choices(string.ascii_lowercase, k=r.randint(3, 9)))
+    lead, kind = r.choice(("", "the ", "my ", "see ", f"{word()} ")), r.randrange(6)
+    if kind == 0:
+        letters = r.choice(("0123456789abcdef", alnum, alnum + "+/", alnum + "_-"))
+        value = r.choice(("", "", "sk_", "ghp_", "AKIA")) + "".join(r.choices(letters, k=r.choice((20, 24, 32, 40, 64))))
+        before, after = r.choice((('token = "', '"'), ("api_key: ", ""), ("Bearer ", ""), ("secret=", " "), ("'", "'"), ("export KEY=", ""), ("", "")))
+        return lead + before, value, after, "secret"
+    if kind == 1:
+        value = word() + r.choice(("", "-", "_", "!", "7", "42")) + word() + r.choice(("", "#", "99", word()))
+        before, after = r.choice((('password = "', '"'), ("password: ", ""), ("pwd=", ""), ("passphrase: '", "'")))
+        return lead + before, value, after, "secret" if len(value) >= 8 else ""
+    if kind == 2:
+        value = _iban(r) if r.random() < 0.5 else _digits(r, r.choice(("########", "##########", "############", "###-##-####", "#### #### ####")))
+        cue = r.choice(("account ", "IBAN: ", "acct no. ", "SSN ", "passport ", "tax id ", "pay to account "))
+        return lead + (cue if value[0].isdigit() or r.random() < 0.6 else ""), value, r.choice(("", ".", ",", " For")), "account"
+    if kind == 3:
+        value = _digits(r, r.choice(("(###) ###-####", "###-###-####", "0## #### ####", "### ### ####", "0####-######", "###.###.####")))
+        cue = r.choice(("phone ", "tel. ", "call ", "mobile: ", "fax ", "contact ", "call me on "))
+        return lead + cue, value, r.choice(("", ".", ",", " now")), "contact"
+    shapes = ("2###-1#-2#", "1#/0#/19##", "v#.#.##", "978-#-##-######-#", "20##120#T######", "###,###.##", "## ## ## ##", "########", "####-####", "################", "20## 20## 20##",
+        "## ## ## ## ##", "### ### ###", "### ### ####", "##-##-##-##", "#### ####", "## ### ## ###")
+    if kind == 4:
+        value = _digits(r, r.choice(shapes))
+        cue = r.choice(("", "", "order ", "version ", "on ", "ISBN ", "page ", "invoice ", "about ", "of "))
+    else:
+        value = r.choice((
+            "".join(r.choices("0123456789abcdef", k=40)), "_".join(word() for _ in range(4)), "-".join(word() for _ in range(4)),
+            word() + word() + word(), word() + word(), "/".join(word() for _ in range(4)), "=" * r.randint(16, 60), "-" * r.randint(16, 60),
+            f"img_20{_digits(r, '######_####')}_{word()}", word().upper() + " " + _digits(r, "## ####"),
+        ))
+        if value.isalpha() and value.islower():
+            return lead + r.choice(("key ", "password ", "secret ", "token ", "in ")), value, r.choice(("", ".", ",")), ""
+        cue = r.choice(("commit ", "sha ")) if len(value) == 40 and set(value) <= set("0123456789abcdef") else r.choice(("", "see ", "in "))
+    return lead + cue, value, r.choice(("", ".", ",")), ""
+
+
+def planted_rows(snippets: list[str], n: int, seed: int = 7) -> tuple[list[list[float]], list[int]]:
+    """Features and labels of the proposals that touch n planted spans."""
     r = random.Random(seed)
     rows, labels = [], []
     for i in range(n):
-        key = "".join(r.choices("0123456789abcdef" if i % 2 else string.ascii_letters + string.digits, k=r.choice((20, 32, 40))))
-        digits = "".join(r.choices(string.digits, k=10))
-        if i % 3 == 0:
-            text, kind = f'{r.choice(CUES["secret"])} = "{key}"', "secret"
-        elif i % 3 == 1:
-            text, kind = f"{r.choice(CUES['account'])}: {digits}", "account"
-        else:
-            text, kind = f"{r.choice(CUES['contact'])} {digits[:3]}-{digits[3:6]}-{digits[6:]}", "contact"
-        plain = f"in {r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)} over {'word' * 5}{r.randint(0, 9)} of {digits}"
-        for t, good in ((text, True), (plain, False)):
-            for c in candidates(t):
-                if not good or c[0] == kind:
-                    rows.append(span_features(t, c))
-                    labels.append(int(good))
+        where = snippets[i % len(snippets)] if snippets else "and then it was said"
+        cut = where.find(" ", r.randrange(len(where) + 1)) + 1
+        before, value, after, kind = planted(r)
+        text = f"{where[:cut]}{before}{value}{after} {where[cut:]}"
+        a = cut + len(before)
+        b = a + len(value)
+        for c in candidates(text):
+            if c[1] < b and a < c[2]:
+                rows.append(span_features(text, c))
+                labels.append(int(c == (kind, a, b)))
     return rows, labels
 
 
@@ -258,57 +328,63 @@ def calibrated(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> fl
     return float(p[by][fine[-1]]) if len(fine) else 1.1
 
 
-def fit(docs: DataFrame) -> tuple[BoostedTrees, float]:
-    """Trees and threshold from the bounded sample."""
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where("text is not null")
-    total = rows.count()
-    limit = 2.0**63 * min(1.0, SAMPLE_DOCS / max(total, 1))
-    rows = rows.where(F.abs(F.col("h").cast("double")) <= limit)
+Model = tuple[BoostedTrees, np.ndarray]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [
-                (h, span_features(t, c))
-                for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for c in candidates(t)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.float64()))],
-                ["h", "x"],
-            )
-
-    found = rows.mapInArrow(run, "h long, x array<double>").orderBy("h", "x").limit(SAMPLE_SPANS).collect()
-    x = [list(r["x"]) for r in found]
-    y = [weak_label(r) for r in x]
-    made, labels = seeded_examples(SEEDED)
-    data, target = np.array(x + made), np.array(y + labels, float)
-    held = np.random.default_rng(11).permutation(len(target)) % 4 == 0
-    trees = BoostedTrees().fit(data[~held], target[~held])
-    return trees, calibrated(trees.predict(data[held]), target[held])
-
-
-def _select(text: str, found: list[Span], scores: np.ndarray, threshold: float, base: list[Span]) -> list[Span]:
-    """Spans above the threshold, best first, that overlap no base span and none chosen before."""
-    taken = [(a, b) for _, a, b in base]
-    out = []
-    for p, (kind, a, b) in sorted(zip(scores.tolist(), found, strict=True), key=lambda x: (-x[0], x[1][1], x[1])):
-        if p >= threshold and all(b <= c or d <= a for c, d in taken):
-            taken.append((a, b))
+
+def fitted(snippets: list[str], n: int = PLANTED) -> Model:
+    """Trees, and one threshold per kind."""
+    x, y = (np.array(v, float) for v in planted_rows(snippets, n))
+    held = np.random.default_rng(11).permutation(len(y)) % 4 == 0
+    trees = BoostedTrees().fit(x[~held], y[~held])
+    p, kinds = trees.predict(x[held]), x[held, 0]
+    return trees, np.array([calibrated(p[kinds == k], y[held][kinds == k]) for k in range(len(KINDS))])
+
+
+def fit(docs: DataFrame) -> Model:
+    """Trees and thresholds from spans planted in a bounded sample of snippets."""
+    mark = F.xxhash64("doc_id", "text")
+    limit = 2.0**63 * min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+    chosen = docs.where(F.col("text").isNotNull() & (F.abs(mark.cast("double")) <= limit))
+    place = F.pmod(mark, F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
+    # repeated rows have one mark
+    rows = chosen.select(mark.alias("h"), F.substring("text", place, F.lit(SNIPPET)).alias("s")).distinct()
+    return fitted([r["s"] for r in rows.orderBy("h", "s").limit(SAMPLE_DOCS).collect()])
+
+
+def _select(found: list[Span], scores: np.ndarray, thresholds: np.ndarray, base: list[Span]) -> list[Span]:
+    """Spans at or above their threshold, best first, that overlap no base span and none chosen before."""
+    starts, ends, out = [], [], []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    ranked = sorted(zip(scores.tolist(), found, strict=True), key=lambda x: (-x[0], x[1][1], x[1]))
+    for p, (kind, a, b) in ranked:
+        if p < thresholds[KINDS.index(kind)]:
+            continue
+        i = bisect.bisect_right(starts, a)
+        if (i == 0 or ends[i - 1] <= a) and (i == len(starts) or b <= starts[i]):
+            starts.insert(i, a)
+            ends.insert(i, b)
             out.append((kind, a, b))
     return out
 
 
-def find_spans(texts: list[str], trees: BoostedTrees, threshold: float) -> Iterator[tuple[list[Span], list[Span]]]:
-    """Per text its base spans and the added ones; all candidates of a batch are scored at once."""
-    bases = [base_spans(t) for t in texts]
+def find_spans(texts: list[str], model: Model) -> Iterator[tuple[list[Span], list[Span]]]:
+    """Per text its base spans and the added ones; candidates are scored many at once."""
+    trees, thresholds = model
     found = [candidates(t) for t in texts]
-    rows = [span_features(t, c) for t, cs in zip(texts, found, strict=True) for c in cs]
-    scores = trees.predict(np.array(rows)) if rows else np.zeros(0)
-    i = 0
-    for t, base, cs in zip(texts, bases, found, strict=True):
-        added = _select(t, cs, scores[i : i + len(cs)], threshold, base) if cs else []
+    every = [(t, c) for t, cs in zip(texts, found, strict=True) for c in cs]
+    scores = [np.zeros(0)]
+    for i in range(0, len(every), SCORED):
+        scores.append(trees.predict(np.array([span_features(t, c) for t, c in every[i : i + SCORED]])))
+    score, i = np.concatenate(scores), 0
+    for t, cs in zip(texts, found, strict=True):
+        base = base_spans(t)
+        yield base, _select(cs, score[i : i + len(cs)], thresholds, base) if cs else []
         i += len(cs)
-        yield base, added
 
 
 def _joined(spans: list[Span]) -> str:
@@ -325,13 +401,12 @@ def detect(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, threshold = model.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 rows = []
-                for base, added in find_spans(texts, trees, threshold):
+                for base, added in find_spans(texts, model.value):
                     kinds = [k for k, _, _ in base]
                     digest = hashlib.sha256(_joined(base).encode()).hexdigest()
                     rows.append((*map(kinds.count, BASE_KINDS), digest, _joined(base + added), len(added)))
@@ -363,7 +438,6 @@ def redact(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))  # some hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, threshold = model.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for i in range(0, batch.num_rows, 512):
@@ -372,7 +446,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts = [x or "" for x in raw]
                 new = [
                     None if r is None else redact_text(t, base + added)
-                    for r, t, (base, added) in zip(raw, texts, find_spans(texts, trees, threshold), strict=True)
+                    for r, t, (base, added) in zip(raw, texts, find_spans(texts, model.value), strict=True)
                 ]
                 columns = list(part.columns)
                 columns[at] = pa.array(new, part.schema.field(at).type)
