@@ -90,14 +90,43 @@ def license_sql() -> str:
             f" THEN list_append(found, '{licence}') ELSE found END AS found FROM {last})"
         )
         last = f"l_{i}"
+    most = max(len(text.split()) for text in licenses.SENTENCES.values())
     return rf"""WITH l_dict(name, sentence) AS (VALUES {names}),
 l_docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-l_cut AS (SELECT rid, string_split(regexp_replace(t, '{licenses.SENTENCE_END}', chr(10), 'g'), chr(10)) AS s FROM l_docs),
-l_each AS (
-  SELECT rid, unnest(s) AS raw, unnest(generate_series(1, len(s))) AS nth FROM l_cut),
+-- lower case words with single spaces, L for line breaks, S for ends of sentences, V for the dot of a version
+l_lines AS (
+  SELECT rid, regexp_replace(regexp_replace(lower(t), '{licenses.LEADER}', '\1', 'g'), '{licenses.ITEM}', '\1S', 'g') AS t
+  FROM l_docs),
+l_ends AS (
+  SELECT rid, replace(regexp_replace(regexp_replace(t, '\bv\.([\x20\x09-\x0D]+[0-9])', 'vV\1', 'g'),
+                                     '{licenses.SENTENCE_END}', 'S', 'g'), 'V', '.') AS t
+  FROM l_lines),
+l_marked AS (
+  SELECT rid, trim(regexp_replace(regexp_replace(regexp_replace(t, '[^a-z0-9.\nS-]+', ' ', 'g'), ' ?\n[ \n]*', 'L', 'g'),
+                                  '[ SL]*S[ SL]*', 'S', 'g')) AS m
+  FROM l_ends),
+l_blocks AS (
+  SELECT rid, unnest(string_split(m, 'S')) AS block, unnest(generate_series(1, len(string_split(m, 'S')))) AS b
+  FROM l_marked),
+l_starts AS (
+  SELECT rid, b, string_split(block, 'L') AS lines, unnest(string_split(block, 'L')) AS line,
+         unnest(generate_series(1, len(string_split(block, 'L')))) AS i
+  FROM l_blocks),
+l_begun AS (
+  SELECT rid, b, i, lines, name, sentence FROM l_starts JOIN l_dict ON starts_with(sentence, line) WHERE line <> ''),
+-- the last line of a sentence that begins with line i, if its lines are all there
+l_hits AS (
+  SELECT rid, b, i, name, sentence,
+         list_min(list_filter(generate_series(i, least(len(lines), i + {most})),
+                              lambda j: array_to_string(lines[i:j], ' ') = sentence)) AS j
+  FROM l_begun),
+l_longest AS (
+  SELECT * FROM l_hits WHERE j IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY rid, b, i ORDER BY length(sentence) DESC) = 1),
 l_known AS (
-  SELECT rid, nth, name FROM l_each JOIN l_dict
-    ON trim(regexp_replace(lower(raw), '{licenses.NOT_KEPT}', ' ', 'g')) = sentence),
+  SELECT rid, b * 1000000 + i AS nth, name FROM l_longest x
+  WHERE NOT EXISTS (
+    SELECT 1 FROM l_longest y WHERE y.rid = x.rid AND y.b = x.b AND y.i < x.i AND x.i <= y.j)),
 l_ids AS (
   SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY nth) AS ids,
          string_agg('|' || name || '|', '' ORDER BY nth) AS rest
