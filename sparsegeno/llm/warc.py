@@ -7,8 +7,9 @@ Each piece is a candidate record whose header says where its successor starts. P
 pointer jumping from offset 0 over (offset, successor) pairs finds the reachable
 candidates; all others are payload and are joined to the record they lie in.
 
-A file holds at most ``RECORDS_PER_FILE`` records, which bounds the candidate table of one
-file. Only whole records that contain the magic are put together again from pieces.
+A file holds at most ``RECORDS_PER_FILE`` records; its candidate table has one row more, of a few numbers,
+for each magic inside a payload. Only whole records that contain the magic are put together
+again from pieces.
 
 Defined results: a null html is an empty payload; a null page_id stays null and counts as
 larger than any other; pages that repeat the smallest page_id with the same payload are
@@ -29,6 +30,7 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS_PER_FILE = 20_000
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -81,6 +83,7 @@ def record(row: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.concat(F.lit("WARC-X-Payload-Bytes: "), F.col("size").cast("string")),
         F.when(~is_first, F.concat(F.lit("WARC-Refers-To: "), urn(F.col("first")))),
+        F.when(~is_first, F.lit(f"WARC-Profile: {PROFILE}")),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
@@ -150,7 +153,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
         (F.col("head_len") + F.col("content") + len(END)).alias("span"),
         "whole",
         F.when(F.col("whole"), F.octet_length(body).cast("long")).alias("payload_bytes"),
-        F.when(F.col("whole"), base32(F.sha1(body.cast("binary")))).alias("sha1"),
+        F.when(F.col("whole"), base32(F.sha1(body))).alias("sha1"),
         F.when(~F.col("whole"), F.col("value")).alias("value"),
         F.when(F.col("whole"), F.md5(F.col("value").cast("binary"))).alias("mark"),
     )
@@ -161,12 +164,9 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _payload(text: Column) -> Column:
-    """What follows the WARC header and the HTTP header, without the closing line breaks."""
-    block = F.substring(text, F.instr(text, END) + 4, F.length(text))
-    return let(
-        block,
-        lambda b: F.substring(b, F.instr(b, END) + 4, F.length(b) - F.instr(b, END) - 3 - len(END)),
-    )
+    """What follows the WARC header and the HTTP header, without the closing line breaks, as bytes."""
+    before = F.octet_length(F.substring_index(text, END, 2)) + len(END)
+    return F.substring(text.cast("binary"), before + 1, F.greatest(F.octet_length(text) - before - len(END), F.lit(0)))
 
 
 def _chains(pieces: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
     body = _payload(F.col("text"))
     joined = joined.select(
-        "head", F.octet_length(body).cast("long").alias("payload_bytes"), base32(F.sha1(body.cast("binary"))).alias("sha1")
+        "head", F.octet_length(body).cast("long").alias("payload_bytes"), base32(F.sha1(body)).alias("sha1")
     )
     rows = single.unionByName(joined)
 
