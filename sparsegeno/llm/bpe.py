@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Pieces up to this many characters are remembered, and this many of them per worker.
 MEMO_CHARS, MEMO_PIECES = 40, 250_000
+#: Pairs of entries whose compatibility is remembered per worker.
+MEMO_PAIRS = 1_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -86,6 +88,8 @@ class Tokenizer:
     def can_follow(self, a: int, b: int) -> bool:
         known = self.beside.get((a, b))
         if known is None:
+            if len(self.beside) >= MEMO_PAIRS:
+                self.beside.clear()
             x, y = self.token[a], self.token[b]
             known = self.beside[a, b] = self.merged(x + y) == [x, y]
         return known

@@ -28,6 +28,8 @@ from sparsegeno.llm import (
     warc,
 )
 
+from sparsegeno.llm.sql import LICENSE_SQL
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
 
@@ -118,11 +120,11 @@ def made_texts(seed, n):
     return [*out, "a" * 300, "b" * 20 + "a" * 100, None, "", out[5], out[5], out[7] + "x"]
 
 
-@pytest.mark.parametrize(("seed", "length", "gram", "hot"), [(1, 40, 16, 50_000), (2, 40, 20, 2), (3, 64, 32, 50_000)])
-def test_substrings(spark, seed, length, gram, hot):
+@pytest.mark.parametrize(("seed", "length", "gram", "most"), [(1, 40, 16, 20_000), (2, 40, 20, 2), (3, 64, 32, 20_000), (4, 40, 16, 1)])
+def test_substrings(spark, seed, length, gram, most):
     texts = made_texts(seed, 60)
     rows = [(i % 50 if i % 9 else None, t) for i, t in enumerate(texts)]  # null and repeated ids
-    got = substrings.deduplicate(spark.createDataFrame(rows, DOCS), length, gram, hot).collect()
+    got = substrings.deduplicate(spark.createDataFrame(rows, DOCS), length, gram, most).collect()
     want = [(i, *b) for (i, _), b in zip(rows, brute_substrings(texts, length), strict=True)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -277,7 +279,7 @@ def test_detect(sample):
         for s in spans:
             kind, a, b = s.split(":")
             if kind in ("secret", "account", "contact"):
-                assert any(c.isdigit() for c in texts[r["doc_id"]][int(a) : int(b)])
+                assert (kind, int(a), int(b)) in personal_data.candidates(texts[r["doc_id"]])
 
 
 def test_secrets_are_found_and_prose_is_left_alone(spark):
@@ -317,6 +319,73 @@ def test_capitals_take_linear_time():
         personal_data.candidates(text)
 
 
+@pytest.fixture(scope="module")
+def trees():
+    return personal_data.fitted([f"and so it was {i} said in the town by the sea " * 3 for i in range(50)])
+
+
+# true spans, written by hand: none of these texts is made by the rule that plants spans for the fit
+PRIVATE = [
+    ('db_password = "correcthorsebatterystaple"', "secret", "correcthorsebatterystaple"),
+    ("auth: Bearer c29tZXRoaW5nIHNlY3JldCBoZXJl", "secret", "c29tZXRoaW5nIHNlY3JldCBoZXJl"),
+    ("use token = 'x9Kq2LmP0vRt7YbN4cWz8HsD' for it", "secret", "x9Kq2LmP0vRt7YbN4cWz8HsD"),
+    ("his account 1234567890 was closed", "account", "1234567890"),
+    ("transfer to IBAN GB29 NWBK 6016 1331 9268 19 today", "account", "GB29 NWBK 6016 1331 9268 19"),
+    ("her SSN 078-05-1120 leaked", "account", "078-05-1120"),
+    ("please call (310) 555-4510 at noon", "contact", "(310) 555-4510"),
+    ("the phone 020 7946 0958 rang", "contact", "020 7946 0958"),
+]
+PLAIN = [
+    "on 2021-03-14 it rained", "version 10.4.12 of 1998", "the key differences between both", "pages 112 118 124",
+    "order 20481234 was shipped", "a well-known-and-much-loved place", "commit 9fceb02d0ae598e95dc970b74767f19372d61af8",
+    "the secret conversation of the password committee",
+]
+
+
+def test_private_spans_are_found_and_plain_ones_left(trees):
+    texts = [t for t, _, _ in PRIVATE]
+    got = [added for _, added in personal_data.find_spans(texts, trees)]
+    hits = sum((kind, t.index(v), t.index(v) + len(v)) in g for (t, kind, v), g in zip(PRIVATE, got, strict=True))
+    assert hits / len(PRIVATE) >= 0.85
+    false = sum(bool(added) for _, added in personal_data.find_spans(PLAIN, trees))
+    assert false / len(PLAIN) <= 0.15
+
+
+def test_held_out_recall_and_precision(trees):
+    model, thresholds = trees
+    x, y = (np.array(v) for v in personal_data.planted_rows(["other snippets of quite other words here"], 3000, seed=123))
+    yes = model.predict(x) >= thresholds[x[:, 0].astype(int)]
+    for kind in ("secret", "account", "contact"):
+        own = x[:, 0] == personal_data.KINDS.index(kind)
+        assert (yes & own & (y == 1)).sum() / (own & (y == 1)).sum() >= 0.9, kind
+        assert y[yes & own].mean() >= 0.9, kind
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9), st.sampled_from([0.2, 0.5, 0.9])), max_size=25),
+       st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=4))
+def test_chosen_spans_equal_those_of_a_plain_search(spans, base):
+    found = [(("secret", "account")[i % 2], a, a + n) for i, (a, n, _) in enumerate(spans)]
+    base = [("ip", a, a + n) for a, n in base]
+    thresholds = np.array([0.0] * 4 + [0.4, 0.6, 0.5])
+    want = []
+    for p, (kind, a, b) in sorted(((p, s) for (_, _, p), s in zip(spans, found, strict=True)), key=lambda x: (-x[0], x[1][1], x[1])):
+        if p >= thresholds[personal_data.KINDS.index(kind)] and all(b <= c or d <= a for _, c, d in base + want):
+            want.append((kind, a, b))
+    assert personal_data._select(found, np.array([p for _, _, p in spans]), thresholds, base) == want
+
+
+def test_spans_of_a_long_table_of_numbers(trees):
+    text = " ".join(str(i % 97 + 10) for i in range(300_000))
+    ((base, added),) = personal_data.find_spans([text], trees)
+    assert base == [] and len(added) < 100
+
+
+def test_long_unbroken_accounts_are_proposed():
+    text = "account 1" + "A7" * 30
+    assert ("account", 8, len(text)) in personal_data.candidates(text)
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
@@ -516,7 +585,9 @@ def test_mixing(spark, seed):
 
 
 def test_licences(spark):
-    assert all(re.search(licenses.TRIGGER, s) for s in licenses.SENTENCES.values())
+    words = licenses.gate(list(licenses.SENTENCES.values()))
+    assert all(any(w in s for w in words) for s in licenses.SENTENCES.values()) and len(words) < 15
+    assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
     assert all(i in licenses.SENTENCES for _, seq in licenses.RULES for i in seq)
     mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
@@ -581,14 +652,74 @@ You may obtain a copy of the License at
 
 Unless required by applicable law or agreed to in writing
 """,
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+""",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n",
+    "EPL-2.0": "SPDX-License-Identifier: EPL-2.0\n",
     "Unlicense": "This is free and unencumbered software released into the public\ndomain.\n",
 }
 WRAPPED_IDS = {
     "MIT": "mit-grant mit-condition as-is",
     "BSD-2-Clause": "bsd-grant bsd-source bsd-binary",
     "GPL-3.0-or-later": "gpl-free gpl-hope-useful gpl-hope-implied",
-    "MPL-2.0": "mpl-2.0-notice",
+    "MPL-2.0": "mpl-2.0-notice mpl-2.0-copy",
     "Apache-2.0": "apache-2.0-notice-the apache-2.0-comply apache-2.0-copy",
+    "BSD-3-Clause": "bsd-grant bsd-source bsd-binary bsd-name bsd-as-is",
+    "LGPL-2.1-or-later": "library-free lgpl-terms either-2.1 lgpl-hope-useful gpl-hope-implied",
+    "GPL-2.0-or-later": "program-free gpl-terms either-2",
+    "ISC": "isc-grant isc-as-is",
+    "Zlib": "zlib-as-is zlib-grant zlib-origin zlib-claim",
+    "AGPL-3.0": "agpl-3-title",
+    "EPL-2.0": "spdx-epl-2.0",
     "Unlicense": "unlicense-domain",
 }
 
@@ -602,5 +733,13 @@ def test_wrapped_licences(spark):
             want.append(([name], WRAPPED_IDS[name].split()))
     rows.append((len(rows), "Licensed under the MIT License\nLicensed under CC BY 4.0\nand more\nreleased under the MIT license (no)"))
     want.append((["MIT", "CC-BY-4.0"], ["mit-notice-licensed", "cc-by-4.0-notice"]))
-    got = {r["doc_id"]: (r["licences"], r["sentence_ids"]) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["licences"], r["sentence_ids"]) for r in licenses.scan(docs).collect()}
     assert [got[i] for i, _ in rows] == want
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    columns = "doc_id, n_sentences, sentence_ids, licences"
+    found = con.sql(f"SELECT {columns} FROM ({LICENSE_SQL}) ORDER BY 1").fetchall()
+    assert found == [tuple(r) for r in licenses.digests(docs).select(*columns.split(", ")).orderBy("doc_id").collect()]
