@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +31,16 @@ def to_arrow(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, np.ascontiguousarray(values).ravel())
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+#: Sites, and cells, of the matrices that a task works on at once.
+SITES, CELLS = 2048, 1 << 20
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold a bounded number of cells, however many samples there are."""
     for batch in batches:
+        lists = [c for c in batch.columns if pa.types.is_list(c.type) and batch.num_rows]
+        width = max((len(c[0]) for c in lists if c[0].is_valid), default=1)
+        rows = max(1, min(SITES, CELLS // max(width, 1)))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
 
@@ -60,31 +69,41 @@ def with_site_columns(panel: DataFrame, make: Callable[[Columns], Columns], **ki
 def site_sums(panel: DataFrame, make: Callable[[Columns], np.ndarray], mean: bool = False) -> DataFrame:
     """(i, j, v): the matrix that ``make`` gives for batches of sites, summed over all sites.
 
-    Each task adds up its own batches; only one matrix per task is shuffled, by cell. Every
-    cell comes with the task's number of sites, so the ``mean`` per site needs no second pass.
+    Each task adds up its own batches; small partitions are read one after the other, so that there are
+    about two matrices per core. They are shuffled by row of the matrix, one array per row, and added
+    as they arrive. Every row comes with the task's number of sites, so the ``mean`` per site needs no
+    second pass.
     """
+    kind, names = "i int, v array<double>, sites long", ["i", "v", "sites"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(at: list[int], values: np.ndarray, sites: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), to_arrow(values), pa.array(sites, pa.int64())], names)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sites = None, 0
         for batch in _batches(batches):
             sites += batch.num_rows
             part = np.atleast_2d(make({n: to_numpy(c) for n, c in zip(batch.schema.names, batch.columns, strict=True)}))
-            total = part if total is None else total + part
-        if total is not None:
-            i, j = np.indices(total.shape, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(i.ravel()),
-                    pa.array(j.ravel()),
-                    pa.array(total.ravel().astype(np.float64)),
-                    pa.array(np.full(total.size, sites, np.int64)),
-                ],
-                ["i", "j", "v", "sites"],
-            )
-
-    parts = panel.mapInArrow(run, "i int, j int, v double, sites long")
-    total = F.sum("v") / F.sum("sites") if mean else F.sum("v")
-    return parts.groupBy("i", "j").agg(total.alias("v"))
+            total = part.astype(np.float64) if total is None else total + part
+        for i in range(0, 0 if total is None else len(total), 256):
+            values = total[i : i + 256]
+            yield rows_of(list(range(i, i + len(values))), values, [sites] * len(values))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        sites: dict[int, int] = {}
+        for batch in batches:
+            for i, v, n in zip(batch.column(0).to_pylist(), to_numpy(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                total[i] = total[i] + v if i in total else v.copy()
+                sites[i] = sites.get(i, 0) + n
+        at = sorted(total)
+        for k in range(0, len(at), 256):
+            yield rows_of(at[k : k + 256], np.stack([total[i] for i in at[k : k + 256]]), [sites[i] for i in at[k : k + 256]])
+
+    few = panel.coalesce(2 * panel.sparkSession.sparkContext.defaultParallelism)
+    sums = few.mapInArrow(own, kind).repartition("i").mapInArrow(added, kind)
+    cells = sums.select("i", F.posexplode("v").alias("j", "v"), "sites")
+    return cells.select("i", "j", (F.col("v") / F.col("sites") if mean else F.col("v")).alias("v"))
 
 
 def collect_matrix(cells: DataFrame) -> np.ndarray:
@@ -104,11 +123,26 @@ def cells_of(panel: DataFrame, **columns: str) -> DataFrame:
     return rows.select("site_idx", "sample_idx", *(F.col(f"x.{n}").alias(n) for n in columns))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a folder of our own only if unset."""
-    spark = df.sparkSession
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only in a local session without it."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
     if not held.isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-shared-"))
+        sc.setCheckpointDir(found)
+    return found
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -123,7 +123,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
             sinks.write_site_matrix(scanned, "weight", path("weights"))
         if a.pcadapt:
             sinks.write_site_matrix(scanned, "pcadapt", path("pcadapt.zscores"))
-            far = scans.distances(scanned, components=lead, exact=False)
+            far = scans.distances(scanned, components=lead)
             sinks.write_table(scans.p_values(far.select("site_idx", "d2"), "d2", lead), path("pcadapt.pvalues"))
     if a.inbreed_sites:
         per = inbreeding.per_site(panel, a.inbreed_tole, a.inbreed_iter)
@@ -174,7 +174,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.pi_save:
         sinks.write_table(panel.select("site_idx", "pi"), path("pi"))
     if a.sites_save:
-        sinks.write_site_flags(frequency.sites_kept(loaded, panel), path("sites"))
+        # one flag per site of the input, also for those that a mask took out
+        every = text.load_mask(spark, a.filter_sites) if a.filter_sites else loaded
+        sinks.write_site_flags(frequency.sites_kept(every, panel), path("sites"))
     log["seconds"] = round(time.time() - began, 1)
     spark.createDataFrame([(json.dumps(log),)], "value string").select(F.col("value")).coalesce(1).write.text(path("log"))
     return log

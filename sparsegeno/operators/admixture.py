@@ -22,6 +22,7 @@ from .covariance import ARRAY
 from .fixed_point import CUT_EVERY
 
 LOW = 1e-4
+FIRST_STEPS = 8
 
 
 def _clamp(x: np.ndarray) -> np.ndarray:
@@ -81,6 +82,19 @@ def _step_norms(panel: DataFrame, q: np.ndarray, steps: int) -> np.ndarray:
     return np.sqrt(collect_matrix(site_sums(panel, make))[0])
 
 
+def _steps(panel: DataFrame, q: np.ndarray, most: int) -> int:
+    """Steps of ``anc`` until one is at most a tenth of the first: a few are tried, then twice as many."""
+    tried = min(FIRST_STEPS, most)
+    while True:
+        norms = _step_norms(panel, q, tried)
+        small = np.flatnonzero(norms <= 0.1 * norms[0])
+        if len(small):
+            return int(small[0]) + 1
+        if tried == most:
+            return most
+        tried = min(2 * tried, most)
+
+
 def log_likelihood(panel: DataFrame, q: np.ndarray) -> float:
     """Sum of log(L0(1-x)^2 + 2 L1 x(1-x) + L2 x^2) with x = anc Q'."""
 
@@ -123,6 +137,12 @@ class Admixture:
     frobenius: float
     rounds: int
     converged: bool
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Frees the cached sites; the fit cannot be read cheaply after that."""
+        for part in self.held:
+            part.unpersist()
 
 
 def admix(
@@ -152,10 +172,7 @@ def admix(
         for b, part in parts.items():
             m = sizes[b]
             most_f = 2 * (1 + (samples * m + samples * k) // (m * k + m))
-            norms = _step_norms(part, q, most_f)
-            small = np.flatnonzero(norms <= 0.1 * norms[0])
-            steps = int(small[0]) + 1 if len(small) else most_f
-            new = update_anc(part, q, steps)
+            new = update_anc(part, q, _steps(part, q, most_f))
             if rounds % CUT_EVERY == 0:
                 new = checkpointed(new)
             new = new.persist(StorageLevel.MEMORY_AND_DISK)
@@ -177,7 +194,7 @@ def admix(
     for part in parts.values():
         whole = part if whole is None else whole.unionByName(part)
     whole = whole if whole is not None else drawn.drop("__batch")
-    return Admixture(q, whole, log_likelihood(whole, q), frobenius(whole, q), rounds, done)
+    return Admixture(q, whole, log_likelihood(whole, q), frobenius(whole, q), rounds, done, tuple(parts.values()))
 
 
 def alpha_search(
@@ -186,26 +203,34 @@ def alpha_search(
     """The regularisation with the highest log-likelihood, by halving steps.
 
     0, end / 2 and end are tried first and the best is the centre; then at every depth a
-    lower and, if that doesn't help, a higher value. While the best is 0 only the middle
-    between 0 and the upper edge is tried, and the edge comes down each time. The end is
-    soft: a higher value may exceed it.
+    lower and, if that doesn't help, a higher value. If 0 is the best of the three, only the middle
+    between 0 and the upper edge is tried, and the edge comes down to it at every depth, whether or not it
+    was better. The end is soft: a higher value may exceed it. Fits that lose are released.
     """
     tried = {a: fit(a) for a in (0.0, end / 2.0, end)}
     best = max(tried, key=lambda a: (tried[a].log_likelihood, -a))
-    found = tried[best]
-    step, edge = end / 4.0, end / 2.0
+    found = tried.pop(best)
+    for other in tried.values():
+        other.release()
+
+    def better(value: float) -> bool:
+        nonlocal best, found
+        trial = fit(value)
+        if trial.log_likelihood > found.log_likelihood:
+            found.release()
+            best, found = value, trial
+            return True
+        trial.release()
+        return False
+
+    edge, step = (end / 2.0 if best == 0.0 else None), end / 4.0
     for _ in range(depth - 1):
-        if best == 0.0:
+        if edge is not None:
             edge /= 2.0
-            trial = fit(edge)
-            if trial.log_likelihood > found.log_likelihood:
-                best, found = edge, trial
-                step = edge / 2.0
-            continue
-        for value in (max(best - step, 0.0), best + step):
-            trial = fit(value)
-            if trial.log_likelihood > found.log_likelihood:
-                best, found = value, trial
-                break
-        step /= 2.0
+            better(edge)
+        else:
+            centre = best
+            if not better(max(centre - step, 0.0)):
+                better(centre + step)
+            step /= 2.0
     return best, found

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.passes import Columns, collect_matrix, with_site_columns
@@ -41,40 +41,72 @@ def scans(panel: DataFrame, components: int) -> DataFrame:
     return with_site_columns(rows, make, selection=ARRAY, pcadapt=ARRAY, weight=ARRAY).drop("e")
 
 
-def _median(c: Column, exact: bool) -> Column:
-    return F.median(c) if exact else F.percentile_approx(c, 0.5, 100_000)
+def exact_median(rows: DataFrame, column: str, most: int = 100_000) -> float:
+    """The median of a column without nulls; the mean of the two middle values of an even number.
 
-
-def _robust(rows: DataFrame, columns: list[str], exact: bool) -> tuple[list[float], list[float]]:
-    """Medians and scaled median deviations of columns, in two aggregations."""
-    mid = rows.agg(*(_median(F.col(c), exact).alias(c) for c in columns)).first()
-    mids = [float(mid[c]) for c in columns]
-    off = rows.agg(*(_median(F.abs(F.col(c) - m), exact).alias(c) for c, m in zip(columns, mids, strict=True))).first()
-    return mids, [1.4826022185056018 * float(off[c]) for c in columns]
-
-
-def distances(rows: DataFrame, z: str = "pcadapt", components: int = 1, exact: bool = True) -> DataFrame:
+    Counts over value ranges narrow down where the middle is; only when at most ``most`` values are left
+    are they looked at together, so that no task holds all sites.
+    """
+    values = rows.select(F.col(column).alias("x"))
+    n = values.count()
+    ranks, below, left = ((n - 1) // 2, n // 2), 0, n
+    while left > most:
+        share = [(r - below + 0.5) / left for r in ranks]
+        at = [F.lit(max(0.0, share[0] - 0.01)), F.lit(min(1.0, share[1] + 0.01))]
+        low, high = values.agg(F.percentile_approx("x", F.array(*at), 1000)).first()[0]
+        x = F.col("x")
+        less, inside = values.agg(F.count_if(x < low), F.count_if((x >= low) & (x <= high))).first()
+        if low == high and below + less <= ranks[0] and ranks[1] < below + less + inside:
+            return float(low)
+        if below + less > ranks[0] or ranks[1] >= below + less + inside or inside == left:
+            # the estimate missed, or all that is left is alike on both ends: halve by value instead
+            low, high = values.agg(F.min("x"), F.max("x")).first()
+            if low == high:
+                return float(low)
+            middle = (low + high) / 2.0
+            less = values.agg(F.count_if(x <= middle)).first()[0]
+            if below + less > ranks[1]:
+                values, left = values.where(x <= middle), less
+            elif below + less <= ranks[0]:
+                values, below, left = values.where(x > middle), below + less, left - less
+            else:  # the middle pair lies on both sides
+                ends = values.agg(F.max(F.when(x <= middle, x)), F.min(F.when(x > middle, x))).first()
+                return (ends[0] + ends[1]) / 2.0
+        else:
+            values, below, left = values.where((x >= low) & (x <= high)), below + less, inside
+    found = sorted(r[0] for r in values.collect())  # at most ``most``
+    return (found[ranks[0] - below] + found[ranks[1] - below]) / 2.0
+
+
+def _robust(rows: DataFrame, columns: list[str]) -> tuple[list[float], list[float]]:
+    """Medians and scaled median deviations of columns."""
+    mids = [exact_median(rows, c) for c in columns]
+    off = rows.select(*(F.abs(F.col(c) - m).alias(c) for c, m in zip(columns, mids, strict=True)))
+    return mids, [1.4826022185056018 * exact_median(off, c) for c in columns]
+
+
+def distances(rows: DataFrame, z: str = "pcadapt", components: int = 1) -> DataFrame:
     """``rows`` with d2, the robust squared distance of the z-scores from their centre.
 
     One component: (z - median)^2. More: orthogonalised pairwise estimation (Maronna and
     Zamar 2002): scales of sums and differences of columns give a covariance, its
     eigenvectors give new axes, and the distance is measured by median and deviation on these.
-    ``exact=False`` uses approximate medians, for very many sites.
+    ``rows`` should be cached; it is read several times.
     """
     names = [f"__z{i}" for i in range(components)]
     wide = rows.select("*", *(F.get(z, i).alias(n) for i, n in enumerate(names)))
-    if rows.isEmpty():
+    if not rows.count():
         return rows.withColumn("d2", F.lit(None).cast("double"))
     if components == 1:
-        mid = wide.agg(_median(F.col(names[0]), exact)).first()[0]
-        return wide.withColumn("d2", F.pow(F.col(names[0]) - F.lit(float(mid)), 2)).drop(*names)
-    _, scales = _robust(wide, names, exact)
+        mid = exact_median(wide, names[0])
+        return wide.withColumn("d2", F.pow(F.col(names[0]) - F.lit(mid), 2)).drop(*names)
+    _, scales = _robust(wide, names)
     y = [F.col(n) / s for n, s in zip(names, scales, strict=True)]
     pairs = [(i, j) for i in range(components) for j in range(i)]
     both = wide.select(
         *(c for i, j in pairs for c in ((y[i] + y[j]).alias(f"__p{i}_{j}"), (y[i] - y[j]).alias(f"__m{i}_{j}")))
     )
-    _, spread = _robust(both, both.columns, exact)
+    _, spread = _robust(both, both.columns)
     u = np.eye(components)
     for n, (i, j) in enumerate(pairs):
         u[i, j] = u[j, i] = (spread[2 * n] ** 2 - spread[2 * n + 1] ** 2) / 4.0
@@ -82,7 +114,7 @@ def distances(rows: DataFrame, z: str = "pcadapt", components: int = 1, exact: b
     turned = [sum((y[i] * float(axes[i, a]) for i in range(components)), F.lit(0.0)) for a in range(components)]
     on = [f"__a{a}" for a in range(components)]
     wide = wide.select("*", *(t.alias(n) for t, n in zip(turned, on, strict=True)))
-    mids, widths = _robust(wide, on, exact)
+    mids, widths = _robust(wide, on)
     d2 = sum((F.pow((F.col(n) - m) / w, 2) for n, m, w in zip(on, mids, widths, strict=True)), F.lit(0.0))
     return wide.withColumn("d2", d2).drop(*names, *on)
 

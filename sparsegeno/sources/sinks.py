@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import file_system
+
 DIGITS = 7
+#: The first bytes of a file of packed calls, sites in order.
+BED_HEADER = b"\x6c\x1b\x01"
 
 
 def _shown(c: Column, digits: int) -> Column:
@@ -49,8 +57,11 @@ def write_cells(cells: DataFrame, path: str, files: int | None = None, digits: i
     _ordered(rows, ["i"], line, path, files)
 
 
-def write_beagle(panel: DataFrame, path: str) -> None:
-    """A likelihood table with header, gzipped in one file, for programs that read such tables."""
+def write_beagle(panel: DataFrame, path: str, one_file: bool = False) -> None:
+    """A likelihood table: text files that follow each other by name, the first with the header.
+
+    ``one_file``: one gzipped file for programs that read such tables; the whole panel passes one task then.
+    """
     cell = F.transform(
         F.arrays_zip("l0", "l1"),
         lambda x: F.concat_ws("\t", x["l0"].cast("string"), x["l1"].cast("string"), (1.0 - x["l0"] - x["l1"]).cast("string")),
@@ -61,8 +72,38 @@ def write_beagle(panel: DataFrame, path: str) -> None:
     header = "\t".join(["marker", "allele1", "allele2", *(f"Ind{i}" for i in range(n) for _ in range(3))])
     rows = panel.select("site_idx", line.alias("value"))
     head = panel.sparkSession.createDataFrame([(-1, header)], "site_idx long, value string")
-    both = head.unionByName(rows).repartitionByRange(1, "site_idx").sortWithinPartitions("site_idx")
-    both.select("value").write.option("compression", "gzip").text(path)
+    both = head.unionByName(rows)
+    both = both.repartitionByRange(1, "site_idx") if one_file else both.repartitionByRange("site_idx")
+    both = both.sortWithinPartitions("site_idx").select("value")
+    both.write.option("compression", "gzip" if one_file else "none").text(path)
+
+
+def write_plink(rows: DataFrame, samples: int, prefix: str) -> None:
+    """(site_idx, codes) as a folder prefix.bed of files in the order of sites, and prefix.fam.
+
+    Each task writes the file of its own range; a task that runs again writes the same file again.
+    """
+    spark = rows.sparkSession
+    ranged = rows.select("site_idx", "codes").repartitionByRange("site_idx").sortWithinPartitions("site_idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, written, out = TaskContext.get().partitionId(), 0, None
+        system, folder = file_system(f"{prefix}.bed")
+        for batch in batches:
+            if batch.num_rows and out is None:
+                system.create_dir(folder, recursive=True)
+                out = system.open_output_stream(f"{folder}/part-{part:06d}.bed")
+                out.write(BED_HEADER)
+            for codes in batch.column(1).to_pylist():
+                out.write(codes)
+            written += batch.num_rows
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["sites"])
+
+    ranged.mapInArrow(run, "sites long").agg(F.sum("sites")).collect()
+    names = spark.range(samples).select(F.concat_ws(" ", "id", "id", *map(F.lit, "0 0 0 -9".split())).alias("value"))
+    names.coalesce(1).write.text(f"{prefix}.fam")
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.passes import CELLS, shared_path, to_arrow
+
 THIRD = 0.333333
+#: Endings of files that one task has to read from the start.
+COMPRESSED = (".gz", ".deflate")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the lines of one or more text files, numbered from 0 in order.
 
-    Lines are counted per input split; only these counts (one row per split) reach the driver.
+    Lines are counted per input split; only these counts (one row per split) reach the driver. A compressed
+    file cannot be split: it is read once, its lines are dealt out and written to the shared folder.
     """
-    rows = spark.read.text(path).select(
+    raw = spark.read.text(path)
+    rows = raw.select(
         "value",
         F.struct(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b")).alias("split"),
         F.monotonically_increasing_id().alias("nth"),
     )
+    if any(name.endswith(COMPRESSED) for name in raw.inputFiles()):
+        dealt, kept = shared_path(spark, "lines"), rows.schema
+        rows.repartition("nth").write.parquet(dealt)
+        rows = spark.read.schema(kept).parquet(dealt)
     counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.min("nth").alias("first")).collect()
     offsets, total = [], 0
     for r in sorted(counts, key=lambda r: (r["split"]["p"], r["split"]["b"])):
@@ -81,65 +94,82 @@ def scan_beagle(
     return cells.select("site_idx", "c.l0", "c.l1")
 
 
-def call_likelihoods(code: Column, error: float) -> Column:
-    """Struct (l0, l1) of a two-bit code: 0 and 3 homozygous, 2 heterozygous, 1 missing."""
+def call_likelihoods(error: float) -> np.ndarray:
+    """(l0, l1) of each two-bit code: 0 and 3 homozygous, 2 heterozygous, 1 missing."""
     e, ok = error, 1.0 - error
-    table = ((ok * ok, 2 * e * ok), (THIRD, THIRD), (e * ok, ok * ok + e * e), (e * e, 2 * e * ok))
-    lookup = F.array(*(F.struct(F.lit(a).alias("l0"), F.lit(b).alias("l1")) for a, b in table))
-    return F.element_at(lookup, code + 1)
+    return np.array(((ok * ok, 2 * e * ok), (THIRD, THIRD), (e * ok, ok * ok + e * e), (e * e, 2 * e * ok)))
 
 
 def decode_bed(rows: DataFrame, samples: int, error: float = 0.0) -> DataFrame:
     """site_idx, l0, l1 from (site_idx, codes): packed bytes, two bits per sample, low bits first.
 
-    Codes beyond the last sample are padding.
+    Codes beyond the last sample are padding. One lookup for all sites of a batch.
     """
+    table = call_likelihoods(error)
+    width, shifts = -(-samples // 4), np.arange(0, 8, 2, dtype=np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, CELLS // samples)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                packed = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, width)
+                codes = ((packed[:, :, None] >> shifts) & 3).reshape(len(packed), -1)[:, :samples]
+                columns = [part.column(0), *(to_arrow(table[:, k][codes]) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["site_idx", "l0", "l1"])
+
+    packed = rows.select(F.col("site_idx").cast("long"), "codes")
+    return packed.mapInArrow(run, "site_idx long, l0 array<double>, l1 array<double>")
+
 
-    def code(i: Column) -> Column:
-        byte = F.conv(F.substring(F.hex("codes"), (i / 4).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        power = F.element_at(F.array(*map(F.lit, (1, 4, 16, 64))), (i % 4) + 1)
-        return (F.floor(byte / power) % 4).cast("int")
+def file_system(path: str):
+    from pyarrow import fs
 
-    at = F.sequence(F.lit(0), F.lit(samples - 1))
-    cells = rows.select("site_idx", F.transform(at, lambda i: call_likelihoods(code(i), error)).alias("c"))
-    return cells.select("site_idx", F.col("c.l0").alias("l0"), F.col("c.l1").alias("l1"))
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, count: int):
-        self.first, self.count = first, count
+    """Some sites of a file: the file, its first site there, their number, and the first one's site_idx."""
+
+    def __init__(self, path: str, first: int, count: int, site: int):
+        self.path, self.first, self.count, self.site = path, first, count, site
 
 
 class BedReader(DataSourceReader):
-    """Ranges of whole sites of a .bed file; each task opens the file at its own offset."""
+    """Ranges of whole sites of a .bed file, or of all in a folder; each task opens a file at its own offset."""
 
     SITES = 1 << 16
 
     def __init__(self, path: str, samples: int):
         self.path, self.width = path, -(-samples // 4)
 
-    def _open(self):
+    def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        if "://" in self.path:
-            return fs.FileSystem.from_uri(self.path)
-        return fs.LocalFileSystem(), self.path.removeprefix("file:")
-
-    def partitions(self) -> list[InputPartition]:
-        system, inner = self._open()
-        size = system.get_file_info(inner).size - 3
-        if size % self.width:
-            raise ValueError("the file's size doesn't fit the number of samples")
-        sites = size // self.width
-        return [_Range(i, min(self.SITES, sites - i)) for i in range(0, sites, self.SITES)] or [_Range(0, 0)]
+        system, inner = file_system(self.path)
+        files = [system.get_file_info(inner)]
+        if files[0].type == fs.FileType.Directory:
+            files = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".bed")]
+        found, site = [], 0
+        for f in sorted(files, key=lambda f: f.path):
+            if (f.size - 3) % self.width:
+                raise ValueError("the file's size doesn't fit the number of samples")
+            sites = (f.size - 3) // self.width
+            found += [_Range(f.path, i, min(self.SITES, sites - i), site + i) for i in range(0, sites, self.SITES)]
+            site += sites
+        return found or [_Range(inner, 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        system, inner = self._open()
-        with system.open_input_file(inner) as f:
+        if not partition.count:
+            return
+        system, _ = file_system(self.path)
+        with system.open_input_file(partition.path) as f:
             f.seek(3 + partition.first * self.width)
             data = f.read(partition.count * self.width)
         for i in range(partition.count):
-            yield partition.first + i, bytes(data[i * self.width : (i + 1) * self.width])
+            yield partition.site + i, bytes(data[i * self.width : (i + 1) * self.width])
 
 
 class BedSource(DataSource):
@@ -159,7 +189,8 @@ class BedSource(DataSource):
 def scan_plink(spark: SparkSession, prefix: str, error: float = 0.0) -> DataFrame:
     """site_idx, l0, l1 from prefix.bed with as many samples as prefix.fam has lines.
 
-    The path must be one that all executors can open (a shared or remote file system).
+    prefix.bed may be a folder of such files, one after the other in the order of their names. The path must be
+    one that all executors can open (a shared or remote file system).
     """
     samples = spark.read.text(f"{prefix}.fam").count()
     spark.dataSource.register(BedSource)

@@ -82,6 +82,9 @@ def test_chi2_tail():
     assert chi2_upper(np.array([5.991464547107979]), 2) == pytest.approx([0.05])
     assert chi2_upper(np.array([7.814727903251179]), 3) == pytest.approx([0.05])
     assert chi2_upper(np.array([11.070497693516351]), 5) == pytest.approx([0.05])
+    x = np.concatenate([np.linspace(0.0, 60.0, 4001), [200.0, 900.0]])
+    want = np.array([math.erfc(math.sqrt(v / 2.0)) for v in x])
+    assert np.allclose(chi2_upper(x, 1), want, rtol=1e-11, atol=1e-14)
     assert frequency.hwe_bound(1e-6) == pytest.approx(23.928127, abs=1e-5)
 
 
@@ -170,8 +173,21 @@ def test_alpha_search_finds_the_peak():
         def __init__(self, a):
             self.log_likelihood = -((a - 3.0) ** 2)
 
+        def release(self):
+            pass
+
     best, _ = admixture.alpha_search(Fitted, 10.0, 7)
     assert abs(best - 3.0) < 0.3
-    best, _ = admixture.alpha_search(lambda a: type("R", (), {"log_likelihood": -a})(), 10.0, 5)
+    tried = []
+
+    def near_one(a):
+        tried.append(a)
+        return type("R", (), {"log_likelihood": -abs(a - 1.0), "release": lambda self: None})()
+
+    best, _ = admixture.alpha_search(near_one, 10.0, 6)
+    assert tried == [0.0, 5.0, 10.0, 2.5, 1.25, 0.625, 0.3125, 0.15625] and best == 1.25
+    best, _ = admixture.alpha_search(
+        lambda a: type("R", (), {"log_likelihood": -a, "release": lambda self: None})(), 10.0, 5
+    )
     assert best == 0.0
     assert math.isfinite(best)
