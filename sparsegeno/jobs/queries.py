@@ -6,8 +6,6 @@ can be compared with SQL.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.passes import cells_of, collect_matrix, with_site_columns
+from ..functions.passes import shared_path as _path
 from ..operators import admixture, covariance, frequency, genotype, inbreeding, pca, scans, tree
 from ..operators.fixed_point import factor
 from ..sources import reads, sinks, text
@@ -33,12 +32,6 @@ def _r(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, or in a temporary one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.star_panel(spark, sf_dir)
 
@@ -85,6 +78,14 @@ def _beagle_file(spark, sf_dir) -> str:
     return path
 
 
+@query
+def scan_beagle_gzip(spark, sf_dir):
+    """The same from one gzipped file, which is read once and dealt out."""
+    path = _path(spark, "beagle-gz")
+    sinks.write_beagle(_panel(spark, sf_dir), path, one_file=True)
+    return _cells(text.scan_beagle(spark, path), l0="l0", l1="l1")
+
+
 def _site_mask(spark, sf_dir) -> DataFrame:
     n = _panel(spark, sf_dir).count()
     return spark.range(n).select(F.col("id").alias("site_idx"), (F.col("id") % 7 != 0).cast("int").alias("keep"))
@@ -139,6 +140,14 @@ def decode_bed(spark, sf_dir):
     return _cells(text.decode_bed(_packed(spark, sf_dir), _samples(spark, sf_dir), 0.01), l0="l0", l1="l1")
 
 
+@query
+def scan_plink(spark, sf_dir):
+    """Packed calls written as files and read back."""
+    prefix, n = _path(spark, "plink"), _samples(spark, sf_dir)
+    sinks.write_plink(_packed(spark, sf_dir), n, prefix)
+    return _cells(text.scan_plink(spark, prefix, 0.01), l0="l0", l1="l1")
+
+
 @query
 def load_mask(spark, sf_dir):
     path = _path(spark, "mask")
@@ -159,7 +168,14 @@ def load_lrt(spark, sf_dir):
 
 @query
 def load_names(spark, sf_dir):
-    return text.load_names(spark, None, _samples(spark, sf_dir))
+    """A name for each sample, from a file: its nation's, and its number of customers."""
+    path = _path(spark, "names")
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    count = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).count()
+    line = F.concat_ws("-", "n_name", F.coalesce("count", F.lit(0)))
+    rows = nation.join(count, "n_nationkey", "left").select("n_nationkey", line.alias("value"))
+    rows.repartitionByRange("n_nationkey").sortWithinPartitions("n_nationkey").select("value").write.text(path)
+    return text.load_names(spark, path, _samples(spark, sf_dir))
 
 
 # -- frequencies -----------------------------------------------------------------------------
@@ -297,6 +313,11 @@ def cov_ind(spark, sf_dir):
     return _matrix(_model(spark, sf_dir).cov, "c", 5)
 
 
+def _converged(spark, sf_dir) -> pca.Model:
+    """Two components, with the operator's own bounds."""
+    return pca.fit_pi(_fitted(spark, sf_dir), 2)
+
+
 def _lead(panel: DataFrame) -> np.ndarray:
     return pca.top_k(collect_matrix(covariance.gram(panel)), 1)[0]
 
@@ -322,8 +343,8 @@ def fit_pi_k1(spark, sf_dir):
 
 @query
 def fit_pi(spark, sf_dir):
-    """Two components; no SQL (eigenvectors), compared with NumPy in the tests."""
-    return _cells(_model(spark, sf_dir, 2).panel, 5, pi="pi")
+    """Two components, fitted until convergence; no SQL (eigenvectors), compared with NumPy in the tests."""
+    return _cells(_converged(spark, sf_dir).panel, 5, pi="pi")
 
 
 @query
@@ -360,12 +381,19 @@ def weights_abs_k1(spark, sf_dir):
 
 @query
 def pcadapt_stat_k1(spark, sf_dir):
-    return scans.distances(_scanned(spark, sf_dir)).select("site_idx", _r("d2", 5).alias("d2"))
+    return scans.distances(_scanned(spark, sf_dir).cache()).select("site_idx", _r("d2", 5).alias("d2"))
+
+
+@query
+def pcadapt_pvalue_k1(spark, sf_dir):
+    rows = scans.distances(_scanned(spark, sf_dir).cache())
+    return scans.p_values(rows.select("site_idx", "d2"), "d2", 1).select("site_idx", _r("p", 5).alias("p"))
 
 
 @query
 def pcadapt_pvalue(spark, sf_dir):
-    rows = scans.distances(_scanned(spark, sf_dir, 2), components=2)
+    """Two components, fitted until convergence; no SQL (eigenvectors)."""
+    rows = scans.distances(scans.scans(_converged(spark, sf_dir).panel, 2).cache(), components=2)
     return scans.p_values(rows.select("site_idx", "d2"), "d2", 2).select("site_idx", _r("p", 5).alias("p"))
 
 
@@ -388,6 +416,18 @@ def inbreed_sites_fixed(spark, sf_dir):
     return _site(inbreeding.per_site(_grouped(spark, sf_dir), fixed_rounds=2).panel, "inbreed", "f")
 
 
+@query
+def inbreed_sites(spark, sf_dir):
+    """Until convergence; the number of rounds depends on the data, so there is no SQL."""
+    return _site(inbreeding.per_site(_grouped(spark, sf_dir)).panel, "inbreed", "f", digits=4)
+
+
+@query
+def inbreed_samples(spark, sf_dir):
+    """Until convergence, as ``inbreed_sites``."""
+    return _per_sample(spark, inbreeding.per_sample(_grouped(spark, sf_dir).persist(), _samples(spark, sf_dir))[0])
+
+
 def _tested(spark, sf_dir) -> DataFrame:
     return inbreeding.likelihood_ratios(inbreeding.per_site(_grouped(spark, sf_dir), fixed_rounds=2).panel)
 
@@ -572,3 +612,136 @@ def sink_cov(spark, sf_dir):
     sinks.write_cells(covariance.covariance(_fitted(spark, sf_dir)), path)
     rows = text.numbered_lines(spark, path).select(F.col("line").cast("int").alias("i"), F.posexplode(text.tokens(F.col("value"))).alias("j", "c"))
     return rows.select("i", "j", (F.col("c").cast("double") + 0.0).alias("c"))
+
+
+def _lines(spark, path: str, key: str = "line") -> DataFrame:
+    """(line, k, value) of a matrix written as text."""
+    rows = text.numbered_lines(spark, path).select(
+        F.col("line").alias(key), F.posexplode(text.tokens(F.col("value"))).alias("k", "value")
+    )
+    return rows.select(key, "k", (F.col("value").cast("double") + 0.0).alias("value"))
+
+
+@query
+def sink_selection(spark, sf_dir):
+    path = _path(spark, "selection")
+    sinks.write_site_matrix(_scanned(spark, sf_dir), "selection", path, digits=5)
+    return _lines(spark, path)
+
+
+@query
+def sink_weights(spark, sf_dir):
+    path = _path(spark, "weights")
+    rows = _scanned(spark, sf_dir).withColumn("w", F.transform("weight", F.abs))
+    sinks.write_site_matrix(rows, "w", path, digits=5)
+    return _lines(spark, path)
+
+
+@query
+def sink_zscores(spark, sf_dir):
+    path = _path(spark, "zscores")
+    rows = _scanned(spark, sf_dir).withColumn("z", F.transform("pcadapt", F.abs))
+    sinks.write_site_matrix(rows, "z", path, digits=5)
+    return _lines(spark, path)
+
+
+def _vector_back(spark, panel: DataFrame, column: str, digits: int = 6) -> DataFrame:
+    path = _path(spark, column)
+    sinks.write_site_vector(panel, column, path, digits=digits)
+    return text.load_vector(spark, path, "f").select(F.col("pos").alias("line"), (F.col("f") + 0.0).alias("f"))
+
+
+@query
+def sink_inbreed_sites(spark, sf_dir):
+    return _vector_back(spark, _tested(spark, sf_dir), "inbreed")
+
+
+@query
+def sink_lrt_sites(spark, sf_dir):
+    return _vector_back(spark, _tested(spark, sf_dir), "lrt", 5)
+
+
+@query
+def sink_inbreed_samples(spark, sf_dir):
+    path = _path(spark, "inbreed-samples")
+    x = inbreeding.samples_step(_grouped(spark, sf_dir), np.zeros(_samples(spark, sf_dir)))
+    sinks.write_cells(spark.createDataFrame([(i, 0, float(v)) for i, v in enumerate(x)], "i int, j int, v double"), path, digits=6)
+    return _lines(spark, path).select("line", F.col("value").alias("f"))
+
+
+def _posteriors_back(spark, rows: DataFrame) -> DataFrame:
+    path = _path(spark, "posteriors")
+    sinks.write_posteriors(rows, path)
+    back = _lines(spark, path)
+    return back.select("line", (F.col("k") / 3).cast("int").alias("sample_idx"), (F.col("k") % 3).alias("genotype"), F.col("value").alias("p"))
+
+
+@query
+def sink_posterior(spark, sf_dir):
+    return _posteriors_back(spark, genotype.posteriors(_grouped(spark, sf_dir)))
+
+
+@query
+def sink_posterior_inbreed(spark, sf_dir):
+    return _posteriors_back(spark, genotype.posteriors(_grouped(spark, sf_dir), _inbred(spark, sf_dir)))
+
+
+def _table_back(spark, rows: DataFrame, name: str) -> DataFrame:
+    path = _path(spark, name)
+    sinks.write_table(rows, path)
+    return spark.read.parquet(path)
+
+
+@query
+def sink_calls(spark, sf_dir):
+    rows = genotype.calls(_grouped(spark, sf_dir), 0.6).select("site_idx", "call")
+    return cells_of(_table_back(spark, rows, "calls"), call="call")
+
+
+@query
+def sink_calls_inbreed(spark, sf_dir):
+    rows = genotype.calls(_grouped(spark, sf_dir), 0.6, _inbred(spark, sf_dir)).select("site_idx", "call")
+    return cells_of(_table_back(spark, rows, "calls"), call="call")
+
+
+@query
+def sink_dosage(spark, sf_dir):
+    return _cells(_table_back(spark, covariance.dosage_out(_grouped(spark, sf_dir)).select("site_idx", "e"), "dosage"), e="e")
+
+
+@query
+def sink_pi(spark, sf_dir):
+    return _cells(_table_back(spark, _grouped(spark, sf_dir).select("site_idx", "pi"), "pi"), pi="pi")
+
+
+@query
+def sink_tree_cov(spark, sf_dir):
+    path = _path(spark, "tree-cov")
+    sinks.write_cells(covariance.pi_covariance(_grouped(spark, sf_dir)), path, digits=6)
+    return _lines(spark, path, "i").select(F.col("i").cast("int").alias("i"), F.col("k").alias("j"), F.col("value").alias("c"))
+
+
+@query
+def sink_admix_f(spark, sf_dir):
+    path = _path(spark, "admix-f")
+    sinks.write_site_matrix(admixture.update_anc(*_start(spark, sf_dir)), "anc", path, digits=6)
+    return _lines(spark, path)
+
+
+@query
+def sink_admix_q(spark, sf_dir):
+    path = _path(spark, "admix-q")
+    q = admixture.update_q(*_start(spark, sf_dir), alpha=0.1)
+    cells = [(i, k, float(q[i, k])) for i in range(len(q)) for k in range(q.shape[1])]
+    sinks.write_cells(spark.createDataFrame(cells, "i int, j int, v double"), path, digits=6)
+    return _lines(spark, path)
+
+
+@query
+def sink_sites(spark, sf_dir):
+    """Flags of all sites of the input, with sites out by a mask and by frequency."""
+    path = _path(spark, "sites")
+    every = _panel(spark, sf_dir)
+    left = every.where("site_idx % 7 <> 0")
+    sinks.write_site_flags(frequency.sites_kept(every, frequency.filter_maf(frequency.em_steps(left, 5))), path)
+    return text.load_mask(spark, path)

@@ -299,6 +299,23 @@ lrt AS MATERIALIZED (
 _SITE = (FIT, GROUP, _SITE_START, _SITE_ACC)
 _Q999 = "2.705543454095404e0"
 
+
+def _upper(x: str) -> str:
+    """Upper tail of chi-square with one degree of freedom: 1 - erf z with z^2 = x / 2, by its series."""
+    z = f"sqrt(greatest(least({x}, 1200e0), 1e-300) / 2e0)"
+    term = f"exp((2e0 * i + 1e0) * ln({z}) + 2e0 * i * ln(2e0) + lgamma(i + 1e0) - lgamma(2e0 * i + 2e0) - {z} * {z})"
+    return f"greatest(0e0, 1e0 - 2e0 / sqrt(pi()) * list_sum(list_transform(range(0, 900), lambda i: {term})))"
+
+
+def _drawn() -> str:
+    """The hash of (seed 0, site, component) that stands for a uniform number; 64 bits in 128."""
+    two64 = "18446744073709551616::UHUGEINT"
+    x = f"((site_idx::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + k::UHUGEINT + {0x632BE59BD9B4E019}::UHUGEINT) % {two64})::UBIGINT"
+    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"((xor({x}, ({x}) >> {shift}::UBIGINT)::UHUGEINT * {mul}::UHUGEINT) % {two64})::UBIGINT"
+    return f"((xor({x}, ({x}) >> 31::UBIGINT) >> 11::UBIGINT)::DOUBLE / 9007199254740992e0)"
+
+
 ORACLE: dict[str, str] = {
     "fixture_cells": query(f"SELECT site_idx, sample_idx, {r('l0')} AS l0, {r('l1')} AS l1 FROM cells"),
     "scan_beagle": query(f"SELECT site_idx, sample_idx, {r('l0')} AS l0, {r('l1')} AS l1 FROM"
@@ -368,6 +385,34 @@ FROM (SELECT CAST(site_idx AS BIGINT) AS site_idx, CAST(sample_idx AS INT) AS sa
     "load_lrt": query(f"SELECT site_idx, {r('lrt', 7)} AS lrt FROM lrt", *_SITE, _LRT),
     "sink_freqs": query(f"SELECT CAST(row_number() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS line, {r('f', 7)} AS f FROM kept", FIT),
     "sink_cov": query(f"SELECT i, j, {r('v', 7)} AS c FROM cov", FIT, cov("c", "f")),
-    "chi2_stat": query(f"SELECT site_idx, {r('selection', 5)} AS value FROM scan", FIT, PI, SCAN),
+    "load_names": """SELECT CAST(n_nationkey AS INT) AS sample_idx, n_name || '-' || coalesce(n, 0) AS name
+FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY 1) USING (n_nationkey)""",
+    "chi2_pvalue": query(f"SELECT site_idx, {r(_upper('selection'), 5)} AS p FROM scan", FIT, PI, SCAN),
+    "pcadapt_pvalue_k1": query(
+        f"SELECT site_idx, {r(_upper('d2'), 5)} AS p FROM (SELECT site_idx,"
+        " (pcadapt - (SELECT median(pcadapt) FROM scan)) * (pcadapt - (SELECT median(pcadapt) FROM scan)) AS d2 FROM scan)", FIT, PI, SCAN),
+    "nmf_init": query(f"SELECT site_idx, CAST(k - 1 AS INT) AS k, {r(f'greatest(1e-4, least(1e0 - 1e-4, {_drawn()}))')} AS f FROM kept, (SELECT unnest([1, 2]) AS k)", FIT),
+}
+_by_site = "CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS line"
+ORACLE |= {
+    "scan_beagle_gzip": ORACLE["scan_beagle"],
+    "scan_plink": "SELECT CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS site_idx, sample_idx, l0, l1 FROM (" + ORACLE["decode_bed"] + ")",
+    "sink_selection": query(f"SELECT {_by_site}, CAST(0 AS INT) AS k, {r('selection', 5)} AS value FROM scan", FIT, PI, SCAN),
+    "sink_weights": query(f"SELECT {_by_site}, CAST(0 AS INT) AS k, {r('abs(weight)', 5)} AS value FROM scan", FIT, PI, SCAN),
+    "sink_zscores": query(f"SELECT {_by_site}, CAST(0 AS INT) AS k, {r('abs(pcadapt)', 5)} AS value FROM scan", FIT, PI, SCAN),
+    "sink_inbreed_sites": query(f"SELECT {_by_site}, {r('x')} AS f FROM {_SITE_LAST}", *_SITE),
+    "sink_lrt_sites": query(f"SELECT {_by_site}, {r('lrt', 5)} AS f FROM lrt", *_SITE, _LRT),
+    "sink_inbreed_samples": query(f"SELECT CAST(sample_idx AS BIGINT) AS line, {r('x')} AS f FROM in1", FIT, GROUP, _SAMPLE_START),
+    "sink_calls": ORACLE["call"],
+    "sink_calls_inbreed": ORACLE["call_inbreed"],
+    "sink_dosage": ORACLE["dosage_out"],
+    "sink_pi": query(cell_value("pi", "g", "pi"), FIT, GROUP),
+    "sink_tree_cov": ORACLE["pi_cov"],
+    "sink_admix_f": f"SELECT {_by_site}, k, f AS value FROM ({ORACLE['nmf_update_f']})",
+    "sink_admix_q": f"SELECT CAST(sample_idx AS BIGINT) AS line, k, q AS value FROM ({ORACLE['nmf_update_q']})",
+    "sink_sites": query("SELECT CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS site_idx,"
+                        " CAST(site_idx % 7 <> 0 AND f BETWEEN 0.05e0 AND 0.95e0 AS INT) AS keep FROM em5", EM5),
 }
-del ORACLE["chi2_stat"]
+for _name, _source in (("sink_posterior", "posterior"), ("sink_posterior_inbreed", "posterior_inbreed")):
+    ORACLE[_name] = f"""SELECT CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS line, sample_idx,
+  CAST(unnest([0, 1, 2]) AS INT) AS genotype, unnest([p0, p1, p2]) AS p FROM ({ORACLE[_source]})"""

@@ -32,7 +32,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     if any(name.endswith(COMPRESSED) for name in raw.inputFiles()):
         dealt, kept = shared_path(spark, "lines"), rows.schema
-        rows.repartition("nth").write.parquet(dealt)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that they are kept for few lines too
+        rows.repartition(parts, "nth").write.parquet(dealt)
         rows = spark.read.schema(kept).parquet(dealt)
     counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.min("nth").alias("first")).collect()
     offsets, total = [], 0

@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparsegeno.jobs import run as job
+from sparsegeno.operators import frequency
 from sparsegeno.sources import text
 
 
@@ -50,3 +53,38 @@ def test_refusals(spark, table, tmp_path):
             job.run(spark, job.parser().parse_args(["--beagle", table, "--out", str(tmp_path), *flags]))
     with pytest.raises(SystemExit):
         job.validate(job.parser().parse_args(["--plink", "x", "--out", "y", "--filter", "z"]))
+
+
+def lines(spark, path):
+    return [r["value"] for r in text.numbered_lines(spark, path).orderBy("line").collect()]
+
+
+def test_sites_of_the_input_are_flagged_under_a_mask(spark, table, tmp_path):
+    mask = [int(i % 4 != 0) for i in range(40)]
+    (tmp_path / "mask").write_text("\n".join(map(str, mask)) + "\n")
+    out = str(tmp_path / "out")
+    flags = ["--filter-sites", str(tmp_path / "mask"), "--sites-save", "--maf-save", "--model", "population", "--maf", "0.3"]
+    job.run(spark, job.parser().parse_args(["--beagle", table, "--out", out, *flags]))
+    kept = [int(x) for x in lines(spark, f"{out}/sites")]
+    assert len(kept) == 40 and all(k <= m for k, m in zip(kept, mask, strict=True))
+    assert 0 < sum(kept) < sum(mask) and sum(kept) == len(lines(spark, f"{out}/freqs"))
+
+
+def test_likelihood_ratios_of_one_run_filter_the_next(spark, table, tmp_path):
+    first, second = str(tmp_path / "one"), str(tmp_path / "two")
+    common = ["--beagle", table, "--model", "population"]
+    job.run(spark, job.parser().parse_args([*common, "--out", first, "--inbreed-sites"]))
+    found = [float(x) for x in lines(spark, f"{first}/lrt.sites")]
+    log = job.run(spark, job.parser().parse_args([*common, "--out", second, "--hwe", f"{first}/lrt.sites", "--hwe-tole", "0.2"]))
+    assert 0 < log["sites"] == sum(x < frequency.hwe_bound(0.2) for x in found) < len(found)
+
+
+def test_gzipped_tables_are_dealt_out(spark, table, tmp_path):
+    import gzip
+    import pathlib
+
+    (tmp_path / "t.gz").write_bytes(gzip.compress(pathlib.Path(table).read_bytes()))
+    rows = text.scan_beagle(spark, str(tmp_path / "t.gz"))
+    plain = text.scan_beagle(spark, table)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, plain.collect()))
