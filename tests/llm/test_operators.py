@@ -7,6 +7,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -412,7 +413,59 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.classify(odd).collect()} == {"und"}
 
 
-# -- media -----------------------------------------------------------------------------------
+def plain_letters(text):
+    """Lower-case letters, every run of other characters one space."""
+    out = []
+    for c in text:
+        if c.isalnum() and not c.isdecimal():
+            out.append(c)
+        elif not out or out[-1] != " ":
+            out.append(" ")
+    return "".join(out).lower().encode()
+
+
+def plain_languages(rows, hashes):
+    """(language, score, rejected) of each (doc_id, text, lang), one text and one dictionary after the other."""
+    import zstandard as zstd
+
+    by = collections.defaultdict(list)
+    for (i, text, lang), h in zip(rows, hashes, strict=True):
+        if lang is not None and text and zlib.crc32(str(i).encode()) % 3 != 1:
+            by[lang].append((h, text[: language.ROW_BYTES]))
+    room = min(language.DICT_BYTES, language.MODEL_BYTES // len(by))
+    compressors = {}
+    for lang, texts in sorted(by.items()):
+        left, parts = room, []
+        for _, text in sorted(texts)[: language.ROWS_PER_LANGUAGE]:
+            if left > 0:
+                parts.append(text.encode()[:left].decode(errors="ignore"))
+                left -= len(text.encode())
+        content = b"\n".join(plain_letters(x) for x in parts)
+        data = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=language.LEVEL)
+        compressors[lang] = zstd.ZstdCompressor(dict_data=data, write_content_size=False)
+    out = []
+    for _, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0, True))
+            continue
+        sizes = sorted((len(c.compress(plain_letters(text))), lang) for lang, c in compressors.items())
+        margin = 1.0 - sizes[0][0] / sizes[1][0]
+        out.append((sizes[0][1], margin, margin < language.MARGIN))
+    return out
+
+
+def test_language_equals_a_plain_search(spark, sample):
+    from pyspark.sql import functions as F
+
+    odd = [(-1, None, "en"), (-2, "", "en"), (-3, "12 !", "de"), (-4, "Straße Ünder 7 x²_y", None), (-5, "word " * 9000, "en")]
+    docs = sample.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    rows = docs.select("doc_id", "text", "lang", F.abs(F.xxhash64("doc_id", "text").cast("double"))).collect()
+    want = plain_languages([tuple(r)[:3] for r in rows], [r[3] for r in rows])
+    got = {r["doc_id"]: r for r in language.classify(docs).collect()}
+    for (i, *_), (lang, score, rejected) in zip(rows, want, strict=True):
+        assert (got[i]["lang_pred"], got[i]["rejected"]) == (lang, rejected)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-12)
 
 
 def test_every_language_is_learned(spark):
@@ -429,6 +482,9 @@ def test_every_language_is_learned(spark):
     assert sum(len(t.encode()) for _, ts in language.training_sample(docs) for t in ts) <= language.MODEL_BYTES
 
 
+# -- media -----------------------------------------------------------------------------------
+
+
 def test_media(sample):
     texts = {r["doc_id"]: r["text"] or "" for r in sample.collect()}
     by_text = {}
@@ -444,6 +500,44 @@ def test_media(sample):
     assert len(one["times"]) == len(one["codes"])
 
 
+def plain_fingerprint(payload):
+    """Peaks and pairs of peaks, frame by frame and bin by bin."""
+    x = [float(b) - 128.0 for b in payload]
+    while len(x) < media.FRAME or (len(x) - media.FRAME) % media.HOP:
+        x.append(0.0)
+    starts = range(0, len(x) - media.FRAME + 1, media.HOP)
+    mags = [np.abs(np.fft.rfft(np.array(x[s : s + media.FRAME]) * np.hanning(media.FRAME))) for s in starts]
+    marks = []
+    for t, mag in enumerate(mags):
+        for low, high in zip(media.BANDS, media.BANDS[1:], strict=False):
+            f = max(range(low, high), key=lambda j: mag[j])
+            around = [max(mags[u][low:high]) if 0 <= u < len(mags) else 0.0 for u in (t - 1, t + 1)]
+            if mag[f] > around[0] and mag[f] >= around[1] and mag[f] > media.LOUD * np.mean(mag[1:]) and mag[f] > 1e-9:
+                marks.append((t, f))
+    pairs = []
+    for i, (t, f) in enumerate(marks):
+        for u, g in marks[i + 1 : i + 1 + media.FAN]:
+            if u - t <= media.REACH:
+                pairs.append((t, f * 2**15 + g * 2**6 + u - t))
+    return len(marks), pairs
+
+
+def test_media_equals_a_plain_fingerprint(spark, sample):
+    texts = [r["text"] or "" for r in sample.limit(120).collect()] + ["", "a", "é" * 700, "tone " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    kept = {r["doc_id"]: list(zip(r["times"], r["codes"], strict=True)) for r in media.fingerprints(docs).collect()}
+    for r in media.digests(docs).collect():
+        data = texts[r["doc_id"]].encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        head = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt "
+        head += struct.pack("<IHHIIHH", 16, 1, 1, media.RATE, media.RATE, 1, 8) + b"data" + struct.pack("<I", len(payload))
+        assert (r["media_bytes"], r["media_sha256"]) == (44 + len(payload), hashlib.sha256(head + payload).hexdigest())
+        found, pairs = plain_fingerprint(payload)
+        assert kept[r["doc_id"]] == pairs
+        arrays = [struct.pack(f"<{len(pairs)}i", *column) for column in ([p[0] for p in pairs], [p[1] for p in pairs])]
+        assert r["feature"] == f"{found}:{len(pairs)}:{hashlib.sha256(arrays[0] + arrays[1]).hexdigest()}"
+
+
 @pytest.mark.parametrize("n", [576, 640, 704, 768, 832])
 def test_last_samples_reach_the_spectrogram(n):
     x = np.full(n, 128, np.uint8)
