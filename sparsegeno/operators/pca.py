@@ -2,7 +2,8 @@
 
 Per round one pass over the sites: project, clamp, expected dosage, and the inner products
 of samples. Eigenvectors V of these products give the rank-k product as E V V', which is
-local to a site. V (samples by k) is all that the driver holds.
+local to a site. Up to ``DIRECT`` samples the products are one samples-by-samples matrix on
+the driver; beyond, they are only ever multiplied by a few vectors, a pass each.
 """
 
 from __future__ import annotations
@@ -12,12 +13,18 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from ..functions.passes import Columns, checkpointed, collect_matrix, with_site_columns
+from ..functions.passes import Columns, checkpointed, collect_matrix, site_sums, with_site_columns
 from .covariance import ARRAY, covariance, dosage_pop, gram
 from .fixed_point import CUT_EVERY
 
+#: Samples up to which the matrix of products is taken whole: 200 MB.
+DIRECT = 5000
+#: Vectors beyond those wanted, passes at most, and residual over largest value, of the search in a subspace.
+SPARE, MOST_PASSES, RESIDUAL = 8, 40, 1e-10
+
 
 def top_k(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors and singular values of E from its products, largest first."""
@@ -27,6 +34,44 @@ def top_k(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return vectors[:, ::-1][:, :n], np.sqrt(np.maximum(values[::-1][:n], 0.0))
 
 
+def leading(
+    panel: DataFrame, n: int, start: np.ndarray | None = None, direct: int = DIRECT
+) -> tuple[np.ndarray, np.ndarray]:
+    """``top_k`` of column e of ``panel``, which should be cached; ``start``: vectors near the wanted ones.
+
+    Beyond ``direct`` samples by block Lanczos: each pass multiplies E'E by a block of vectors, which are then
+    made orthogonal to all before, until the wanted pairs solve the eigenproblem to ``RESIDUAL``. Driver and
+    tasks hold samples-by-block matrices, never samples by samples.
+    """
+    first = panel.select(F.size("e")).first()
+    samples = first[0] if first else 0
+    if samples <= direct:
+        return top_k(collect_matrix(gram(panel)), n)
+    if not 0 < n < samples:
+        raise ValueError(f"components must be between 1 and {samples - 1}")
+
+    def product(q: np.ndarray) -> np.ndarray:
+        return collect_matrix(site_sums(panel, lambda c: c["e"].T @ (c["e"] @ q)))
+
+    known = np.zeros((samples, 0)) if start is None else start
+    random = np.random.default_rng(1).normal(size=(samples, min(n + SPARE, samples) - known.shape[1]))
+    q = np.linalg.qr(np.hstack([known, random]))[0]
+    basis, images = q, product(q)
+    for _ in range(MOST_PASSES):
+        values, w = np.linalg.eigh(basis.T @ images)
+        values, w = values[::-1][:n], w[:, ::-1][:, :n]
+        v = basis @ w
+        off = np.linalg.norm(images @ w - v * values, axis=0).max()
+        room = samples - basis.shape[1]
+        if off <= RESIDUAL * max(values[0], 0.0) or not room:
+            break
+        q = images[:, -q.shape[1] :][:, :room]
+        for _ in range(3):  # what is left of a block is small, so one projection is not enough
+            q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+        basis, images = np.hstack([basis, q]), np.hstack([images, product(q)])
+    return v, np.sqrt(np.maximum(values, 0.0))
+
+
 def aligned(v: np.ndarray, before: np.ndarray) -> np.ndarray:
     """``v`` with the signs of its columns turned towards ``before``."""
     return v * np.where((v * before).sum(axis=0) < 0, -1.0, 1.0)
@@ -93,7 +138,7 @@ def fit_pi(
         components = select_k(collect_matrix(covariance(panel)))
     rounds_left = most_rounds if fixed_rounds is None else fixed_rounds
     now = dosage_pop(panel).persist(StorageLevel.MEMORY_AND_DISK)
-    v, _ = top_k(collect_matrix(gram(now)), components)
+    v, _ = leading(now, components)
     rounds, done = 0, False
     while rounds < rounds_left and not done:
         rounds += 1
@@ -101,7 +146,7 @@ def fit_pi(
         if rounds % CUT_EVERY == 0:
             then = checkpointed(then)
         then = then.persist(StorageLevel.MEMORY_AND_DISK)
-        found, _ = top_k(collect_matrix(gram(then)), components)
+        found, _ = leading(then, components, v)
         found = aligned(found, v)
         done = fixed_rounds is None and float(np.sqrt(((found - v) ** 2).mean())) < tol
         v = found

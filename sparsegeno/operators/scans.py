@@ -1,4 +1,4 @@
-"""Selection scans: one matrix of sample products feeds all three statistics."""
+"""Selection scans: one factorisation of the sample products feeds all three statistics."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.passes import Columns, collect_matrix, with_site_columns
+from ..functions.passes import Columns, with_site_columns
 from ..functions.statistics import chi2_upper
-from .covariance import ARRAY, dosage_std, gram
-from .pca import top_k
+from .covariance import ARRAY, dosage_std
+from .pca import leading
 
 
 def scans(panel: DataFrame, components: int) -> DataFrame:
@@ -26,7 +26,7 @@ def scans(panel: DataFrame, components: int) -> DataFrame:
     sites = rows.count()
     if not sites:
         return rows.drop("e").selectExpr("*", *(f"cast(null as {ARRAY}) as {c}" for c in ("selection", "pcadapt", "weight")))
-    v, s = top_k(collect_matrix(gram(rows)), components)
+    v, s = leading(rows, components)
 
     def make(c: Columns) -> Columns:
         e = c["e"]

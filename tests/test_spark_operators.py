@@ -155,6 +155,31 @@ def test_exact_median(spark):
             assert scans.exact_median(rows, "x", most) == np.median(x)
 
 
+@pytest.mark.parametrize(("samples", "sites", "n"), [(2000, 150, 3), (40, 25, 30), (30, 60, 2)])
+def test_leading_vectors_without_the_whole_matrix(spark, samples, sites, n):
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(sites, samples)) + 2 * rng.normal(size=(sites, 3)) @ rng.normal(size=(3, samples))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "site_idx long, e array<double>").repartition(3).cache()
+    _, s2, vt = np.linalg.svd(e, full_matrices=False)
+    for start in (None, np.eye(samples)[:, :n]):
+        v, s = pca.leading(rows, n, start, direct=0)
+        assert np.allclose(v.T @ v, np.eye(n))
+        rank = min(n, sites)
+        assert np.allclose(s[:rank], s2[:rank])
+        assert np.allclose(v[:, :rank] @ v[:, :rank].T, vt[:rank].T @ vt[:rank], atol=1e-6)
+    with pytest.raises(ValueError):
+        pca.leading(rows, samples, direct=0)
+
+
+def test_individual_frequencies_of_many_samples(panel, monkeypatch):
+    whole = pca.fit_pi(fitted(panel), 2, fixed_rounds=3).panel
+    want, scores = column(whole, "pi"), column(scans.scans(whole, 2), "selection")
+    monkeypatch.setattr(pca.leading, "__defaults__", (None, 0))
+    part = pca.fit_pi(fitted(panel), 2, fixed_rounds=3).panel
+    assert np.allclose(column(part, "pi"), want, atol=1e-7)
+    assert np.allclose(column(scans.scans(part, 2), "selection"), scores, atol=1e-5)
+
+
 def test_sums_of_wide_matrices(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(30, 700))
