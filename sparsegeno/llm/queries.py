@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, media, mixing, near_dups, personal_data, quality_rules, substrings, warc
+from . import bpe, language, licenses, media, mixing, near_dups, packing, personal_data, quality_rules, substrings, warc
 from .common import table
 from .sql import LICENSE_SQL, MIX_SQL, NEAR_SQL, QUALITY_SQL, WARC_SQL
 
@@ -53,6 +53,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
         op8_wav_media,
         op9_source_mix,
         op10_warc_round_trip,
+        op11_mixture_packing,
     )
 }
 
