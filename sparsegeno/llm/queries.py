@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, media, mixing, near_dups, packing, personal_data, quality_rules, substrings, warc
+from . import bpe, language, licenses, media, mixing, near_dups, packing, personal_data, prefix_trie, quality_rules, substrings, warc
 from .common import table
-from .sql import LICENSE_SQL, MIX_SQL, NEAR_SQL, QUALITY_SQL, WARC_SQL
+from .sql import LICENSE_SQL, MIX_SQL, NEAR_SQL, QUALITY_SQL, TRIE_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
         op9_source_mix,
         op10_warc_round_trip,
         op11_mixture_packing,
+        op12_prefix_trie,
     )
 }
 
@@ -80,4 +85,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_near_duplicates": NEAR_SQL,
     "op9_source_mix": MIX_SQL,
     "op10_warc_round_trip": WARC_SQL,
+    "op12_prefix_trie": TRIE_SQL,
 }

@@ -183,3 +183,48 @@ n_least AS (
   SELECT n_reach.x AS rid, min(doc_id) AS component_id FROM n_reach JOIN n_sets ON n_reach.y = n_sets.rid GROUP BY 1)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM n_sets JOIN n_least USING (rid)"""
+
+
+TRIE_SQL = """
+WITH t_turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+t_convs AS (
+  SELECT c, c - c % 5 AS base, count(*) AS n,
+         -- crc32 of the decimal id, bit by bit
+         CAST(xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda crc, x: list_reduce(generate_series(1, 8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384),
+                                      xor(crc, CAST(x AS BIGINT))), 4294967295), 4294967295) % 9 AS BIGINT) AS h
+  FROM t_turns GROUP BY c),
+t_taken AS (
+  SELECT a.c, a.base, CASE WHEN a.c = a.base THEN 0 ELSE a.h END AS skip,
+         CASE WHEN a.c = a.base THEN 0 ELSE least(a.h, coalesce(b.n, 0)) END AS k
+  FROM t_convs a LEFT JOIN t_convs b ON b.c = a.base),
+t_rebuilt AS (
+  SELECT c, pos - skip + k + 1 AS d, role, text FROM t_turns JOIN t_taken USING (c) WHERE pos >= skip
+  UNION ALL
+  SELECT x.c, pos + 1, role, text FROM t_taken x JOIN t_turns t ON t.c = x.base AND t.pos < x.k),
+-- a prefix as one text: each turn with the lengths of its parts
+t_prefixes AS (
+  SELECT c, d, strlen(text) AS size,
+         string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY c ORDER BY d) AS p
+  FROM t_rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM t_convs),
+t_last AS (SELECT c, max(d) AS d FROM t_prefixes GROUP BY c),
+t_ends AS (
+  SELECT p, string_agg(c, ',' ORDER BY c) AS ids FROM t_prefixes JOIN t_last USING (c, d) GROUP BY p),
+t_above AS (
+  SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS up FROM t_prefixes),
+t_nodes AS (
+  SELECT p, any_value(d) AS d, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(size) AS size FROM t_above GROUP BY p),
+t_children AS (SELECT up AS p, count(*) AS n_children FROM t_nodes WHERE d > 0 GROUP BY up),
+t_all AS (
+  SELECT t_nodes.*, coalesce(n_children, 0) AS n_children FROM t_nodes LEFT JOIN t_children USING (p)),
+t_subtrees AS (
+  SELECT a.p, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.size) AS saved
+  FROM t_all a JOIN t_all b ON b.d >= a.d AND starts_with(b.p, a.p) GROUP BY a.p)
+SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, y.c AS parent_conv_id, x.n AS n_convs,
+       CAST(x.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM t_all x JOIN t_subtrees USING (p) LEFT JOIN t_ends USING (p) LEFT JOIN t_nodes y ON y.p = x.up"""

@@ -30,7 +30,7 @@ def test_query(name, spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     got, want = ordered(QUERIES[name](spark, sf_dir).toPandas()), ordered(con.sql(ORACLE_SQL[name]).df())
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=2e-3)
