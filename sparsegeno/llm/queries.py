@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, media, mixing, near_dups, packing, personal_data, prefix_trie, quality_rules, substrings, warc
+from . import ball_tree, bpe, language, licenses, media, mixing, near_dups, packing, personal_data, prefix_trie, quality_rules, substrings, warc
 from .common import table
-from .sql import LICENSE_SQL, MIX_SQL, NEAR_SQL, QUALITY_SQL, TRIE_SQL, WARC_SQL
+from .sql import LICENSE_SQL, MIX_SQL, NEAR_SQL, QUALITY_SQL, RANK_SQL, TRIE_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
         op10_warc_round_trip,
         op11_mixture_packing,
         op12_prefix_trie,
+        op13_ranked_search,
     )
 }
 
@@ -86,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_source_mix": MIX_SQL,
     "op10_warc_round_trip": WARC_SQL,
     "op12_prefix_trie": TRIE_SQL,
+    "op13_ranked_search": RANK_SQL,
 }

@@ -228,3 +228,33 @@ SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, y.c AS parent_conv_id, x.n
        CAST(x.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
        sha256(coalesce(ids, '')) AS ends_sha256
 FROM t_all x JOIN t_subtrees USING (p) LEFT JOIN t_ends USING (p) LEFT JOIN t_nodes y ON y.p = x.up"""
+
+
+RANK_SQL = r"""
+WITH r_docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+r_size AS (SELECT rid, doc_id, len(w) AS n FROM r_docs WHERE len(w) > 0),
+r_all AS (SELECT count(*) AS nn, CAST(coalesce(sum(n), 0) AS BIGINT) AS ll FROM r_size),
+r_terms AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM r_docs) GROUP BY rid, term),
+r_df AS (SELECT term, count(*) AS df FROM r_terms GROUP BY term),
+r_items AS (
+  SELECT iid, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS iid, item_id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+  GROUP BY iid, item_id, term),
+r_scores AS (
+  SELECT iid, item_id, doc_id, rid,
+         CAST(sum(times * CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT)
+                  * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM r_items JOIN r_terms USING (term) JOIN r_df USING (term) JOIN r_size USING (rid), r_all
+  GROUP BY iid, item_id, doc_id, rid),
+r_ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM r_scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r_ranked WHERE rank <= 10"""
