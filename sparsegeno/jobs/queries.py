@@ -544,19 +544,15 @@ def admix_frobenius(spark, sf_dir):
     return _one(spark, admixture.frobenius(*_start(spark, sf_dir)), digits=5)
 
 
-def _admix(panel: DataFrame, n: int, alpha: float = 0.0) -> admixture.Admixture:
-    return admixture.admix(panel, n, 2, alpha, most_rounds=2, batches=3)
-
-
 @query
 def admix(spark, sf_dir):
-    return _q_rows(spark, _admix(_grouped(spark, sf_dir), _samples(spark, sf_dir)).q, 4)
+    return _q_rows(spark, admixture.admix(_grouped(spark, sf_dir), _samples(spark, sf_dir), 2).q, 4)
 
 
 @query
 def alpha_search(spark, sf_dir):
-    panel, n = _grouped(spark, sf_dir).persist(), _samples(spark, sf_dir)
-    best, found = admixture.alpha_search(lambda a: _admix(panel, n, a), 10.0, 2)
+    panel, n = _grouped(spark, sf_dir), _samples(spark, sf_dir)
+    best, found = admixture.alpha_search(lambda alphas: admixture.admix_many(panel, n, 2, alphas), 10.0)
     return spark.createDataFrame([(best, round(found.log_likelihood, 2))], "alpha double, log_likelihood double")
 
 

@@ -1,28 +1,31 @@
 """Admixture: individual frequencies as a non-negative product of ancestral frequencies and proportions.
 
-Ancestral frequencies (``anc``, k per site) are a column of the panel; the proportions Q
-(samples by k) are on the driver. Sites are dealt to batches by a hash; batch by batch
-``anc`` and then Q take multiplicative steps. The steps of ``anc`` stop on a norm over the
-whole batch, so one job tries all of them and returns their norms, and the next applies the
-chosen number and sums what Q needs.
+Ancestral frequencies (``anc``, k per site) belong to sites, the proportions Q (samples by k) to all tasks.
+Sites are dealt to batches by a hash; batch by batch ``anc`` and then Q take multiplicative
+steps, and the steps of both stop on norms over the whole batch. Sites stay in the tasks of a barrier stage
+for many rounds: each task steps its own sites, and norms and what Q needs are summed over tasks, so
+that a round needs no job. Fits with different regularisations run side by side over the same sites.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.passes import Columns, checkpointed, collect_matrix, site_sums, with_site_columns
+from ..functions.barrier import Sums, slots
+from ..functions.passes import Columns, collect_matrix, shared_path, site_sums, to_arrow, to_numpy, with_site_columns
 from .covariance import ARRAY
-from .fixed_point import CUT_EVERY
 
 LOW = 1e-4
-FIRST_STEPS = 8
+#: Steps of ``anc`` whose norms are summed over tasks at once.
+TRIED = 8
+#: Rounds after which the state is written, so that a lost executor costs no more than these.
+ROUNDS_PER_STAGE = 50
 
 
 def _clamp(x: np.ndarray) -> np.ndarray:
@@ -66,35 +69,6 @@ def update_q(panel: DataFrame, q: np.ndarray, alpha: float = 0.0, steps: int = 1
     return q
 
 
-def _step_norms(panel: DataFrame, q: np.ndarray, steps: int) -> np.ndarray:
-    """Norm of each of the next steps of ``anc`` over all sites of the panel."""
-    qq = q.T @ q
-
-    def make(c: Columns) -> np.ndarray:
-        a, anc = c["pi"] @ q, c["anc"]
-        out = []
-        for _ in range(steps):
-            new = anc_step(anc, a, qq)
-            out.append(((new - anc) ** 2).sum())
-            anc = new
-        return np.array(out)[None, :]
-
-    return np.sqrt(collect_matrix(site_sums(panel, make))[0])
-
-
-def _steps(panel: DataFrame, q: np.ndarray, most: int) -> int:
-    """Steps of ``anc`` until one is at most a tenth of the first: a few are tried, then twice as many."""
-    tried = min(FIRST_STEPS, most)
-    while True:
-        norms = _step_norms(panel, q, tried)
-        small = np.flatnonzero(norms <= 0.1 * norms[0])
-        if len(small):
-            return int(small[0]) + 1
-        if tried == most:
-            return most
-        tried = min(2 * tried, most)
-
-
 def log_likelihood(panel: DataFrame, q: np.ndarray) -> float:
     """Sum of log(L0(1-x)^2 + 2 L1 x(1-x) + L2 x^2) with x = anc Q'."""
 
@@ -137,100 +111,201 @@ class Admixture:
     frobenius: float
     rounds: int
     converged: bool
-    held: tuple[DataFrame, ...] = ()
-
-    def release(self) -> None:
-        """Frees the cached sites; the fit cannot be read cheaply after that."""
-        for part in self.held:
-            part.unpersist()
 
 
-def admix(
+class _Fit:
+    """One regularisation's state in one task: Q, and ``anc`` of the task's sites by batch."""
+
+    def __init__(self, alpha: float, q: np.ndarray, anc: list[np.ndarray], rounds: int, done: bool):
+        self.alpha, self.q, self.anc, self.rounds, self.done = alpha, q, anc, rounds, done
+
+
+def _anc_steps(fits: list[_Fit], b: int, x: np.ndarray, most: int, sums: Sums) -> None:
+    """Steps of ``anc`` of batch b until one is at most a tenth of the first: some are tried, and their norms summed."""
+    grams = [fit.q.T @ fit.q for fit in fits]
+    split = np.cumsum([fit.q.shape[1] for fit in fits])[:-1]
+    a = np.split(x @ np.hstack([fit.q for fit in fits]), split, axis=1)  # one product for all fits
+    first: list[float | None] = [None] * len(fits)
+    left, taken = list(range(len(fits))), 0
+    while left and taken < most:
+        n = min(TRIED, most - taken)
+        steps, norms = {}, np.zeros((len(fits), n))
+        for i in left:
+            anc, steps[i] = fits[i].anc[b], []
+            for t in range(n):
+                new = anc_step(anc, a[i], grams[i])
+                norms[i, t] = ((new - anc) ** 2).sum()
+                anc = new
+                steps[i].append(new)
+        norms = np.sqrt(sums(norms)[0])
+        taken += n
+        for i in list(left):
+            first[i] = norms[i, 0] if first[i] is None else first[i]
+            small = np.flatnonzero(norms[i] <= 0.1 * first[i])
+            fits[i].anc[b] = steps[i][small[0] if len(small) else -1]
+            if len(small):
+                left.remove(i)
+
+
+def _q_steps(fit: _Fit, xf: np.ndarray, ff: np.ndarray, most: int) -> None:
+    first = None
+    for _ in range(most):
+        new = q_step(fit.q, xf, ff, fit.alpha)
+        norm = float(np.linalg.norm(new - fit.q))
+        fit.q = new
+        first = norm if first is None else first
+        if norm <= 0.1 * first:
+            break
+
+
+def _rounds(fits: list[_Fit], xs: list[np.ndarray], sizes: np.ndarray, until: int, tol: float, sums: Sums) -> None:
+    """Rounds over the batches for every fit that isn't done; the same in all tasks but for their sites."""
+    if not sizes.any():
+        for fit in fits:
+            fit.done = True
+    while active := [fit for fit in fits if not fit.done and fit.rounds < until]:
+        before = [fit.q for fit in active]
+        samples, k = before[0].shape
+        for b, m in enumerate(int(x) for x in sizes):
+            if not m:
+                continue
+            _anc_steps(active, b, xs[b], 2 * (1 + (samples * m + samples * k) // (m * k + m)), sums)
+            parts = [p for fit in active for p in (xs[b].T @ fit.anc[b], fit.anc[b].T @ fit.anc[b])]
+            found = sums(*parts)
+            for i, fit in enumerate(active):
+                _q_steps(fit, found[2 * i], found[2 * i + 1], 2 * (1 + (samples * m + m * k) // (samples * k + samples)))
+        for fit, q in zip(active, before, strict=True):
+            fit.rounds += 1
+            fit.done = float(np.sqrt(((fit.q - q) ** 2).mean())) < tol
+
+
+def _fit_quality(c: Columns, anc: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Log-likelihood and squared distance from pi of a batch of sites."""
+    x, l0, l1 = anc @ q.T, c["l0"], c["l1"]
+    likely = np.log(l0 * (1 - x) ** 2 + 2 * l1 * x * (1 - x) + (1 - l0 - l1) * x**2).sum()
+    return np.array([likely, ((x - c["pi"]) ** 2).sum()])
+
+
+#: What a stage reads and writes, and the row without site that holds each fit's Q, rounds, end and quality.
+STAGE = ("l0", "l1", "pi", "anc")
+SCHEMA = f"site_idx long, {', '.join(f'{c} {ARRAY}' for c in STAGE)}, state {ARRAY}"
+
+
+def _stage(rows: DataFrame, states: list[tuple], batches: int, until: int, tol: float) -> DataFrame:
+    """``rows`` (site_idx, columns of ``STAGE``, batch) with ``anc`` of all fits stepped until done or ``until`` rounds."""
+    samples, k = states[0][1].shape
+    floats = pa.list_(pa.float64())
+
+    def batch_of(sites: pa.Array, columns: list[pa.Array], state: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([sites, *columns, state], ["site_idx", *STAGE, "state"])
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = {"batch": np.zeros(0, np.int32), "site_idx": np.zeros(0, np.int64)}
+        cols |= {c: np.zeros((0, samples)) for c in ("l0", "l1", "pi")} | {"anc": np.zeros((0, k * len(states)))}
+        held = [b for b in incoming if b.num_rows]
+        if held:
+            own = pa.Table.from_batches(held).sort_by([("batch", "ascending"), ("site_idx", "ascending")]).combine_chunks()
+            cols = {n: to_numpy(own.column(n).chunk(0)) for n in cols}
+            del held, own
+        cuts = np.searchsorted(cols["batch"], np.arange(batches + 1))
+        parts = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        xs = [cols["pi"][x] for x in parts]
+        fits = [
+            _Fit(alpha, q, [cols["anc"][x, n * k : (n + 1) * k] for x in parts], rounds, done)
+            for n, (alpha, q, rounds, done) in enumerate(states)
+        ]
+        with Sums() as sums:
+            (sizes,) = sums(np.diff(cuts))
+            _rounds(fits, xs, sizes, until, tol, sums)
+            anc = np.hstack([np.concatenate(fit.anc) for fit in fits])
+            quality = np.zeros((len(fits), 2))
+            for i in range(0, len(anc), 2048):
+                part = {n: cols[n][i : i + 2048] for n in ("l0", "l1", "pi")}
+                for n, fit in enumerate(fits):
+                    quality[n] += _fit_quality(part, anc[i : i + 2048, n * k : (n + 1) * k], fit.q)
+            (quality,) = sums(quality)
+            rank = sums.rank
+        cols["anc"] = anc
+        for i in range(0, len(anc), 2048):
+            sites = pa.array(cols["site_idx"][i : i + 2048])
+            yield batch_of(sites, [to_arrow(cols[c][i : i + 2048]) for c in STAGE], pa.nulls(len(sites), floats))
+        if rank == 0:
+            state = [np.array([*fit.q.ravel(), fit.rounds, fit.done, *x], np.float64) for fit, x in zip(fits, quality, strict=True)]
+            nothing = [pa.nulls(1, floats) for _ in STAGE]
+            yield batch_of(pa.nulls(1, pa.int64()), nothing, to_arrow(np.concatenate(state)[None, :]))
+
+    return rows.mapInArrow(run, SCHEMA, barrier=True)
+
+
+def admix_many(
     panel: DataFrame,
     samples: int,
     k: int,
-    alpha: float = 0.0,
+    alphas: Sequence[float],
     tol: float = 1e-5,
     most_rounds: int = 500,
     batches: int = 10,
     seed: int = 0,
-) -> Admixture:
-    """Factorise pi of a panel (l0, l1, pi). Empty batches are left out."""
+    rounds_per_stage: int = ROUNDS_PER_STAGE,
+    tasks: int | None = None,
+) -> list[Admixture]:
+    """A fit for each alpha of pi of a panel (site_idx, l0, l1, pi), all over the same sites in the same tasks.
+
+    Every task keeps its sites in memory, 24 bytes a cell; there are ``tasks`` of them, by default as many as
+    can run now. Empty batches are left out. The state is written to the shared folder every
+    ``rounds_per_stage`` rounds, from where the next stage goes on.
+    """
+    spark = panel.sparkSession
     drawn, q = initial(panel, samples, k, seed)
     # a batch is a range of hashes: about equal in size whatever the site numbers are
-    batch = F.pmod(F.xxhash64("site_idx", F.lit(seed)), F.lit(batches)).cast("int")
-    drawn = drawn.withColumn("__batch", batch).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r[0]: r[1] for r in drawn.groupBy("__batch").count().collect()}
-    parts = {
-        b: drawn.where(F.col("__batch") == b).drop("__batch").persist(StorageLevel.MEMORY_AND_DISK)
-        for b in sorted(sizes)
-    }
-    rounds, done = 0, not parts
-    while rounds < most_rounds and not done:
-        rounds += 1
-        before = q
-        for b, part in parts.items():
-            m = sizes[b]
-            most_f = 2 * (1 + (samples * m + samples * k) // (m * k + m))
-            new = update_anc(part, q, _steps(part, q, most_f))
-            if rounds % CUT_EVERY == 0:
-                new = checkpointed(new)
-            new = new.persist(StorageLevel.MEMORY_AND_DISK)
-            xf, ff = q_sums(new, samples)
-            part.unpersist()
-            parts[b] = new
-            most_q = 2 * (1 + (samples * m + m * k) // (samples * k + samples))
-            first = None
-            for _ in range(most_q):
-                then = q_step(q, xf, ff, alpha)
-                norm = float(np.linalg.norm(then - q))
-                q = then
-                first = norm if first is None else first
-                if norm <= 0.1 * first:
-                    break
-        done = float(np.sqrt(((q - before) ** 2).mean())) < tol
-    drawn.unpersist()
-    whole = None
-    for part in parts.values():
-        whole = part if whole is None else whole.unionByName(part)
-    whole = whole if whole is not None else drawn.drop("__batch")
-    return Admixture(q, whole, log_likelihood(whole, q), frobenius(whole, q), rounds, done, tuple(parts.values()))
-
-
-def alpha_search(
-    fit: Callable[[float], Admixture], end: float, depth: int = 7
-) -> tuple[float, Admixture]:
+    batch = F.pmod(F.xxhash64("site_idx", F.lit(seed)), F.lit(batches)).cast("int").alias("batch")
+    anc = F.flatten(F.array_repeat("anc", len(alphas))).alias("anc")
+    rows = drawn.select("site_idx", *(F.col(c).cast(ARRAY).alias(c) for c in ("l0", "l1", "pi")), anc)
+    states, until = [(alpha, q, 0, False) for alpha in alphas], 0
+    while True:
+        until = min(until + rounds_per_stage, most_rounds)
+        dealt = rows.select("site_idx", *STAGE, batch).repartition(tasks or slots(spark), "site_idx")
+        path = shared_path(spark, "admix")
+        _stage(dealt, states, batches, until, tol).write.parquet(path)
+        done = spark.read.schema(SCHEMA).parquet(path)
+        state = np.array(done.where("site_idx IS NULL").first()["state"]).reshape(len(alphas), -1)
+        rows = done.where("site_idx IS NOT NULL").select("site_idx", *STAGE)
+        states = [(a, x[:-4].reshape(samples, k), int(x[-4]), bool(x[-3])) for a, x in zip(alphas, state, strict=True)]
+        if until >= most_rounds or all(x[-1] for x in states):
+            break
+    return [
+        Admixture(q, rows.withColumn("anc", F.slice("anc", n * k + 1, k)), float(x[-2]), float(np.sqrt(x[-1])), rounds, end)
+        for n, ((_, q, rounds, end), x) in enumerate(zip(states, state, strict=True))
+    ]
+
+
+def admix(panel: DataFrame, samples: int, k: int, alpha: float = 0.0, **options) -> Admixture:
+    """Factorise pi of a panel (site_idx, l0, l1, pi); options as in ``admix_many``."""
+    return admix_many(panel, samples, k, [alpha], **options)[0]
+
+
+def alpha_search(fits: Callable[[list[float]], list[Admixture]], end: float, depth: int = 7) -> tuple[float, Admixture]:
     """The regularisation with the highest log-likelihood, by halving steps.
 
     0, end / 2 and end are tried first and the best is the centre; then at every depth a
-    lower and, if that doesn't help, a higher value. If 0 is the best of the three, only the middle
-    between 0 and the upper edge is tried, and the edge comes down to it at every depth, whether or not it
-    was better. The end is soft: a higher value may exceed it. Fits that lose are released.
+    lower and, if that doesn't help, a higher value; both are fitted together. If 0 is the best of the three, only the
+    middle between 0 and the upper edge is tried, and the edge comes down to it at every depth, whether or not it
+    was better. The end is soft: a higher value may exceed it.
     """
-    tried = {a: fit(a) for a in (0.0, end / 2.0, end)}
+    first = [0.0, end / 2.0, end]
+    tried = dict(zip(first, fits(first), strict=True))
     best = max(tried, key=lambda a: (tried[a].log_likelihood, -a))
-    found = tried.pop(best)
-    for other in tried.values():
-        other.release()
-
-    def better(value: float) -> bool:
-        nonlocal best, found
-        trial = fit(value)
-        if trial.log_likelihood > found.log_likelihood:
-            found.release()
-            best, found = value, trial
-            return True
-        trial.release()
-        return False
-
+    found = tried[best]
     edge, step = (end / 2.0 if best == 0.0 else None), end / 4.0
     for _ in range(depth - 1):
         if edge is not None:
             edge /= 2.0
-            better(edge)
+            values = [edge]
         else:
-            centre = best
-            if not better(max(centre - step, 0.0)):
-                better(centre + step)
+            values = [max(best - step, 0.0), best + step]
             step /= 2.0
+        for value, trial in zip(values, fits(values), strict=True):
+            if trial.log_likelihood > found.log_likelihood:
+                best, found = value, trial
+                break
     return best, found

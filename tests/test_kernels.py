@@ -169,25 +169,23 @@ def test_admixture_steps_lower_the_distance():
 
 
 def test_alpha_search_finds_the_peak():
-    class Fitted:
-        def __init__(self, a):
-            self.log_likelihood = -((a - 3.0) ** 2)
+    def fits_of(likelihood, tried):
+        def fits(alphas):
+            tried.append(alphas)
+            return [type("Fit", (), {"log_likelihood": likelihood(a)})() for a in alphas]
 
-        def release(self):
-            pass
+        return fits
 
-    best, _ = admixture.alpha_search(Fitted, 10.0, 7)
-    assert abs(best - 3.0) < 0.3
     tried = []
-
-    def near_one(a):
-        tried.append(a)
-        return type("R", (), {"log_likelihood": -abs(a - 1.0), "release": lambda self: None})()
-
-    best, _ = admixture.alpha_search(near_one, 10.0, 6)
-    assert tried == [0.0, 5.0, 10.0, 2.5, 1.25, 0.625, 0.3125, 0.15625] and best == 1.25
-    best, _ = admixture.alpha_search(
-        lambda a: type("R", (), {"log_likelihood": -a, "release": lambda self: None})(), 10.0, 5
-    )
+    best, _ = admixture.alpha_search(fits_of(lambda a: -((a - 3.0) ** 2), tried), 10.0, 7)
+    assert abs(best - 3.0) < 0.3 and len(tried) == 7
+    # the lower of two values wins if it helps, even where the higher one is better still
+    tried = []
+    best, _ = admixture.alpha_search(fits_of({0.0: 0, 5.0: 1, 10.0: 0, 2.5: 2, 7.5: 3}.get, tried), 10.0, 2)
+    assert tried == [[0.0, 5.0, 10.0], [2.5, 7.5]] and best == 2.5
+    tried = []
+    best, _ = admixture.alpha_search(fits_of(lambda a: -abs(a - 1.0), tried), 10.0, 6)
+    assert tried == [[0.0, 5.0, 10.0], [2.5], [1.25], [0.625], [0.3125], [0.15625]] and best == 1.25
+    best, _ = admixture.alpha_search(fits_of(lambda a: -a, []), 10.0, 5)
     assert best == 0.0
     assert math.isfinite(best)

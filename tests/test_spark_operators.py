@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparsegeno.functions import kernels as k
 from sparsegeno.functions.passes import collect_matrix
-from sparsegeno.operators import admixture, covariance, frequency, genotype, inbreeding, pca, scans
+from sparsegeno.operators import covariance, frequency, genotype, inbreeding, pca, scans
 from sparsegeno.sources import reads, sinks, text
 
 SITES, SAMPLES = 60, 8
@@ -135,18 +135,6 @@ def test_inbreeding(panel, data):
     assert set(np.unique(calls)) <= {0, 1, 2, -9}
 
 
-def test_admixture(panel):
-    rows = covariance.as_pi(fitted(panel)).cache()
-    rows = rows.where("site_idx < 7")
-    model = pca.fit_pi(fitted(panel), 1, fixed_rounds=2).panel.where("site_idx < 7").cache()
-    found = admixture.admix(model, SAMPLES, 2, most_rounds=2, batches=20)  # most batches are empty
-    assert np.allclose(found.q.sum(1), 1.0)
-    assert found.panel.count() == rows.count()
-    again = admixture.admix(model, SAMPLES, 2, most_rounds=2, batches=20)
-    assert np.allclose(found.q, again.q)
-    again.release()
-
-
 def test_exact_median(spark):
     rng = np.random.default_rng(4)
     for x in (rng.normal(size=5001), rng.normal(size=5000), np.repeat([1.0, 2.0, 7.0], [2000, 1, 2000]), rng.integers(0, 3, 4000), np.ones(3000)):
