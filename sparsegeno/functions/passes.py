@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,10 +70,9 @@ def with_site_columns(panel: DataFrame, make: Callable[[Columns], Columns], **ki
 def site_sums(panel: DataFrame, make: Callable[[Columns], np.ndarray], mean: bool = False) -> DataFrame:
     """(i, j, v): the matrix that ``make`` gives for batches of sites, summed over all sites.
 
-    Each task adds up its own batches; small partitions are read one after the other, so that there are
-    about two matrices per core. They are shuffled by row of the matrix, one array per row, and added
-    as they arrive. Every row comes with the task's number of sites, so the ``mean`` per site needs no
-    second pass.
+    Each task adds up its own batches. Their matrices, which are small (samples by a few), are shuffled by row,
+    one array per row, and added as they arrive. Every row comes with the task's number of sites, so the
+    ``mean`` per site needs no second pass. Products of samples with samples are the business of ``tile_sums``.
     """
     kind, names = "i int, v array<double>, sites long", ["i", "v", "sites"]
 
@@ -100,12 +100,125 @@ def site_sums(panel: DataFrame, make: Callable[[Columns], np.ndarray], mean: boo
         for k in range(0, len(at), 256):
             yield rows_of(at[k : k + 256], np.stack([total[i] for i in at[k : k + 256]]), [sites[i] for i in at[k : k + 256]])
 
-    few = panel.coalesce(2 * panel.sparkSession.sparkContext.defaultParallelism)
-    sums = few.mapInArrow(own, kind).repartition("i").mapInArrow(added, kind)
+    sums = panel.mapInArrow(own, kind).repartition("i").mapInArrow(added, kind)
     cells = sums.select("i", F.posexplode("v").alias("j", "v"), "sites")
     return cells.select("i", "j", (F.col("v") / F.col("sites") if mean else F.col("v")).alias("v"))
 
 
+#: Samples of a tile: 32 MB of products.
+TILE = 2048
+#: What ``tile_sums`` gives: part of row i of the matrix, from column j0 on, and the number of sites that are in it.
+STRIP = "i int, j0 int, v array<double>, sites long"
+
+
+def tile_sums(
+    panel: DataFrame, make: Callable[[Columns], tuple[np.ndarray, np.ndarray | None]], tile: int = TILE
+) -> DataFrame:
+    """(i, j0, v, sites): strips of E'E, samples by samples, summed over all sites.
+
+    ``make`` gives E of a batch of sites, and the batch's sums for the diagonal if the diagonal is something else.
+    Samples are cut into tiles. With one tile a task adds up the products of its own sites; with more, a batch goes to every pair
+    of tiles in the upper triangle as the two parts of E that the pair needs, and is multiplied there. So no
+    task ever holds more than one tile of the matrix. Partial tiles meet row by row, twice: several per pair first, so that a
+    pair is not one task's work.
+    """
+    kind = "a int, b int, part int, n int, product boolean, first binary, second binary, diagonal binary, sites long"
+    names = [x.split()[0] for x in kind.split(", ")]
+    groups = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def row(*values) -> pa.RecordBatch:
+        kinds = [*[pa.int32()] * 4, pa.bool_(), *[pa.binary()] * 3, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+    def raw(values: np.ndarray | None) -> bytes | None:
+        return None if values is None else np.ascontiguousarray(values, np.float64).tobytes()
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total, on, sites = TaskContext.get().partitionId(), None, None, 0
+        for batch in _batches(batches):
+            if not batch.num_rows:
+                continue
+            e, diagonal = make({n: to_numpy(c) for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+            cuts = range(0, e.shape[1], tile)
+            if len(cuts) == 1:
+                total = e.T @ e if total is None else total + e.T @ e
+                on = diagonal if on is None else on + diagonal
+                sites += batch.num_rows
+                continue
+            pairs = len(cuts) * (len(cuts) + 1) // 2
+            blocks = [raw(e[:, i : i + tile]) for i in cuts]
+            for a, first in enumerate(blocks):
+                for b in range(a, len(blocks)):
+                    there = raw(diagonal[a * tile : (a + 1) * tile]) if a == b and diagonal is not None else None
+                    second = blocks[b] if b > a else None
+                    salt = part % max(1, groups // pairs)
+                    yield row(a, b, salt, batch.num_rows, False, first, second, there, batch.num_rows)
+        if total is not None:
+            yield row(0, 0, part % groups, len(total), True, raw(total), None, raw(on), sites)
+
+    def strips(at: int, j0: int, values: np.ndarray, sites: int) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(values), 256):
+            v = values[i : i + 256]
+            columns = [pa.array(range(at + i, at + i + len(v)), pa.int32()), pa.array([j0] * len(v), pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, to_arrow(v), pa.array([sites] * len(v), pa.int64())], ["i", "j0", "v", "sites"]
+            )
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, on, sites = None, None, None, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            a, b, _ = key
+            if on is not None:
+                np.fill_diagonal(total, on)
+            yield from strips(a * tile, b * tile, total, sites)
+            if b > a:
+                yield from strips(b * tile, a * tile, total.T, sites)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b, part, n, product, *data, count = (c[i] for c in batch.columns)
+                now = a.as_py(), b.as_py(), part.as_py()
+                x, y, d = (np.frombuffer(v.as_buffer(), np.float64) if v.is_valid else None for v in data)
+                x = x.reshape(n.as_py(), -1)
+                if not product.as_py():
+                    x = x.T @ (x if y is None else y.reshape(n.as_py(), -1))
+                if now != key:
+                    if key:
+                        yield from out()
+                    key, total, on, sites = now, np.zeros(x.shape), None, 0
+                total += x
+                on = d if on is None else on + d
+                sites += count.as_py()
+        if key:
+            yield from out()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, sites = None, None, 0
+        for batch in batches:
+            for i, j0, v, n in zip(*(to_numpy(c) if k != 2 else c for k, c in enumerate(batch.columns)), strict=True):
+                v = v.values.to_numpy()
+                if (i, j0) == key:
+                    total, sites = total + v, sites + n
+                    continue
+                if key:
+                    yield from strips(*key, total[None, :], sites)
+                key, total, sites = (int(i), int(j0)), v, int(n)
+        if key:
+            yield from strips(*key, total[None, :], sites)
+
+    by = ["a", "b", "part"]
+    tiles = panel.mapInArrow(own, kind).repartition(*by).sortWithinPartitions(*by).mapInArrow(multiplied, STRIP)
+    return tiles.repartition("i", "j0").sortWithinPartitions("i", "j0").mapInArrow(added, STRIP)
+
+
+def strip_cells(strips: DataFrame, mean: bool = False) -> DataFrame:
+    """(i, j, v): the single cells of strips, or their means per site."""
+    v = F.col("v") / F.col("sites") if mean else F.col("v")
+    cells = strips.select("i", "j0", F.posexplode("v").alias("j", "v"), "sites")
+    return cells.select("i", (F.col("j0") + F.col("j")).alias("j"), v.alias("v"))
+
+
 def collect_matrix(cells: DataFrame) -> np.ndarray:
     """A samples-by-samples or samples-by-components matrix; the size never depends on sites."""
     rows = cells.select("i", "j", "v").toPandas()

@@ -347,10 +347,21 @@ def fit_pi(spark, sf_dir):
     return _cells(_converged(spark, sf_dir).panel, 5, pi="pi")
 
 
+@query
+def cov_pop_tiles(spark, sf_dir):
+    """The covariance from tiles that are smaller than the number of samples."""
+    return _matrix(covariance.covariance(_fitted(spark, sf_dir), tile=8), "c")
+
+
 @query
 def select_k(spark, sf_dir):
-    k = pca.select_k(collect_matrix(covariance.covariance(_fitted(spark, sf_dir))))
-    return spark.createDataFrame([(k,)], "k int")
+    return spark.createDataFrame([(pca.choose_components(_fitted(spark, sf_dir)),)], "k int")
+
+
+@query
+def select_k_strips(spark, sf_dir):
+    """The number of components from strips of the covariance, as for very many samples."""
+    return spark.createDataFrame([(pca.choose_components(_fitted(spark, sf_dir), direct=0, tile=8),)], "k int")
 
 
 # -- scans -----------------------------------------------------------------------------------

@@ -349,6 +349,7 @@ FROM (SELECT CAST(site_idx AS BIGINT) AS site_idx, CAST(sample_idx AS INT) AS sa
     "dosage_std": query(cell_value(f"({dosage('pi')} - 2e0 * f) / {SCALED}", "g"), FIT, GROUP),
     "dosage_out": query(cell_value(dosage("pi"), "g"), FIT, GROUP),
     "fake_freqs": query(cell_value("f", "c", "pi"), FIT),
+    "cov_pop_tiles": query(f"SELECT i, j, {r('v')} AS c FROM cov", FIT, cov("c", "f")),
     "cov_pop": query(f"SELECT i, j, {r('v')} AS c FROM cov", FIT, cov("c", "f")),
     "cov_ind": query(f"SELECT i, j, {r('v', 5)} AS c FROM cov", FIT, PI, cov("pi", "pi")),
     "svd_topk": query(f"SELECT i, j, {r('v')} AS v FROM p", FIT, f"e0 AS MATERIALIZED (SELECT *, {dosage('f')} - 2e0 * f AS e FROM c)", gram("gm", "e0"), power("p", "gm")),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from ..functions.passes import Columns, site_sums, with_site_columns
+from ..functions.passes import TILE, Columns, strip_cells, tile_sums, with_site_columns
 
 ARRAY = "array<double>"
 
@@ -44,25 +44,28 @@ def dosage_out(panel: DataFrame) -> DataFrame:
     return with_site_columns(panel, lambda c: {"e": k.dosage(c["l0"], c["l1"], c["pi"])}, e=ARRAY)
 
 
-def gram(panel: DataFrame, column: str = "e", mean: bool = False) -> DataFrame:
+def gram(panel: DataFrame, column: str = "e", mean: bool = False, tile: int = TILE) -> DataFrame:
     """(i, j, v): inner products of samples over all sites, or their mean per site."""
-    return site_sums(panel, lambda c: c[column].T @ c[column], mean)
+    return strip_cells(tile_sums(panel, lambda c: (c[column], None), tile), mean)
 
 
-def covariance(panel: DataFrame, pi: str | None = None) -> DataFrame:
-    """(i, j, v): covariance of standardised dosages under f, or under individual frequencies ``pi``.
+def covariance_strips(panel: DataFrame, pi: str | None = None, tile: int = TILE) -> DataFrame:
+    """The sums behind ``covariance`` as strips of rows."""
 
-    The diagonal is the mean posterior variance instead of the product.
-    """
-
-    def make(c: Columns) -> np.ndarray:
+    def make(c: Columns) -> tuple[np.ndarray, np.ndarray]:
         p = c[pi] if pi else c["f"][:, None]
         e = k.standardised(c["l0"], c["l1"], p, c["f"])
-        out = e.T @ e
-        np.fill_diagonal(out, k.spread(c["l0"], c["l1"], p, c["f"]).sum(axis=0))
-        return out
+        return e, k.spread(c["l0"], c["l1"], p, c["f"]).sum(axis=0)
+
+    return tile_sums(panel, make, tile)
 
-    return site_sums(panel, make, mean=True)
+
+def covariance(panel: DataFrame, pi: str | None = None, tile: int = TILE) -> DataFrame:
+    """(i, j, v): covariance of standardised dosages under f, or under individual frequencies ``pi``.
+
+    The diagonal is the mean posterior variance instead of the product.
+    """
+    return strip_cells(covariance_strips(panel, pi, tile), mean=True)
 
 
 def pi_standardised(panel: DataFrame) -> DataFrame:
@@ -75,6 +78,6 @@ def pi_standardised(panel: DataFrame) -> DataFrame:
     return with_site_columns(panel, make, z=ARRAY)
 
 
-def pi_covariance(panel: DataFrame) -> DataFrame:
+def pi_covariance(panel: DataFrame, tile: int = TILE) -> DataFrame:
     """(i, j, v): mean product of standardised individual frequencies."""
-    return gram(pi_standardised(panel), "z", mean=True)
+    return gram(pi_standardised(panel), "z", mean=True, tile=tile)

@@ -8,22 +8,36 @@ the driver; beyond, they are only ever multiplied by a few vectors, a pass each.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from ..functions.passes import Columns, checkpointed, collect_matrix, site_sums, with_site_columns
-from .covariance import ARRAY, covariance, dosage_pop, gram
+from ..functions.passes import (
+    TILE,
+    Columns,
+    checkpointed,
+    collect_matrix,
+    shared_path,
+    site_sums,
+    to_arrow,
+    with_site_columns,
+)
+from .covariance import ARRAY, as_pi, covariance, covariance_strips, dosage_pop, gram
 from .fixed_point import CUT_EVERY
 
 #: Samples up to which the matrix of products is taken whole: 200 MB.
 DIRECT = 5000
 #: Vectors beyond those wanted, passes at most, and residual over largest value, of the search in a subspace.
 SPARE, MOST_PASSES, RESIDUAL = 8, 40, 1e-10
+#: Components that the choice of their number looks at, and the residual that it asks of their vectors.
+MOST_COMPONENTS, LOOSE = 15, 1e-7
 
 
 def top_k(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,25 +48,14 @@ def top_k(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return vectors[:, ::-1][:, :n], np.sqrt(np.maximum(values[::-1][:n], 0.0))
 
 
-def leading(
-    panel: DataFrame, n: int, start: np.ndarray | None = None, direct: int = DIRECT
+def lanczos(
+    product: Callable[[np.ndarray], np.ndarray], samples: int, n: int, start: np.ndarray | None = None, residual: float = RESIDUAL
 ) -> tuple[np.ndarray, np.ndarray]:
-    """``top_k`` of column e of ``panel``, which should be cached; ``start``: vectors near the wanted ones.
+    """Leading eigenvectors and values of a symmetric matrix that can only be multiplied by a few vectors.
 
-    Beyond ``direct`` samples by block Lanczos: each pass multiplies E'E by a block of vectors, which are then
-    made orthogonal to all before, until the wanted pairs solve the eigenproblem to ``RESIDUAL``. Driver and
-    tasks hold samples-by-block matrices, never samples by samples.
+    Each pass multiplies a block of vectors, which are then made orthogonal to all before, until the wanted
+    pairs solve the eigenproblem to ``residual``. Warns if they don't after ``MOST_PASSES``.
     """
-    first = panel.select(F.size("e")).first()
-    samples = first[0] if first else 0
-    if samples <= direct:
-        return top_k(collect_matrix(gram(panel)), n)
-    if not 0 < n < samples:
-        raise ValueError(f"components must be between 1 and {samples - 1}")
-
-    def product(q: np.ndarray) -> np.ndarray:
-        return collect_matrix(site_sums(panel, lambda c: c["e"].T @ (c["e"] @ q)))
-
     known = np.zeros((samples, 0)) if start is None else start
     random = np.random.default_rng(1).normal(size=(samples, min(n + SPARE, samples) - known.shape[1]))
     q = np.linalg.qr(np.hstack([known, random]))[0]
@@ -63,12 +66,34 @@ def leading(
         v = basis @ w
         off = np.linalg.norm(images @ w - v * values, axis=0).max()
         room = samples - basis.shape[1]
-        if off <= RESIDUAL * max(values[0], 0.0) or not room:
-            break
+        if off <= residual * max(values[0], 0.0) or not room:
+            return v, values
         q = images[:, -q.shape[1] :][:, :room]
         for _ in range(3):  # what is left of a block is small, so one projection is not enough
             q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
         basis, images = np.hstack([basis, q]), np.hstack([images, product(q)])
+    warnings.warn(f"{n} leading vectors after {MOST_PASSES} passes: residual {off:.1e}", RuntimeWarning, stacklevel=2)
+    return v, values
+
+
+def leading(
+    panel: DataFrame, n: int, start: np.ndarray | None = None, direct: int = DIRECT
+) -> tuple[np.ndarray, np.ndarray]:
+    """``top_k`` of column e of ``panel``, which should be cached; ``start``: vectors near the wanted ones.
+
+    Beyond ``direct`` samples by block Lanczos: driver and tasks hold samples-by-block matrices, never samples by samples.
+    """
+    first = panel.select(F.size("e")).first()
+    samples = first[0] if first else 0
+    if samples <= direct:
+        return top_k(collect_matrix(gram(panel)), n)
+    if not 0 < n < samples:
+        raise ValueError(f"components must be between 1 and {samples - 1}")
+
+    def product(q: np.ndarray) -> np.ndarray:
+        return collect_matrix(site_sums(panel, lambda c: c["e"].T @ (c["e"] @ q)))
+
+    v, values = lanczos(product, samples, n, start)
     return v, np.sqrt(np.maximum(values, 0.0))
 
 
@@ -101,7 +126,7 @@ class Model:
     converged: bool
 
 
-def select_k(c: np.ndarray, most: int = 15) -> int:
+def select_k(c: np.ndarray, most: int = MOST_COMPONENTS) -> int:
     """Number of components by the minimum average partial test on a covariance.
 
     Components are taken out one by one; the average squared partial correlation of what is
@@ -123,6 +148,67 @@ def select_k(c: np.ndarray, most: int = 15) -> int:
     return max(1, int(np.argmin(scores)) + 1)
 
 
+def select_components(strips: DataFrame, samples: int, most: int = MOST_COMPONENTS) -> int:
+    """``select_k`` of a covariance that is only ever read in strips (i, j0, v, sites), which should be a table.
+
+    The leading vectors come from products of the strips with a few vectors, and the partial correlations that are left after each
+    component are squared and summed strip by strip, all in one pass. Driver and tasks hold ``most`` vectors of samples.
+    """
+    count = min(samples - 1, most)
+
+    def product(q: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = [
+                    v.values.to_numpy() @ q[j : j + len(v)] / n
+                    for j, v, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True)
+                ]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), to_arrow(np.stack(parts))], ["i", "y"])
+
+        out = np.zeros((samples, q.shape[1]))
+        rows = strips.mapInArrow(run, "i int, y array<double>").toPandas()  # samples x tiles in a row, a block of vectors wide
+        np.add.at(out, rows["i"].to_numpy(), np.stack(rows["y"]))
+        return out
+
+    own = strips.where("i >= j0 AND i < j0 + size(v)").selectExpr("i", "v[i - j0] / sites AS d").toPandas()
+    diagonal = np.zeros(samples)
+    diagonal[own["i"]] = own["d"]
+    vectors, values = lanczos(product, samples, count, residual=LOOSE)
+    lead = vectors * np.sqrt(np.maximum(values, 0.0))
+    left = diagonal[:, None] - np.cumsum(lead**2, axis=1)  # diagonals after each component
+    usable = (left > 0).all(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inverse = np.where(usable, 1.0 / left, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(count)
+        for batch in batches:
+            for i, j, v, n in zip(*(c if k == 2 else c.to_pylist() for k, c in enumerate(batch.columns)), strict=True):
+                at = slice(j, j + len(v))
+                rest = v.values.to_numpy()[:, None] / n - np.cumsum(lead[i] * lead[at], axis=1)
+                sums += (rest**2 * inverse[at]).sum(axis=0) * inverse[i]
+        yield pa.RecordBatch.from_arrays([pa.array(range(count), pa.int32()), pa.array(sums)], ["e", "s"])
+
+    rows = strips.mapInArrow(run, "e int, s double").groupBy("e").agg(F.sum("s").alias("s")).collect()
+    sums = np.zeros(count)
+    for e, x in rows:
+        sums[e] = x
+    scores = np.where(usable, (sums - samples) / (samples * (samples - 1)), 1.0)
+    return max(1, int(np.argmin(scores)) + 1)
+
+
+def choose_components(panel: DataFrame, direct: int = DIRECT, tile: int = TILE) -> int:
+    """Number of components of a panel with f: on the whole covariance up to ``direct`` samples, in strips beyond."""
+    first = panel.select(F.size("l0")).first()
+    samples = first[0] if first else 0
+    if samples <= direct:
+        return select_k(collect_matrix(covariance(panel)))
+    strips, path = covariance_strips(panel, tile=tile), shared_path(panel.sparkSession, "covariance")
+    strips.write.parquet(path)
+    return select_components(panel.sparkSession.read.schema(strips.schema).parquet(path), samples)
+
+
 def fit_pi(
     panel: DataFrame,
     components: int = 0,
@@ -130,13 +216,14 @@ def fit_pi(
     most_rounds: int = 100,
     fixed_rounds: int | None = None,
 ) -> Model:
-    """Individual frequencies of a panel with f; 0 components: chosen by ``select_k``.
+    """Individual frequencies of a panel with f; 0 components: chosen by ``choose_components``.
 
     ``most_rounds`` of 0 is the population model: pi is f and the covariance that of f.
     """
-    if not components:
-        components = select_k(collect_matrix(covariance(panel)))
+    components = components or choose_components(panel)
     rounds_left = most_rounds if fixed_rounds is None else fixed_rounds
+    if not rounds_left:
+        return Model(as_pi(panel), covariance(panel), components, 0, False)
     now = dosage_pop(panel).persist(StorageLevel.MEMORY_AND_DISK)
     v, _ = leading(now, components)
     rounds, done = 0, False

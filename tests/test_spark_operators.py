@@ -108,11 +108,6 @@ def test_individual_frequencies(panel, data):
     assert ((p >= 0) & (p <= 1)).all() and p.max() > 0.5
 
 
-def test_population_model(panel):
-    model = pca.fit_pi(fitted(panel), 1, most_rounds=0)
-    assert model.rounds == 0
-
-
 def test_inbreeding(panel, data):
     rows = covariance.as_pi(fitted(panel)).cache()
     l0, l1 = np.array(column(rows, "l0")), np.array(column(rows, "l1"))
