@@ -16,7 +16,7 @@ from ..functions.passes import cells_of, collect_matrix, with_site_columns
 from ..functions.passes import shared_path as _path
 from ..operators import admixture, covariance, frequency, genotype, inbreeding, pca, scans, tree
 from ..operators.fixed_point import factor
-from ..sources import reads, sinks, text
+from ..sources import files, reads, sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,10 +82,20 @@ def _beagle_file(spark, sf_dir) -> str:
 def scan_beagle_gzip(spark, sf_dir):
     """The same from one gzipped file, which is read once and dealt out."""
     path = _path(spark, "beagle-gz")
-    sinks.write_beagle(_panel(spark, sf_dir), path, one_file=True)
+    sinks.write_beagle(_panel(spark, sf_dir), f"{path}-plain")
+    lines = text.numbered_lines(spark, f"{path}-plain").repartitionByRange(1, "line").sortWithinPartitions("line")
+    lines.select("value").write.option("compression", "gzip").text(path)
     return _cells(text.scan_beagle(spark, path), l0="l0", l1="l1")
 
 
+@query
+def scan_beagle_block_gzip(spark, sf_dir):
+    """The same from one block gzip file, written by all tasks and read in small ranges."""
+    path = f"{_path(spark, 'beagle-blocks')}.gz"
+    sinks.write_beagle(_panel(spark, sf_dir), path, block_gzip=True)
+    return _cells(text.scan_beagle(spark, path, size=50_000), l0="l0", l1="l1")
+
+
 def _site_mask(spark, sf_dir) -> DataFrame:
     n = _panel(spark, sf_dir).count()
     return spark.range(n).select(F.col("id").alias("site_idx"), (F.col("id") % 7 != 0).cast("int").alias("keep"))
@@ -148,6 +158,16 @@ def scan_plink(spark, sf_dir):
     return _cells(text.scan_plink(spark, prefix, 0.01), l0="l0", l1="l1")
 
 
+@query
+def scan_plink_sites(spark, sf_dir):
+    """Every third site below 150 of packed calls: the bound reaches the reader, the mask comes before decoding."""
+    prefix, n = _path(spark, "plink"), _samples(spark, sf_dir)
+    packed = _packed(spark, sf_dir)
+    sinks.write_plink(packed, n, prefix)
+    mask = spark.range(packed.count()).select(F.col("id").alias("site_idx"), (F.col("id") % 3 == 0).cast("int").alias("keep"))
+    return _cells(text.scan_plink(spark, prefix, 0.01, "site_idx < 150", mask, 4096), l0="l0", l1="l1")
+
+
 @query
 def load_mask(spark, sf_dir):
     path = _path(spark, "mask")
@@ -721,6 +741,31 @@ def sink_pi(spark, sf_dir):
     return _cells(_table_back(spark, _grouped(spark, sf_dir).select("site_idx", "pi"), "pi"), pi="pi")
 
 
+def _npy_back(spark, panel: DataFrame, column: str, kind: str) -> DataFrame:
+    """``panel`` with ``column`` written to one .npy file and read back."""
+    path = f"{_path(spark, column)}.npy"
+    sinks.write_npy(panel, column, path, kind)
+    back = files.read_npy(spark, path, 100)
+    return text.dense_positions(panel.select("site_idx")).join(back, "pos").select("site_idx", F.col("values").alias(column))
+
+
+@query
+def sink_calls_npy(spark, sf_dir):
+    rows = genotype.calls(_grouped(spark, sf_dir), 0.6).select("site_idx", "call")
+    back = _npy_back(spark, rows, "call", "|i1").select("site_idx", F.col("call").cast("array<int>").alias("call"))
+    return cells_of(back, call="call")
+
+
+@query
+def sink_dosage_npy(spark, sf_dir):
+    return _cells(_npy_back(spark, covariance.dosage_out(_grouped(spark, sf_dir)), "e", "<f8"), e="e")
+
+
+@query
+def sink_pi_npy(spark, sf_dir):
+    return _cells(_npy_back(spark, _grouped(spark, sf_dir), "pi", "<f8"), pi="pi")
+
+
 @query
 def sink_tree_cov(spark, sf_dir):
     path = _path(spark, "tree-cov")

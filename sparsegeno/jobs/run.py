@@ -61,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tree-samples", help="sample names, one per line")
     for flag in ("maf-save", "pi-save", "dosage-save", "sites-save"):
         p.add_argument(f"--{flag}", action="store_true")
+    p.add_argument("--npy", action="store_true", help="calls, dosages and frequencies as .npy files, too (mounted --out only)")
     return p
 
 
@@ -91,6 +92,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     def path(name: str) -> str:
         return f"{a.out}/{name}"
 
+    def write_sites(rows: DataFrame, column: str, name: str, kind: str) -> None:
+        sinks.write_table(rows.select("site_idx", column), path(name))
+        if a.npy:
+            sinks.write_npy(rows, column, path(f"{name}.npy"), kind)
+
     loaded = checkpointed(load(spark, a))
     fit = frequency.allele_frequencies(loaded, a.maf_tole, a.maf_iter)
     panel = frequency.filter_maf(fit.panel, a.maf)
@@ -142,10 +148,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.post_inbreed:
         sinks.write_posteriors(genotype.posteriors(panel, inbred, a.strict_prior), path("post.inbreed"))
     if a.geno is not None:
-        sinks.write_table(genotype.calls(panel, a.geno).select("site_idx", "call"), path("geno"))
+        write_sites(genotype.calls(panel, a.geno), "call", "geno", "|i1")
     if a.geno_inbreed is not None:
         called = genotype.calls(panel, a.geno_inbreed, inbred, a.strict_prior)
-        sinks.write_table(called.select("site_idx", "call"), path("geno.inbreed"))
+        write_sites(called, "call", "geno.inbreed", "|i1")
     if a.tree:
         between = covariance.pi_covariance(panel)
         names = [r["name"] for r in text.load_names(spark, a.tree_samples, samples).orderBy("sample_idx").collect()]
@@ -172,9 +178,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.maf_save:
         sinks.write_site_vector(panel, "f", path("freqs"))
     if a.dosage_save:
-        sinks.write_table(covariance.dosage_out(panel).select("site_idx", "e"), path("dosage"))
+        write_sites(covariance.dosage_out(panel), "e", "dosage", "<f4")
     if a.pi_save:
-        sinks.write_table(panel.select("site_idx", "pi"), path("pi"))
+        write_sites(panel, "pi", "pi", "<f4")
     if a.sites_save:
         # one flag per site of the input, also for those that a mask took out
         every = text.load_mask(spark, a.filter_sites) if a.filter_sites else loaded

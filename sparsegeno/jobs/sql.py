@@ -397,6 +397,10 @@ FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM cus
 _by_site = "CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS line"
 ORACLE |= {
     "scan_beagle_gzip": ORACLE["scan_beagle"],
+    "scan_beagle_block_gzip": ORACLE["scan_beagle"],
+    "sink_calls_npy": ORACLE["call"],
+    "sink_dosage_npy": ORACLE["dosage_out"],
+    "sink_pi_npy": query(cell_value("pi", "g", "pi"), FIT, GROUP),
     "scan_plink": "SELECT CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS site_idx, sample_idx, l0, l1 FROM (" + ORACLE["decode_bed"] + ")",
     "sink_selection": query(f"SELECT {_by_site}, CAST(0 AS INT) AS k, {r('selection', 5)} AS value FROM scan", FIT, PI, SCAN),
     "sink_weights": query(f"SELECT {_by_site}, CAST(0 AS INT) AS k, {r('abs(weight)', 5)} AS value FROM scan", FIT, PI, SCAN),
@@ -417,3 +421,4 @@ ORACLE |= {
 for _name, _source in (("sink_posterior", "posterior"), ("sink_posterior_inbreed", "posterior_inbreed")):
     ORACLE[_name] = f"""SELECT CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS line, sample_idx,
   CAST(unnest([0, 1, 2]) AS INT) AS genotype, unnest([p0, p1, p2]) AS p FROM ({ORACLE[_source]})"""
+ORACLE["scan_plink_sites"] = f"SELECT * FROM ({ORACLE['scan_plink']}) WHERE site_idx < 150 AND site_idx % 3 = 0"

@@ -1,15 +1,18 @@
-"""Results as files: Parquet for further work, ordered text for other programs."""
+"""Results as files: Parquet for further work, ordered text and .npy for other programs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import file_system
+from ..functions.passes import to_numpy
+from .block_gzip import write_lines
+from .files import mounted, npy_header, refuse, write_ranges
+from .text import dense_positions
 
 DIGITS = 7
 #: The first bytes of a file of packed calls, sites in order.
@@ -57,10 +60,10 @@ def write_cells(cells: DataFrame, path: str, files: int | None = None, digits: i
     _ordered(rows, ["i"], line, path, files)
 
 
-def write_beagle(panel: DataFrame, path: str, one_file: bool = False) -> None:
+def write_beagle(panel: DataFrame, path: str, block_gzip: bool = False) -> None:
     """A likelihood table: text files that follow each other by name, the first with the header.
 
-    ``one_file``: one gzipped file for programs that read such tables; the whole panel passes one task then.
+    ``block_gzip``: one file in block gzip, written by all tasks, for programs that read such tables.
     """
     cell = F.transform(
         F.arrays_zip("l0", "l1"),
@@ -73,37 +76,46 @@ def write_beagle(panel: DataFrame, path: str, one_file: bool = False) -> None:
     rows = panel.select("site_idx", line.alias("value"))
     head = panel.sparkSession.createDataFrame([(-1, header)], "site_idx long, value string")
     both = head.unionByName(rows)
-    both = both.repartitionByRange(1, "site_idx") if one_file else both.repartitionByRange("site_idx")
-    both = both.sortWithinPartitions("site_idx").select("value")
-    both.write.option("compression", "gzip" if one_file else "none").text(path)
+    both = both.repartitionByRange("site_idx").sortWithinPartitions("site_idx").select("value")
+    if block_gzip:
+        write_lines(both, path)
+    else:
+        both.write.text(path)
 
 
-def write_plink(rows: DataFrame, samples: int, prefix: str) -> None:
-    """(site_idx, codes) as a folder prefix.bed of files in the order of sites, and prefix.fam.
+def write_npy(panel: DataFrame, column: str, path: str, kind: str = "<f4") -> None:
+    """A column, numbers or arrays over samples, as one .npy file with the sites in order; all tasks write to it.
 
-    Each task writes the file of its own range; a task that runs again writes the same file again.
+    ``kind`` is the type of the numbers in NumPy's notation.
     """
-    spark = rows.sparkSession
-    ranged = rows.select("site_idx", "codes").repartitionByRange("site_idx").sortWithinPartitions("site_idx")
+    refuse(path)
+    first = panel.select(column).first()
+    flat = first is None or not isinstance(first[0], list)
+    shape = (panel.count(),) if flat else (panel.count(), len(first[0]))
+    header, width = npy_header(shape, kind), np.dtype(kind).itemsize * (1 if flat else shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, written, out = TaskContext.get().partitionId(), 0, None
-        system, folder = file_system(f"{prefix}.bed")
         for batch in batches:
-            if batch.num_rows and out is None:
-                system.create_dir(folder, recursive=True)
-                out = system.open_output_stream(f"{folder}/part-{part:06d}.bed")
-                out.write(BED_HEADER)
-            for codes in batch.column(1).to_pylist():
-                out.write(codes)
-            written += batch.num_rows
-        if out is not None:
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["sites"])
-
-    ranged.mapInArrow(run, "sites long").agg(F.sum("sites")).collect()
-    names = spark.range(samples).select(F.concat_ws(" ", "id", "id", *map(F.lit, "0 0 0 -9".split())).alias("value"))
-    names.coalesce(1).write.text(f"{prefix}.fam")
+            values = np.ascontiguousarray(to_numpy(batch.column(1)).astype(kind))
+            at = pa.array(len(header) + width * batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([at, pa.array([v.tobytes() for v in values], pa.binary())], ["at", "data"])
+
+    places = dense_positions(panel.select("site_idx", column)).select("pos", column)
+    write_ranges(places.mapInArrow(run, "at long, data binary"), path, len(header) + width * shape[0], header)
+
+
+def write_plink(rows: DataFrame, samples: int, prefix: str) -> None:
+    """(site_idx, codes) as prefix.bed, the sites in order, and prefix.fam; fails before it touches anything if one is there."""
+    refuse(f"{prefix}.bed", f"{prefix}.fam")
+    width = -(-samples // 4)
+    fits = F.when(F.octet_length("codes") == width, F.col("codes")).otherwise(
+        F.raise_error(F.lit("the packed calls don't fit the number of samples")).cast("binary")
+    )
+    places = dense_positions(rows.select("site_idx", "codes"))
+    ranges = places.select((F.col("pos") * width + len(BED_HEADER)).alias("at"), fits.alias("data"))
+    write_ranges(ranges, f"{prefix}.bed", len(BED_HEADER) + width * rows.count(), BED_HEADER)
+    with open(mounted(f"{prefix}.fam"), "x") as f:  # one line per sample
+        f.writelines(f"{i} {i} 0 0 0 -9\n" for i in range(samples))
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -9,30 +9,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from ..functions.passes import CELLS, shared_path, to_arrow
+from .block_gzip import RANGE, is_block_gzip, read_lines
 
 THIRD = 0.333333
 #: Endings of files that one task has to read from the start.
-COMPRESSED = (".gz", ".deflate")
+COMPRESSED = (".gz", ".bgz", ".deflate")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """(line, value): the lines of one or more text files, numbered from 0 in order.
 
-    Lines are counted per input split; only these counts (one row per split) reach the driver. A compressed
-    file cannot be split: it is read once, its lines are dealt out and written to the shared folder.
+    Lines are counted per input split; only these counts (one row per split) reach the driver. Files in block gzip are
+    read in ranges of ``size`` compressed bytes. Another compressed file cannot be split: it is read once, its lines are
+    dealt out, ``size`` compressed bytes to a part, and written to the shared folder.
     """
     raw = spark.read.text(path)
-    rows = raw.select(
-        "value",
-        F.struct(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b")).alias("split"),
-        F.monotonically_increasing_id().alias("nth"),
-    )
-    if any(name.endswith(COMPRESSED) for name in raw.inputFiles()):
+    files = sorted(raw.inputFiles())
+    packed = [name for name in files if name.endswith(COMPRESSED)]
+    if packed and len(packed) == len(files) and all(map(is_block_gzip, files)):
+        rows = read_lines(spark, files, size).select(
+            "value", F.struct(F.col("path").alias("p"), F.col("start").alias("b")).alias("split"), F.monotonically_increasing_id().alias("nth")
+        )
+        packed = []
+    else:
+        rows = raw.select(
+            "value",
+            F.struct(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b")).alias("split"),
+            F.monotonically_increasing_id().alias("nth"),
+        )
+    if packed:
         dealt, kept = shared_path(spark, "lines"), rows.schema
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that they are kept for few lines too
+        lengths = spark.read.format("binaryFile").load(path).select("length").agg(F.sum("length")).first()[0]
+        parts = max(2, -(-lengths // size))  # named, so that they are kept for few lines too
         rows.repartition(parts, "nth").write.parquet(dealt)
         rows = spark.read.schema(kept).parquet(dealt)
     counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.min("nth").alias("first")).collect()
@@ -57,15 +79,16 @@ def scan_beagle(
     site_mask: DataFrame | None = None,
     sample_mask: list[int] | None = None,
     check: bool = False,
+    size: int = RANGE,
 ) -> DataFrame:
-    """site_idx, l0, l1 from a likelihood table (plain or gzip): a header, then per line a
+    """site_idx, l0, l1 from a likelihood table (plain, gzip or block gzip): a header, then per line a
     marker, two alleles and three likelihoods per sample.
 
     ``site_mask`` (site_idx, keep) is applied before any number is parsed; ``sample_mask``
     (0 or 1 per sample) drops samples, the rest are numbered anew. The third likelihood is
-    never read; ``check`` fails on triples that don't sum to 1.
+    never read; ``check`` fails on triples that don't sum to 1. ``size``: bytes of a range of a compressed file.
     """
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, path, size)
     rows = lines.where("line > 0").select((F.col("line") - 1).alias("site_idx"), "value")
     if site_mask is not None:
         rows = rows.join(site_mask.where("keep = 1").select("site_idx"), "site_idx", "left_semi")
@@ -139,12 +162,42 @@ class _Range(InputPartition):
 
 
 class BedReader(DataSourceReader):
-    """Ranges of whole sites of a .bed file, or of all in a folder; each task opens a file at its own offset."""
+    """Ranges of whole sites of a .bed file, or of all in a folder; each task opens a file at its own offset.
 
-    SITES = 1 << 16
+    Ranges have at most ``size`` bytes (one site at least), and are read a batch at a time. Bounds on
+    site_idx in a filter leave out ranges, and the sites outside them in the ranges at the edges, before anything is read.
+    """
 
-    def __init__(self, path: str, samples: int):
-        self.path, self.width = path, -(-samples // 4)
+    #: Bytes of a batch.
+    BATCH = 1 << 22
+
+    def __init__(self, path: str, samples: int, size: int):
+        self.path, self.width, self.size = path, -(-samples // 4), size
+        self.first, self.end = 0, 2**63
+
+    def pushFilters(self, filters):
+        for f in filters:
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != ("site_idx",) or isinstance(value, bool):
+                yield f
+            elif isinstance(f, EqualTo) and isinstance(value, int):
+                self._between(value, value + 1)
+            elif isinstance(f, GreaterThan) and isinstance(value, int):
+                self._between(value + 1, self.end)
+            elif isinstance(f, GreaterThanOrEqual) and isinstance(value, int):
+                self._between(value, self.end)
+            elif isinstance(f, LessThan) and isinstance(value, int):
+                self._between(self.first, value)
+            elif isinstance(f, LessThanOrEqual) and isinstance(value, int):
+                self._between(self.first, value + 1)
+            elif isinstance(f, In) and value and all(isinstance(v, int) for v in value):
+                self._between(min(value), max(value) + 1)
+                yield f  # only its bounds are used here
+            elif not isinstance(f, IsNotNull):
+                yield f
+
+    def _between(self, first: int, end: int) -> None:
+        self.first, self.end = max(self.first, first), min(self.end, end)
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -153,28 +206,33 @@ class BedReader(DataSourceReader):
         files = [system.get_file_info(inner)]
         if files[0].type == fs.FileType.Directory:
             files = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".bed")]
-        found, site = [], 0
+        found, site, step = [], 0, max(1, self.size // self.width)
         for f in sorted(files, key=lambda f: f.path):
             if (f.size - 3) % self.width:
                 raise ValueError("the file's size doesn't fit the number of samples")
             sites = (f.size - 3) // self.width
-            found += [_Range(f.path, i, min(self.SITES, sites - i), site + i) for i in range(0, sites, self.SITES)]
+            at, end = max(0, self.first - site), min(sites, self.end - site)
+            found += [_Range(f.path, i, min(step, end - i), site + i) for i in range(at, end, step)]
             site += sites
         return found or [_Range(inner, 0, 0, 0)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.count:
             return
         system, _ = file_system(self.path)
+        step = max(1, self.BATCH // self.width)
         with system.open_input_file(partition.path) as f:
             f.seek(3 + partition.first * self.width)
-            data = f.read(partition.count * self.width)
-        for i in range(partition.count):
-            yield partition.site + i, bytes(data[i * self.width : (i + 1) * self.width])
+            for i in range(0, partition.count, step):
+                n = min(step, partition.count - i)
+                data = f.read(n * self.width)
+                sites = pa.array(np.arange(partition.site + i, partition.site + i + n))
+                codes = pa.array([data[j : j + self.width] for j in range(0, len(data), self.width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([sites, codes], ["site_idx", "codes"])
 
 
 class BedSource(DataSource):
-    """``spark.read.format("packed_calls").option("samples", n).load(path)``."""
+    """``spark.read.format("packed_calls").option("samples", n).load(path)``; option size: bytes of a range."""
 
     @classmethod
     def name(cls) -> str:
@@ -184,18 +242,40 @@ class BedSource(DataSource):
         return "site_idx long, codes binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return BedReader(self.options["path"], int(self.options["samples"]))
+        return BedReader(self.options["path"], int(self.options["samples"]), int(self.options.get("size", RANGE)))
+
 
+def packed_calls(spark: SparkSession, path: str, samples: int, size: int = RANGE) -> DataFrame:
+    """(site_idx, codes) of a .bed file or a folder of them; comparisons of site_idx with numbers reach the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BedSource)
+    return spark.read.format("packed_calls").option("samples", samples).option("size", size).load(path)
 
-def scan_plink(spark: SparkSession, prefix: str, error: float = 0.0) -> DataFrame:
+
+def scan_plink(
+    spark: SparkSession,
+    prefix: str,
+    error: float = 0.0,
+    where: Column | str | None = None,
+    site_mask: DataFrame | None = None,
+    size: int = RANGE,
+) -> DataFrame:
     """site_idx, l0, l1 from prefix.bed with as many samples as prefix.fam has lines.
 
     prefix.bed may be a folder of such files, one after the other in the order of their names. The path must be
-    one that all executors can open (a shared or remote file system).
+    one that all executors can open (a shared or remote file system). ``where`` is a condition on site_idx that is applied as the
+    file is read, ``site_mask`` (site_idx, keep) before anything is decoded; the numbers of sites stay those of the file.
     """
     samples = spark.read.text(f"{prefix}.fam").count()
-    spark.dataSource.register(BedSource)
-    rows = spark.read.format("packed_calls").option("samples", samples).load(f"{prefix}.bed")
+    rows = packed_calls(spark, f"{prefix}.bed", samples, size)
+    if where is not None:
+        rows = rows.where(where)
+    if site_mask is not None:
+        kept = site_mask.where("keep = 1").select("site_idx")
+        ends = kept.agg(F.min("site_idx"), F.max("site_idx")).first()
+        if ends[0] is not None:  # what lies outside the mask is not even read
+            rows = rows.where(F.col("site_idx").between(*ends))
+        rows = rows.join(kept, "site_idx", "left_semi")
     return decode_bed(rows, samples, error)
 
 
