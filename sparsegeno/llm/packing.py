@@ -45,7 +45,8 @@ MEMO_CHARS, MEMO_WORDS = 40, 400_000
 SLAB, AT_ONCE = 1_000_000, 4_000_000
 #: A word of Latin letters, one piece whatever stands around it, and at most one mark, a piece too.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?]?)").fullmatch
+MARKS = ".,;:!?"
+PLAIN = f"^(?P<word>[{LETTERS}]+)(?P<mark>[{MARKS}]?)$"
 
 
 class WordEncoder:
@@ -67,9 +68,9 @@ class WordEncoder:
         self.end = np.array([END], self.dtype).tobytes()
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
-        self.marks = {"": b""} | self.each(list(".,;:!?"))
+        self.marks = [b"", *self.each(list(MARKS)).values()]
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        latin = [chr(i) for i in range(256) if PLAIN(chr(i))]
+        latin = [c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c)]
         self.byte_level = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in latin}
         self.model = self.tokenizer.model
 
@@ -91,53 +92,58 @@ class WordEncoder:
 
     def letters(self, word: str) -> bytes:
         """Ids of a word of lower-case Latin letters."""
-        data = self.known.get(word) or self.before.get(word)
-        if data is None:
-            found = self.model.tokenize(word if word.isascii() else word.translate(self.byte_level))
-            data = array(self.code, [x.id for x in found])
-            if sys.byteorder == "big":
-                data.byteswap()
-            data = data.tobytes()
-            if len(word) <= MEMO_CHARS:
-                self.known[word] = data
-        return data
-
-    def word(self, word: str, rest: list[str]) -> bytes | None:
-        """Ids of a word that isn't remembered; words that need the whole encoder are added to ``rest``."""
-        m = PLAIN(word)
-        if m is None:
-            rest.append(word)
-            return None
-        return self.letters(m[1].lower()) + self.marks[m[2]]
-
-    def distinct(self, words: list[str]) -> list[bytes]:
-        """Ids of each of distinct words."""
+        found = self.model.tokenize(word if word.isascii() else word.translate(self.byte_level))
+        data = array(self.code, [x.id for x in found])
+        if sys.byteorder == "big":
+            data.byteswap()
+        return data.tobytes()
+
+    def remembered(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words as far as they are remembered."""
         if len(self.known) + len(words) > MEMO_WORDS:
             self.before, self.known = self.known, {"": b""}
-        found = list(map(self.known.get, words))
-        lacking = [i for i, data in enumerate(found) if data is None]
-        rest: list[str] = []
-        for i in lacking:
-            found[i] = self.before.get(words[i]) or self.word(words[i], rest)
-        whole = self.each(rest) if rest else {}
-        for i in lacking:
-            w = words[i]
-            data = found[i] = whole[w] if found[i] is None else found[i]
-            if len(w) <= MEMO_CHARS:
-                self.known[w] = data
-        return found
+        return [self.before.get(w) if ids is None else ids for w, ids in zip(words, map(self.known.get, words), strict=True)]
+
+    def remember(self, words: Iterable[str], ids: Iterable[bytes]) -> None:
+        self.known.update((w, b) for w, b in zip(words, ids, strict=True) if len(w) <= MEMO_CHARS)
+
+    def distinct(self, words: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of parts of words, and for each of distinct words its two parts; the second may be empty."""
+        plain = pc.extract_regex(words, PLAIN)
+        lower = pc.utf8_lower(plain.field("word")).fill_null("").dictionary_encode()
+        names = lower.dictionary.to_pylist()
+        found = self.remembered(names)
+        found = [self.letters(w) if ids is None else ids for w, ids in zip(names, found, strict=True)]
+        self.remember(names, found)
+        first = lower.indices.to_numpy().astype(np.int32)
+        second = pc.index_in(plain.field("mark"), pa.array(["", *MARKS])).fill_null(0).to_numpy() + np.int32(len(found))
+        found += self.marks
+        where = np.flatnonzero(plain.is_null().to_numpy(zero_copy_only=False))
+        others = words.take(pa.array(where)).to_pylist()
+        ids = self.remembered(others)
+        new = [w for w, b in zip(others, ids, strict=True) if b is None]
+        new = self.each(new) if new else {}
+        ids = [new[w] if b is None else b for w, b in zip(others, ids, strict=True)]
+        self.remember(others, ids)
+        first[where] = np.arange(len(found), len(found) + len(ids))
+        return found + ids, first, second
 
     def flat(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of each part of a text, for all parts at once."""
         lists = pc.split_pattern(pa.array(parts, pa.string()), " ")
         words = lists.flatten().dictionary_encode()
-        ids = self.distinct(words.dictionary.to_pylist())
-        data, length = np.frombuffer(b"".join(ids), self.dtype), np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        begin, which = np.cumsum(length) - length, words.indices.to_numpy()
+        ids, first, second = self.distinct(words.dictionary)
+        data = np.frombuffer(b"".join(ids), self.dtype)
+        length = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        begin, nth = np.cumsum(length, dtype=np.int32) - length, words.indices.to_numpy()
+        which = np.empty(2 * len(nth), np.int32)
+        which[0::2], which[1::2] = first[nth], second[nth]
         each = length[which]
-        ends = np.cumsum(each)
-        out = data[np.repeat(begin[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        ends = np.cumsum(each, dtype=np.int32)  # parts of AT_ONCE are far below 2^31 ids
+        take = np.repeat(begin[which] - (ends - each), each)
+        take += np.arange(len(take), dtype=np.int32)
+        out = data[take]
+        cuts = np.concatenate((np.zeros(1, np.int32), ends[1::2]))[lists.offsets.to_numpy()]
         return [out[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
