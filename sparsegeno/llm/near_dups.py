@@ -55,12 +55,10 @@ BLOCK, BLOCK_SHINGLES, MEMBERS = 2048, 4_000_000, 5000
 PIECE = 1 << 22
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(2024)
 _XOR = _rng.integers(0, 1 << 32, (REGISTERS, 1), np.uint32)
 _MUL = _rng.integers(0, 1 << 31, (REGISTERS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -69,13 +67,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+#: The shares of bytes at the first places of a word.
+_NEAR = _mixed(_mixed(np.arange(1, 1 + 64 * 256, dtype=np.uint64)) + _BASE)
+
+
+def _shares(place: np.ndarray) -> np.ndarray:
+    """A random-looking number for each pair of a place in a word and the byte there, given as 256 * place + byte."""
+    out = _NEAR[np.minimum(place, len(_NEAR) - 1)]
+    far = np.flatnonzero(place >= len(_NEAR))
+    if len(far):
+        out[far] = _mixed(_mixed(place[far].astype(np.uint64) + np.uint64(1)) + _BASE)
+    return out
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -89,17 +91,21 @@ def _pieces(data: bytes) -> Iterator[bytes]:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lowered, from one running sum over the bytes."""
+    """64-bit hashes of the words, A-Z lowered: sums of a share for each byte and its place.
+
+    Not a polynomial in the bytes, for which words that collide under every base can be written down.
+    """
     found = []
     for piece in _pieces((text or "").encode().lower()):
         x = np.frombuffer(piece, np.uint8)
         word = ~((x == 32) | ((x >= 9) & (x <= 13)))
         edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        if len(start):
-            up, down = _power(len(x) + 1)
-            total = np.concatenate(([np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:-1])))
-            found.append(_mixed((total[end] - total[start]) * down[start]))
+        length = edge[1::2] - edge[::2]
+        if len(length):
+            begin = np.cumsum(length) - length
+            place = np.arange(begin[-1] + length[-1]) - np.repeat(begin, length)
+            total = np.add.reduceat(_shares(place * 256 + x[word]), begin)
+            found.append(_mixed(total ^ (length.astype(np.uint64) * _MIX)))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
