@@ -17,6 +17,7 @@ from ..functions.passes import shared_path as _path
 from ..operators import admixture, covariance, frequency, genotype, inbreeding, pca, scans, tree
 from ..operators.fixed_point import factor
 from ..sources import files, reads, sinks, text
+from . import run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,7 +223,7 @@ def maf_em_accelerated(spark, sf_dir):
 
 @query
 def maf_em(spark, sf_dir):
-    """Until convergence; the number of rounds depends on the data, so there is no SQL."""
+    """Until convergence."""
     return _site(frequency.allele_frequencies(_panel(spark, sf_dir)).panel, "f", digits=4)
 
 
@@ -449,7 +450,7 @@ def inbreed_sites_fixed(spark, sf_dir):
 
 @query
 def inbreed_sites(spark, sf_dir):
-    """Until convergence; the number of rounds depends on the data, so there is no SQL."""
+    """Until convergence."""
     return _site(inbreeding.per_site(_grouped(spark, sf_dir)).panel, "inbreed", "f", digits=4)
 
 
@@ -616,7 +617,8 @@ def nj_q(spark, sf_dir):
 
 @query
 def nj_tree(spark, sf_dir):
-    d = collect_matrix(_distances(spark, sf_dir))
+    """The tree of the samples' covariance; samples of a region have equal frequencies, which would leave its shape to rounding."""
+    d = collect_matrix(tree.to_distance(covariance.covariance(_fitted(spark, sf_dir))))
     _, edges = tree.neighbour_joining(d, [str(i + 1) for i in range(len(d))])
     return spark.createDataFrame(edges, "parent string, child string, length double").select(
         "parent", "child", _r("length", 5).alias("length")
@@ -797,3 +799,35 @@ def sink_sites(spark, sf_dir):
     left = every.where("site_idx % 7 <> 0")
     sinks.write_site_flags(frequency.sites_kept(every, frequency.filter_maf(frequency.em_steps(left, 5))), path)
     return text.load_mask(spark, path)
+
+
+@query
+def sink_tree(spark, sf_dir):
+    """The tree's text, read back as its tips."""
+    out, n = _path(spark, "tree"), _samples(spark, sf_dir)
+    run.write_tree(covariance.covariance(_fitted(spark, sf_dir)), [str(i + 1) for i in range(n)], out)
+    tips = text.load_tree(spark, f"{out}/tree")
+    return tips.select("name", "depth", _r("length", 5).alias("length"))
+
+
+@query
+def sink_log(spark, sf_dir):
+    """The log of a short job on a likelihood table."""
+    out = _path(spark, "job")
+    sinks.write_beagle(_panel(spark, sf_dir), f"{out}-table")
+    flags = ["--beagle", f"{out}-table", "--out", out, "--model", "population"]
+    run.run(spark, run.parser().parse_args(flags))
+    line = text.numbered_lines(spark, f"{out}/log").select(F.from_json("value", "samples long, sites long").alias("x"))
+    return line.select("x.samples", "x.sites")
+
+
+@query
+def sink_null_model(spark, sf_dir):
+    """Inbreeding of sites under the population model, in files of their own names."""
+    out = _path(spark, "null")
+    run.write_site_inbreeding(covariance.as_pi(_fitted(spark, sf_dir)), out, "ngsf.")
+    f, t = (
+        text.numbered_lines(spark, f"{out}/ngsf.{name}.sites").select("line", _r(F.col("value").cast("double"), d).alias(c))
+        for name, c, d in (("inbreed", "f", 4), ("lrt", "t", 3))
+    )
+    return f.join(t, "line")

@@ -15,7 +15,6 @@ import time
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.passes import checkpointed, collect_matrix
 from ..operators import admixture, covariance, frequency, genotype, inbreeding, pca, scans, tree
@@ -38,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--maf-tole", type=float, default=1e-6)
     p.add_argument("--hwe", help="likelihood ratios of an earlier run, one per kept site")
     p.add_argument("--hwe-tole", type=float, default=1e-6)
-    p.add_argument("--iter", type=int, default=100)
+    p.add_argument("--iter", type=int, default=100, help="rounds of individual frequencies; 0 is the population model")
     p.add_argument("--tole", type=float, default=1e-5)
     for flag in ("selection", "snp-weights", "pcadapt", "inbreed-sites", "inbreed-samples", "post", "post-inbreed"):
         p.add_argument(f"--{flag}", action="store_true")
@@ -66,6 +65,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def validate(a: argparse.Namespace) -> None:
+    if a.iter == 0:
+        a.model = "population"
     if a.plink and (a.filter or a.filter_sites):
         raise SystemExit("masks are for likelihood tables only")
     if (a.post_inbreed or a.geno_inbreed is not None) and not a.inbreed_samples:
@@ -84,6 +85,30 @@ def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return text.scan_beagle(spark, a.beagle, sites, samples, check=True)
 
 
+def write_site_inbreeding(panel: DataFrame, out: str, prefix: str = "", tol: float = 1e-5, rounds: int = 500) -> int:
+    """Inbreeding and likelihood ratio of each site of a panel with pi, below ``out``; the rounds that it took."""
+    per = inbreeding.per_site(panel, tol, rounds)
+    tested = inbreeding.likelihood_ratios(per.panel).persist(StorageLevel.MEMORY_AND_DISK)
+    sinks.write_site_vector(tested, "inbreed", f"{out}/{prefix}inbreed.sites")
+    sinks.write_site_vector(tested, "lrt", f"{out}/{prefix}lrt.sites")
+    tested.unpersist()
+    return per.rounds
+
+
+def write_tree(between: DataFrame, names: list[str], out: str) -> None:
+    """The neighbour-joining tree of a covariance (i, j, v), its edges and the covariance, below ``out``."""
+    spark = between.sparkSession
+    newick, edges = tree.neighbour_joining(collect_matrix(tree.to_distance(between)), names)
+    spark.createDataFrame([(newick,)], "value string").coalesce(1).write.text(f"{out}/tree")
+    spark.createDataFrame(edges, "parent string, child string, length double").write.parquet(f"{out}/tree.edges")
+    sinks.write_cells(between, f"{out}/tree.cov")
+
+
+def write_log(spark: SparkSession, log: dict, out: str) -> None:
+    """One line of JSON below ``out``."""
+    spark.createDataFrame([(json.dumps(log),)], "value string").coalesce(1).write.text(f"{out}/log")
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Runs the job and returns its log."""
     validate(a)
@@ -131,17 +156,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
             sinks.write_site_matrix(scanned, "pcadapt", path("pcadapt.zscores"))
             far = scans.distances(scanned, components=lead)
             sinks.write_table(scans.p_values(far.select("site_idx", "d2"), "d2", lead), path("pcadapt.pvalues"))
+    prefix = "ngsf." if a.model == "population" else ""  # the null model's inbreeding has names of its own
     if a.inbreed_sites:
-        per = inbreeding.per_site(panel, a.inbreed_tole, a.inbreed_iter)
-        tested = inbreeding.likelihood_ratios(per.panel).persist(StorageLevel.MEMORY_AND_DISK)
-        sinks.write_site_vector(tested, "inbreed", path("inbreed.sites"))
-        sinks.write_site_vector(tested, "lrt", path("lrt.sites"))
-        log |= {"inbreed_sites_rounds": per.rounds}
+        log |= {"inbreed_sites_rounds": write_site_inbreeding(panel, a.out, prefix, a.inbreed_tole, a.inbreed_iter)}
     inbred: np.ndarray | None = None
     if a.inbreed_samples:
         inbred, rounds, _ = inbreeding.per_sample(panel, samples, a.inbreed_tole, a.inbreed_iter)
         rows = spark.createDataFrame([(i, 0, float(x)) for i, x in enumerate(inbred)], "i int, j int, v double")
-        sinks.write_cells(rows, path("inbreed.samples"))
+        sinks.write_cells(rows, path(f"{prefix}inbreed.samples"))
         log |= {"inbreed_samples_rounds": rounds}
     if a.post:
         sinks.write_posteriors(genotype.posteriors(panel), path("post"))
@@ -155,10 +177,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.tree:
         between = covariance.pi_covariance(panel)
         names = [r["name"] for r in text.load_names(spark, a.tree_samples, samples).orderBy("sample_idx").collect()]
-        newick, edges = tree.neighbour_joining(collect_matrix(tree.to_distance(between)), names)
-        spark.createDataFrame([(newick,)], "value string").coalesce(1).write.text(path("tree"))
-        spark.createDataFrame(edges, "parent string, child string, length double").write.parquet(path("tree.edges"))
-        sinks.write_cells(between, path("tree.cov"))
+        write_tree(between, names, a.out)
     if a.admix:
         k = a.admix_K or components + 1
 
@@ -186,7 +205,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         every = text.load_mask(spark, a.filter_sites) if a.filter_sites else loaded
         sinks.write_site_flags(frequency.sites_kept(every, panel), path("sites"))
     log["seconds"] = round(time.time() - began, 1)
-    spark.createDataFrame([(json.dumps(log),)], "value string").select(F.col("value")).coalesce(1).write.text(path("log"))
+    write_log(spark, log, a.out)
     return log
 
 

@@ -189,6 +189,20 @@ def accelerated(stem: str, key: str, step, start: str, low: str, high: str, roun
     return ",\n".join(parts), last
 
 
+def converged(stem: str, key: str, step, start: str, low: str, high: str, tol: str, most: int = 500) -> str:
+    """A recursive CTE ``stem(turn, key, x, change)``: accelerated rounds until the change of one is below ``tol``."""
+    rounds, last = accelerated("r", key, step, "now", low, high, 1)
+    return f"""{stem} AS (
+  SELECT 0 AS turn, {key}, x, 1e9 AS change FROM {start}
+  UNION ALL
+  SELECT * FROM (
+    WITH now AS MATERIALIZED (SELECT turn, {key}, x FROM {stem} WHERE change >= {tol} AND turn < {most}),
+{rounds},
+    far AS (SELECT sqrt(avg(({last}.x - now.x) * ({last}.x - now.x))) AS change FROM {last} JOIN now USING ({key}))
+    SELECT turn + 1, {key}, {last}.x, change FROM {last} JOIN now USING ({key}), far)),
+{stem}_end AS (SELECT {key}, x FROM {stem} WHERE turn = (SELECT max(turn) FROM {stem}))"""
+
+
 def em_x(name: str, source: str) -> str:
     return (
         f"{name} AS MATERIALIZED (SELECT site_idx, sum({dosage('x')}) / (2e0 * count(*)) AS x"
@@ -297,6 +311,9 @@ lrt AS MATERIALIZED (
   SELECT site_idx, 2e0 * (sum(ln((l0 * {_pa} + l1 * {_pb} + (1e0 - l0 - l1) * {_pc}) / ({_pa} + {_pb} + {_pc}))) - sum(ln({total("pi")}))) AS lrt
   FROM g JOIN {_SITE_LAST} USING (site_idx) GROUP BY site_idx)"""
 _SITE = (FIT, GROUP, _SITE_START, _SITE_ACC)
+_MAF_END = converged("maf", "site_idx", em_x, "start0", "1e-5", "1e0 - 1e-5", "1e-6")
+_SITE_END = converged("sites", "site_idx", in_site, "in1", "-1e0", "1e0", "1e-5")
+_SAMPLE_END = converged("samples", "sample_idx", in_sample, "in1", "-1e0", "1e0", "1e-5")
 _Q999 = "2.705543454095404e0"
 
 
@@ -422,3 +439,77 @@ for _name, _source in (("sink_posterior", "posterior"), ("sink_posterior_inbreed
     ORACLE[_name] = f"""SELECT CAST(dense_rank() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS line, sample_idx,
   CAST(unnest([0, 1, 2]) AS INT) AS genotype, unnest([p0, p1, p2]) AS p FROM ({ORACLE[_source]})"""
 ORACLE["scan_plink_sites"] = f"SELECT * FROM ({ORACLE['scan_plink']}) WHERE site_idx < 150 AND site_idx % 3 = 0"
+
+
+def recursive(select: str, *ctes: str) -> str:
+    return query(select, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLE |= {
+    "maf_em": recursive(
+        f"SELECT site_idx, {r('x', 4)} AS f FROM maf_end", em_chain(1), "start0 AS (SELECT site_idx, f AS x FROM em1)", _MAF_END
+    ),
+    "inbreed_sites": recursive(f"SELECT site_idx, {r('x', 4)} AS f FROM sites_end", FIT, GROUP, _SITE_START, _SITE_END),
+    "inbreed_samples": recursive(f"SELECT sample_idx, {r('x')} AS f FROM samples_end", FIT, GROUP, _SAMPLE_START, _SAMPLE_END),
+}
+
+#: Neighbour joining: in each turn the distances that are left (kind 0) and the edges of the last join (kind 1).
+NJ = """
+nj AS (
+  SELECT 0 AS turn, 0 AS kind, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, v FROM d
+  UNION ALL
+  SELECT * FROM (
+    WITH now AS MATERIALIZED (SELECT turn, i, j, v FROM nj WHERE kind = 0),
+    m AS MATERIALIZED (SELECT count(DISTINCT i) AS n, max(i) + 1 AS p, any_value(turn) AS turn FROM now),
+    sums AS MATERIALIZED (SELECT i, sum(v) AS r FROM now GROUP BY i),
+    best AS MATERIALIZED (
+      SELECT now.i AS a, now.j AS b, now.v, greatest(0e0, 0.5e0 * now.v + (x.r - y.r) / (2e0 * (n - 2))) AS l
+      FROM now JOIN sums x ON x.i = now.i JOIN sums y ON y.i = now.j, m WHERE now.i < now.j AND n > 3
+      ORDER BY (n - 2) * now.v - x.r - y.r, a, b LIMIT 1),
+    rest AS MATERIALIZED (SELECT now.i, now.j, now.v FROM now, best WHERE now.i NOT IN (a, b) AND now.j NOT IN (a, b)),
+    joined AS MATERIALIZED (
+      SELECT x.i, p, greatest(0e0, 0.5e0 * (x.v + y.v - best.v)) AS v
+      FROM best JOIN now x ON x.j = best.a JOIN now y ON y.j = best.b AND y.i = x.i, m WHERE x.i NOT IN (a, b))
+    SELECT m.turn + 1, x.kind, x.i, x.j, x.v FROM m, (
+      SELECT 0 AS kind, i, j, v FROM rest UNION ALL SELECT 0, i, p, v FROM joined UNION ALL SELECT 0, p, i, v FROM joined
+      UNION ALL SELECT 0, p, p, 0e0 FROM m, best
+      UNION ALL SELECT 1, p, a, l FROM m, best UNION ALL SELECT 1, p, b, greatest(0e0, v - l) FROM m, best) x)),
+three AS (SELECT i, j, v FROM nj WHERE kind = 0 AND turn = (SELECT max(turn) FROM nj)),
+ends AS (SELECT i, sum(v) AS r FROM three GROUP BY i),
+final AS (
+  SELECT t.i AS a, t.j AS b, t.v, greatest(0e0, 0.5e0 * t.v + (x.r - y.r) / 2e0) AS l
+  FROM three t JOIN ends x ON x.i = t.i JOIN ends y ON y.i = t.j WHERE t.i < t.j ORDER BY t.v - x.r - y.r, a, b LIMIT 1),
+tree AS (
+  SELECT i AS parent, j AS child, v AS length FROM nj WHERE kind = 1
+  UNION ALL SELECT NULL, a, l FROM final
+  UNION ALL SELECT NULL, b, greatest(0e0, v - l) FROM final
+  UNION ALL SELECT NULL, x.i, greatest(0e0, 0.5e0 * (x.v + y.v - f.v))
+    FROM final f JOIN three x ON x.j = f.a JOIN three y ON y.j = f.b AND y.i = x.i WHERE x.i NOT IN (f.a, f.b)),
+tips AS (SELECT max(i) AS last FROM d),
+above AS (
+  SELECT child AS tip, parent, length, 1 AS depth FROM tree, tips WHERE child <= last
+  UNION ALL SELECT tip, tree.parent, above.length, depth + 1 FROM above JOIN tree ON tree.child = above.parent)"""
+_NULL_G = "g AS MATERIALIZED (SELECT *, f AS pi FROM c)"
+_NULL_LRT = _LRT.replace(_SITE_LAST, "sites_end")
+ORACLE |= {
+    "nj_tree": recursive(
+        f"""SELECT CASE WHEN parent IS NULL THEN 'root' ELSE 'node' || (parent - last) END AS parent,
+  CASE WHEN child <= last THEN CAST(child + 1 AS VARCHAR) ELSE 'node' || (child - last) END AS child,
+  {r('length', 5)} AS length FROM tree, tips""",
+        FIT, cov("c", "f"), DIST, NJ,
+    ),
+    "sink_tree": recursive(
+        f"SELECT CAST(tip + 1 AS VARCHAR) AS name, CAST(depth AS INT) AS depth, {r('length', 5)} AS length FROM above WHERE parent IS NULL",
+        FIT, cov("c", "f"), DIST, NJ,
+    ),
+    "sink_log": recursive(
+        "SELECT count(DISTINCT sample_idx) AS samples, count(*) FILTER (sample_idx = 0 AND x BETWEEN 0.05e0 AND 0.95e0) AS sites"
+        " FROM cells JOIN maf_end USING (site_idx)",
+        em_chain(1), "start0 AS (SELECT site_idx, f AS x FROM em1)", _MAF_END,
+    ),
+    "sink_null_model": recursive(
+        f"SELECT CAST(row_number() OVER (ORDER BY site_idx) - 1 AS BIGINT) AS line, {r('x', 4)} AS f, {r('lrt', 3)} AS t"
+        " FROM sites_end JOIN lrt USING (site_idx)",
+        FIT, _NULL_G, _SITE_START, _SITE_END, _NULL_LRT,
+    ),
+}

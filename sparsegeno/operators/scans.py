@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.passes import Columns, with_site_columns
+from ..functions.passes import Columns, to_numpy, with_site_columns
 from ..functions.statistics import chi2_upper
 from .covariance import ARRAY, dosage_std
 from .pca import leading
@@ -41,48 +43,73 @@ def scans(panel: DataFrame, components: int) -> DataFrame:
     return with_site_columns(rows, make, selection=ARRAY, pcadapt=ARRAY, weight=ARRAY).drop("e")
 
 
-def exact_median(rows: DataFrame, column: str, most: int = 100_000) -> float:
-    """The median of a column without nulls; the mean of the two middle values of an even number.
+#: Bits of a number that one pass over the sites settles.
+BITS = 13
+Make = Callable[[np.ndarray], np.ndarray]
 
-    Counts over value ranges narrow down where the middle is; only when at most ``most`` values are left
-    are they looked at together, so that no task holds all sites.
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the numbers."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)  # no negative zero
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    bits = np.where(keys >> np.uint64(63), keys & np.uint64(2**63 - 1), ~keys)
+    return np.ascontiguousarray(bits).view(np.float64)
+
+
+def medians(rows: DataFrame, column: str, make: Make) -> np.ndarray:
+    """The exact medians of all columns that ``make`` gives for an array column, taken together.
+
+    Numbers are settled from their first bits on: each pass counts, for all columns at once, how the sites that agree with the
+    bits so far go on, so the passes depend on the size of a number alone, not on sites or columns. The two
+    middle values of an even number are followed side by side. ``rows`` should be cached and have no nulls.
     """
-    values = rows.select(F.col(column).alias("x"))
-    n = values.count()
-    ranks, below, left = ((n - 1) // 2, n // 2), 0, n
-    while left > most:
-        share = [(r - below + 0.5) / left for r in ranks]
-        at = [F.lit(max(0.0, share[0] - 0.01)), F.lit(min(1.0, share[1] + 0.01))]
-        low, high = values.agg(F.percentile_approx("x", F.array(*at), 1000)).first()[0]
-        x = F.col("x")
-        less, inside = values.agg(F.count_if(x < low), F.count_if((x >= low) & (x <= high))).first()
-        if low == high and below + less <= ranks[0] and ranks[1] < below + less + inside:
-            return float(low)
-        if below + less > ranks[0] or ranks[1] >= below + less + inside or inside == left:
-            # the estimate missed, or all that is left is alike on both ends: halve by value instead
-            low, high = values.agg(F.min("x"), F.max("x")).first()
-            if low == high:
-                return float(low)
-            middle = (low + high) / 2.0
-            less = values.agg(F.count_if(x <= middle)).first()[0]
-            if below + less > ranks[1]:
-                values, left = values.where(x <= middle), less
-            elif below + less <= ranks[0]:
-                values, below, left = values.where(x > middle), below + less, left - less
-            else:  # the middle pair lies on both sides
-                ends = values.agg(F.max(F.when(x <= middle, x)), F.min(F.when(x > middle, x))).first()
-                return (ends[0] + ends[1]) / 2.0
-        else:
-            values, below, left = values.where((x >= low) & (x <= high)), below + less, inside
-    found = sorted(r[0] for r in values.collect())  # at most ``most``
-    return (found[ranks[0] - below] + found[ranks[1] - below]) / 2.0
-
-
-def _robust(rows: DataFrame, columns: list[str]) -> tuple[list[float], list[float]]:
-    """Medians and scaled median deviations of columns."""
-    mids = [exact_median(rows, c) for c in columns]
-    off = rows.select(*(F.abs(F.col(c) - m).alias(c) for c, m in zip(columns, mids, strict=True)))
-    return mids, [1.4826022185056018 * exact_median(off, c) for c in columns]
+    values, below, total, left = None, None, None, 64
+    while left:
+        taken, left = left, max(0, left - BITS)
+        known = values
+
+        def run(batches: Iterator[pa.RecordBatch], known=known, taken=taken, left=left) -> Iterator[pa.RecordBatch]:
+            counts: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = _keys(make(to_numpy(batch.column(0))))
+                for c in range(keys.shape[1]):
+                    for side in (0,) if known is None or known[c, 0] == known[c, 1] else (0, 1):
+                        k = keys[:, c] if known is None else keys[keys[:, c] >> np.uint64(taken) == known[c, side], c]
+                        bins = (k >> np.uint64(left)) & np.uint64((1 << (taken - left)) - 1)
+                        found = np.bincount(bins.astype(np.int64), minlength=1 << (taken - left))
+                        counts[c, side] = counts[c, side] + found if (c, side) in counts else found
+            for (c, side), n in counts.items():
+                at = np.flatnonzero(n)
+                same = [np.full(len(at), x, np.int32) for x in (c, side)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, at, n[at])], ["c", "side", "bin", "n"])
+
+        counted = rows.select(column).mapInArrow(run, "c int, side int, bin long, n long")
+        table = counted.groupBy("c", "side", "bin").agg(F.sum("n").alias("n")).toPandas()
+        if values is None:
+            columns = 1 + int(table["c"].max())
+            total = int(table.loc[table["c"] == 0, "n"].sum())
+            values, below = np.zeros((columns, 2), np.uint64), np.zeros((columns, 2), np.int64)
+        alike = values[:, 0] == values[:, 1]
+        for c in range(len(values)):
+            for side, rank in enumerate(((total - 1) // 2, total // 2)):
+                mine = table[(table["c"] == c) & (table["side"] == (0 if alike[c] else side))].sort_values("bin")
+                ends = below[c, side] + mine["n"].cumsum().to_numpy()
+                at = int(np.searchsorted(ends, rank, side="right"))
+                below[c, side] = ends[at] - mine["n"].iloc[at]
+                values[c, side] = (int(values[c, side]) << (taken - left)) | int(mine["bin"].iloc[at])
+    return _numbers(values).mean(axis=1)
+
+
+def _robust(rows: DataFrame, column: str, make: Make) -> tuple[np.ndarray, np.ndarray]:
+    """Medians and scaled median deviations of all columns of ``make``; a deviation of 0 counts as 1."""
+    mids = medians(rows, column, make)
+    off = 1.4826022185056018 * medians(rows, column, lambda z: np.abs(make(z) - mids))
+    return mids, np.where(off > 0, off, 1.0)
 
 
 def distances(rows: DataFrame, z: str = "pcadapt", components: int = 1) -> DataFrame:
@@ -91,32 +118,31 @@ def distances(rows: DataFrame, z: str = "pcadapt", components: int = 1) -> DataF
     One component: (z - median)^2. More: orthogonalised pairwise estimation (Maronna and
     Zamar 2002): scales of sums and differences of columns give a covariance, its
     eigenvectors give new axes, and the distance is measured by median and deviation on these.
-    ``rows`` should be cached; it is read several times.
+    ``rows`` should be cached; it is read several times, as often for many components as for two.
     """
-    names = [f"__z{i}" for i in range(components)]
-    wide = rows.select("*", *(F.get(z, i).alias(n) for i, n in enumerate(names)))
     if not rows.count():
         return rows.withColumn("d2", F.lit(None).cast("double"))
     if components == 1:
-        mid = exact_median(wide, names[0])
-        return wide.withColumn("d2", F.pow(F.col(names[0]) - F.lit(mid), 2)).drop(*names)
-    _, scales = _robust(wide, names)
-    y = [F.col(n) / s for n, s in zip(names, scales, strict=True)]
-    pairs = [(i, j) for i in range(components) for j in range(i)]
-    both = wide.select(
-        *(c for i, j in pairs for c in ((y[i] + y[j]).alias(f"__p{i}_{j}"), (y[i] - y[j]).alias(f"__m{i}_{j}")))
-    )
-    _, spread = _robust(both, both.columns)
+        (mid,) = medians(rows, z, lambda x: x[:, :1])
+        return rows.withColumn("d2", F.pow(F.get(z, 0) - F.lit(float(mid)), 2))
+    _, scales = _robust(rows, z, lambda x: x[:, :components])
+    i, j = np.tril_indices(components, -1)
+
+    def pairs(x: np.ndarray) -> np.ndarray:
+        y = x[:, :components] / scales
+        return np.hstack([y[:, i] + y[:, j], y[:, i] - y[:, j]])
+
+    _, spread = _robust(rows, z, pairs)
     u = np.eye(components)
-    for n, (i, j) in enumerate(pairs):
-        u[i, j] = u[j, i] = (spread[2 * n] ** 2 - spread[2 * n + 1] ** 2) / 4.0
-    _, axes = np.linalg.eigh(u)
-    turned = [sum((y[i] * float(axes[i, a]) for i in range(components)), F.lit(0.0)) for a in range(components)]
-    on = [f"__a{a}" for a in range(components)]
-    wide = wide.select("*", *(t.alias(n) for t, n in zip(turned, on, strict=True)))
-    mids, widths = _robust(wide, on)
-    d2 = sum((F.pow((F.col(n) - m) / w, 2) for n, m, w in zip(on, mids, widths, strict=True)), F.lit(0.0))
-    return wide.withColumn("d2", d2).drop(*names, *on)
+    u[i, j] = u[j, i] = (spread[: len(i)] ** 2 - spread[len(i) :] ** 2) / 4.0
+    axes = np.linalg.eigh(u)[1] / scales[:, None]  # from z-scores to the new axes
+    mids, widths = _robust(rows, z, lambda x: x[:, :components] @ axes)
+
+    def off(a: int) -> Column:
+        on = sum((F.get(z, k) * float(axes[k, a]) for k in range(components)), F.lit(0.0))
+        return F.pow((on - float(mids[a])) / float(widths[a]), 2)
+
+    return rows.withColumn("d2", sum((off(a) for a in range(components)), F.lit(0.0)))
 
 
 def p_values(rows: DataFrame, statistic: str, degrees: int, name: str = "p") -> DataFrame:

@@ -39,7 +39,7 @@ def _closest(d: np.ndarray) -> tuple[int, int, float, float]:
     n = len(d)
     r = d.sum(axis=1)
     q = (n - 2) * d - r[:, None] - r[None, :]
-    np.fill_diagonal(q, np.inf)
+    q[np.tril_indices(n)] = np.inf
     a, b = divmod(int(q.argmin()), n)
     x = max(0.0, float(0.5 * d[a, b] + (r[a] - r[b]) / (2.0 * (n - 2))))
     return a, b, x, max(0.0, float(d[a, b]) - x)

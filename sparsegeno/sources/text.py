@@ -333,3 +333,19 @@ def load_names(spark: SparkSession, path: str | None, samples: int) -> DataFrame
     if rows.count() != samples:
         raise ValueError("one name per sample is needed")
     return rows
+
+
+def newick_tips(newick: str) -> list[tuple[str, int, float]]:
+    """(name, depth, length) of the tips of a tree in Newick text; the root's children have depth 1."""
+    out, depth = [], 0
+    for mark, name, length in re.findall(r"([()])|([^\s(),:;]+):([^\s(),:;]+)", newick):
+        depth += {"(": 1, ")": -1}.get(mark, 0)
+        if name:
+            out.append((name, depth, float(length)))
+    return out
+
+
+def load_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(name, depth, length) of each tip of a tree; a tree has one tip per sample."""
+    newick = "".join(r["value"] for r in numbered_lines(spark, path).orderBy("line").collect())
+    return spark.createDataFrame(newick_tips(newick), "name string, depth int, length double")

@@ -130,14 +130,6 @@ def test_inbreeding(panel, data):
     assert set(np.unique(calls)) <= {0, 1, 2, -9}
 
 
-def test_exact_median(spark):
-    rng = np.random.default_rng(4)
-    for x in (rng.normal(size=5001), rng.normal(size=5000), np.repeat([1.0, 2.0, 7.0], [2000, 1, 2000]), rng.integers(0, 3, 4000), np.ones(3000)):
-        rows = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(4).cache()
-        for most in (50, 100_000):
-            assert scans.exact_median(rows, "x", most) == np.median(x)
-
-
 @pytest.mark.parametrize(("samples", "sites", "n"), [(2000, 150, 3), (40, 25, 30), (30, 60, 2)])
 def test_leading_vectors_without_the_whole_matrix(spark, samples, sites, n):
     rng = np.random.default_rng(6)
