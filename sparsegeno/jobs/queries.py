@@ -362,6 +362,11 @@ def fit_pi_k1(spark, sf_dir):
     return _cells(_model(spark, sf_dir).panel, 5, pi="pi")
 
 
+@query
+def fit_pi_k2(spark, sf_dir):
+    return _cells(_model(spark, sf_dir, 2).panel, 5, pi="pi")
+
+
 @query
 def fit_pi(spark, sf_dir):
     """Two components, fitted until convergence; no SQL (eigenvectors), compared with NumPy in the tests."""

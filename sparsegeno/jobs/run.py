@@ -92,6 +92,7 @@ def write_site_inbreeding(panel: DataFrame, out: str, prefix: str = "", tol: flo
     sinks.write_site_vector(tested, "inbreed", f"{out}/{prefix}inbreed.sites")
     sinks.write_site_vector(tested, "lrt", f"{out}/{prefix}lrt.sites")
     tested.unpersist()
+    per.release()
     return per.rounds
 
 
@@ -129,6 +130,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         vector = text.load_vector(spark, a.hwe)
         panel = frequency.filter_hwe(text.attach_vector(panel, vector), a.hwe_tole).drop("lrt")
     panel = checkpointed(panel)
+    fit.release()
     first = panel.first()
     if first is None:
         raise SystemExit("no site is left")
@@ -156,6 +158,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
             sinks.write_site_matrix(scanned, "pcadapt", path("pcadapt.zscores"))
             far = scans.distances(scanned, components=lead)
             sinks.write_table(scans.p_values(far.select("site_idx", "d2"), "d2", lead), path("pcadapt.pvalues"))
+        scanned.unpersist()
     prefix = "ngsf." if a.model == "population" else ""  # the null model's inbreeding has names of its own
     if a.inbreed_sites:
         log |= {"inbreed_sites_rounds": write_site_inbreeding(panel, a.out, prefix, a.inbreed_tole, a.inbreed_iter)}
@@ -205,6 +208,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         every = text.load_mask(spark, a.filter_sites) if a.filter_sites else loaded
         sinks.write_site_flags(frequency.sites_kept(every, panel), path("sites"))
     log["seconds"] = round(time.time() - began, 1)
+    panel.unpersist()
     write_log(spark, log, a.out)
     return log
 

@@ -109,6 +109,19 @@ def power(name: str, source: str, squarings: int = 9) -> str:
     return ",\n".join(parts)
 
 
+def two_powers(name: str, source: str) -> str:
+    """CTE ``name(i, j, v)``: projection on the two leading eigenvectors, the second after the first is taken out."""
+    value = f"(SELECT sum(a.v * b.v) FROM {source} a JOIN {name}_a b ON a.i = b.j AND a.j = b.i)"
+    return ",\n".join(
+        (
+            power(f"{name}_a", source, 14),
+            f"{name}_d AS MATERIALIZED (SELECT s.i, s.j, s.v - {value} * p.v AS v FROM {source} s JOIN {name}_a p USING (i, j))",
+            power(f"{name}_b", f"{name}_d", 14),
+            f"{name} AS MATERIALIZED (SELECT i, j, x.v + y.v AS v FROM {name}_a x JOIN {name}_b y USING (i, j))",
+        )
+    )
+
+
 def gram(name: str, source: str, column: str = "e") -> str:
     return (
         f"{name} AS MATERIALIZED (SELECT a.sample_idx AS i, b.sample_idx AS j, sum(a.{column} * b.{column}) AS v"
@@ -116,11 +129,11 @@ def gram(name: str, source: str, column: str = "e") -> str:
     )
 
 
-def _pi_rounds(rounds: int) -> str:
-    """CTEs up to ``pi(site_idx, sample_idx, l0, l1, f, pi)`` after that many rounds with one component."""
+def _pi_rounds(rounds: int, lead=power) -> str:
+    """CTEs up to ``pi(site_idx, sample_idx, l0, l1, f, pi)`` after that many rounds with the components of ``lead``."""
     parts = [f"e0 AS MATERIALIZED (SELECT *, {dosage('f')} - 2e0 * f AS e FROM c)"]
     for k in range(rounds + 1):
-        parts += [gram(f"gram{k}", f"e{k}"), power(f"proj{k}", f"gram{k}")]
+        parts += [gram(f"gram{k}", f"e{k}"), lead(f"proj{k}", f"gram{k}")]
         last = f"pi{k}" if k < rounds else "pi"
         parts.append(
             f"{last} AS MATERIALIZED (SELECT x.site_idx, x.sample_idx, x.l0, x.l1, x.f,"
@@ -373,6 +386,7 @@ FROM (SELECT CAST(site_idx AS BIGINT) AS site_idx, CAST(sample_idx AS INT) AS sa
     "project": query(cell_value("s", "(SELECT site_idx, p.j AS sample_idx, sum(e * p.v) AS s FROM e0 JOIN p ON e0.sample_idx = p.i GROUP BY 1, 2)", "proj"),
                      FIT, f"e0 AS MATERIALIZED (SELECT *, {dosage('f')} - 2e0 * f AS e FROM c)", gram("gm", "e0"), power("p", "gm")),
     "fit_pi_k1": query(f"SELECT site_idx, sample_idx, {r('pi', 5)} AS pi FROM pi", FIT, PI),
+    "fit_pi_k2": query(f"SELECT site_idx, sample_idx, {r('pi', 5)} AS pi FROM pi", FIT, _pi_rounds(2, two_powers)),
     "selection_fastpca_k1": query(f"SELECT site_idx, {r('selection', 5)} AS value FROM scan", FIT, PI, SCAN),
     "pcadapt_abs_k1": query(f"SELECT site_idx, {r('abs(pcadapt)', 5)} AS value FROM scan", FIT, PI, SCAN),
     "weights_abs_k1": query(f"SELECT site_idx, {r('abs(weight)', 5)} AS value FROM scan", FIT, PI, SCAN),

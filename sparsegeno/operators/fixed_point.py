@@ -29,6 +29,12 @@ class Fit:
     panel: DataFrame
     rounds: int
     converged: bool
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Frees the cached state; ``panel`` is worked out anew if it is read after that."""
+        if self.held is not None:
+            self.held.unpersist()
 
 
 def factor(uu: float, uv: float) -> float:
@@ -91,7 +97,7 @@ def solve(
     if s["uu"] is None:  # no sites
         return Fit(now.select(*others, state), 0, True)
     if shortcut and fixed_rounds is None and (s["far1"] <= 0 or s["far2"] <= 0):
-        return Fit(now.select(*others, F.col(two).alias(state)), 1, True)
+        return Fit(now.select(*others, F.col(two).alias(state)), 1, True, now)
     done, rounds = False, 0
     while rounds < limit and not done:
         rounds += 1
@@ -103,4 +109,4 @@ def solve(
         now.unpersist()
         now = then
         done = fixed_rounds is None and s["change"] ** 0.5 < tol
-    return Fit(now.select(*others, state), rounds, done)
+    return Fit(now.select(*others, state), rounds, done, now)
