@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from sparsegeno.llm import bpe, language, licenses, media, mixing, near_dups, personal_data, quality_rules, substrings
+from sparsegeno.llm import bpe, language, licenses, media, mixing, near_dups, personal_data, quality_rules, substrings, warc
 
 from .conftest import EXTRA, ODD
 
@@ -46,3 +46,32 @@ def test_long_texts(odd_docs):
     assert got[9]["n_removed"] == 300_000 and got[10]["n_removed"] == 360_000
     assert got[2]["n_removed"] == got[2]["n_bytes"]
     assert got[3]["n_bytes"] == 0
+
+
+def test_pages(spark):
+    """Nulls, empty and long pages, magics in payloads, equal payloads and clashing columns."""
+    import base64
+    import hashlib
+
+    rows = [
+        (1, "u", None),
+        (2, "u", ""),
+        (3, None, "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 20_000),
+        (4, "u", "é 中文 🙂 \x00\r\n"),
+        (5, "u", "é 中文 🙂 \x00\r\n"),
+        (6, "u", "x" * 1_000_000),
+    ]
+    wide = [(*r, *("clash",) * 4) for r in rows]
+    df = spark.createDataFrame(wide, "page_id long, url string, html string, payload string, digest string, file string, at string")
+    got = {r["page_id"]: r for r in warc.round_trip(df.repartition(3)).collect()}
+    first = {}
+    for page, _, html in rows:
+        data = (html or "").encode()
+        first.setdefault(data, page)
+        r = got.pop(page)
+        assert r["payload_bytes"] == len(data)
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
+        own = first[data] == page
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if own else ("revisit", first[data]))
+    assert not got
+    assert warc.round_trip(df.limit(0)).count() == 0
