@@ -476,10 +476,12 @@ nj AS (
     WITH now AS MATERIALIZED (SELECT turn, i, j, v FROM nj WHERE kind = 0),
     m AS MATERIALIZED (SELECT count(DISTINCT i) AS n, max(i) + 1 AS p, any_value(turn) AS turn FROM now),
     sums AS MATERIALIZED (SELECT i, sum(v) AS r FROM now GROUP BY i),
-    best AS MATERIALIZED (
-      SELECT now.i AS a, now.j AS b, now.v, greatest(0e0, 0.5e0 * now.v + (x.r - y.r) / (2e0 * (n - 2))) AS l
-      FROM now JOIN sums x ON x.i = now.i JOIN sums y ON y.i = now.j, m WHERE now.i < now.j AND n > 3
-      ORDER BY (n - 2) * now.v - x.r - y.r, a, b LIMIT 1),
+    pairs AS MATERIALIZED (
+      SELECT now.i AS a, now.j AS b, now.v, greatest(0e0, 0.5e0 * now.v + (x.r - y.r) / (2e0 * (n - 2))) AS l,
+             (n - 2) * now.v - x.r - y.r AS q
+      FROM now JOIN sums x ON x.i = now.i JOIN sums y ON y.i = now.j, m WHERE n > 3),
+    near AS MATERIALIZED (SELECT min(q) FILTER (a < b) + 1e-9 * max(abs(q)) AS upto FROM pairs),
+    best AS MATERIALIZED (SELECT a, b, v, l FROM pairs, near WHERE a < b AND q <= upto ORDER BY a, b LIMIT 1),
     rest AS MATERIALIZED (SELECT now.i, now.j, now.v FROM now, best WHERE now.i NOT IN (a, b) AND now.j NOT IN (a, b)),
     joined AS MATERIALIZED (
       SELECT x.i, p, greatest(0e0, 0.5e0 * (x.v + y.v - best.v)) AS v
@@ -492,7 +494,7 @@ three AS (SELECT i, j, v FROM nj WHERE kind = 0 AND turn = (SELECT max(turn) FRO
 ends AS (SELECT i, sum(v) AS r FROM three GROUP BY i),
 final AS (
   SELECT t.i AS a, t.j AS b, t.v, greatest(0e0, 0.5e0 * t.v + (x.r - y.r) / 2e0) AS l
-  FROM three t JOIN ends x ON x.i = t.i JOIN ends y ON y.i = t.j WHERE t.i < t.j ORDER BY t.v - x.r - y.r, a, b LIMIT 1),
+  FROM three t JOIN ends x ON x.i = t.i JOIN ends y ON y.i = t.j WHERE t.i < t.j ORDER BY a, b LIMIT 1),  -- of three nodes all pairs tie
 tree AS (
   SELECT i AS parent, j AS child, v AS length FROM nj WHERE kind = 1
   UNION ALL SELECT NULL, a, l FROM final
@@ -513,7 +515,7 @@ ORACLE |= {
         FIT, cov("c", "f"), DIST, NJ,
     ),
     "sink_tree": recursive(
-        f"SELECT CAST(tip + 1 AS VARCHAR) AS name, CAST(depth AS INT) AS depth, {r('length', 5)} AS length FROM above WHERE parent IS NULL",
+        f"SELECT CAST(tip + 1 AS VARCHAR) AS name, CAST(depth AS INT) AS depth, {r("CAST(printf('%.7g', length) AS DOUBLE)", 5)} AS length FROM above WHERE parent IS NULL",
         FIT, cov("c", "f"), DIST, NJ,
     ),
     "sink_log": recursive(

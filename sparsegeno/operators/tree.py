@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Part of the largest value within which two values are equal.
+TIE = 1e-9
+
+
 def to_distance(cov: DataFrame) -> DataFrame:
     """(i, j, v): max(0, C_ii + C_jj - 2 C_ij)."""
     own = cov.where("i = j").select("i", F.col("v").alias("d"))
@@ -35,12 +39,17 @@ def reduce_distance(d: np.ndarray, a: int, b: int) -> np.ndarray:
 
 
 def _closest(d: np.ndarray) -> tuple[int, int, float, float]:
-    """The pair to join (the first in row order among equals) and its branch lengths."""
+    """The pair to join (the first in row order among equals) and its branch lengths.
+
+    Values that differ by rounding only are equal: of four nodes two pairs always tie, and sums over
+    sites arrive in any order.
+    """
     n = len(d)
     r = d.sum(axis=1)
     q = (n - 2) * d - r[:, None] - r[None, :]
+    near = TIE * np.abs(q).max()
     q[np.tril_indices(n)] = np.inf
-    a, b = divmod(int(q.argmin()), n)
+    a, b = divmod(int((q <= q.min() + near).argmax()), n)
     x = max(0.0, float(0.5 * d[a, b] + (r[a] - r[b]) / (2.0 * (n - 2))))
     return a, b, x, max(0.0, float(d[a, b]) - x)
 
