@@ -17,15 +17,16 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces up to this many characters are remembered, and this many of them per worker.
+#: Pieces up to this many characters are remembered, and one to two times this many of them per worker.
 MEMO_CHARS, MEMO_PIECES = 40, 250_000
-#: Pairs of entries whose compatibility is remembered per worker.
-MEMO_PAIRS = 1_000_000
+#: Pairs of entries whose compatibility is remembered per worker, likewise.
+MEMO_PAIRS = 500_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -35,18 +36,30 @@ def read_ranks(path: str) -> bytes:
 
 
 class Memo(dict):
-    """Results for short pieces, bounded in number; long ones are worked out each time."""
+    """Results of ``make`` for the last ``most`` keys, and for those of the ``most`` before them.
+
+    A key in steady use is carried over and never worked out again.
+    """
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
 
-    def __init__(self, make):
-        self.make = make
+class PieceMemo(Memo):
+    """Results for short pieces; long ones are worked out each time."""
 
     def __missing__(self, piece: str):
-        found = self.make(piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = found
-        return found
+        return super().__missing__(piece) if len(piece) <= MEMO_CHARS else self.make(piece)
 
 
 class Tokenizer:
@@ -67,9 +80,10 @@ class Tokenizer:
             longest = max(longest, len(entry))
         self.automaton.make_automaton()
         self.longest = longest
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, list[int]] = {}
-        self.pieces = Memo(self.piece)
+        self.beside = Memo(self.can_follow, MEMO_PAIRS)
+        self.shorter = Memo(self.next_shorter, len(self.token))
+        self.digits = {r: str(r) for r in self.token}
+        self.pieces = PieceMemo(self.piece, MEMO_PIECES)
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merges of one short string in order of rank; only ever called on two entries side by side."""
@@ -85,66 +99,56 @@ class Tokenizer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def can_follow(self, a: int, b: int) -> bool:
-        known = self.beside.get((a, b))
-        if known is None:
-            if len(self.beside) >= MEMO_PAIRS:
-                self.beside.clear()
-            x, y = self.token[a], self.token[b]
-            known = self.beside[a, b] = self.merged(x + y) == [x, y]
-        return known
-
-    def prefixes(self, token: int) -> list[int]:
-        """Entries that are a proper prefix of ``token``, longest first."""
-        known = self.shorter.get(token)
-        if known is None:
-            text = self.token[token]
-            found = (self.rank.get(text[:n]) for n in range(len(text) - 1, 0, -1))
-            known = self.shorter[token] = [r for r in found if r is not None]
-        return known
-
-    def longest_at(self, data: bytes) -> list[int]:
-        """For each position the longest entry that starts there, in one pass of the automaton.
-
-        The automaton reports entries by their end; an entry that starts at ``i`` shows up
-        within ``longest`` characters, so the last report for ``i`` is its longest.
-        """
-        best = [-1] * len(data)
-        width = [0] * len(data)
-        token = self.token
-        for end, r in self.automaton.iter(data.decode("latin-1")):
-            n = len(token[r])
-            start = end - n + 1
-            if n > width[start]:
-                width[start] = n
-                best[start] = r
-        return best
+    def can_follow(self, pair: tuple[int, int]) -> bool:
+        x, y = self.token[pair[0]], self.token[pair[1]]
+        return self.merged(x + y) == [x, y]
+
+    def next_shorter(self, token: int) -> int:
+        """The longest entry that is a proper prefix of ``token``; -1: none."""
+        text = self.token[token]
+        found = (self.rank.get(text[:n]) for n in range(len(text) - 1, 0, -1))
+        return next((r for r in found if r is not None), -1)
+
+    def longest_at(self, data: bytes, text: str, at: int) -> int:
+        """The longest entry that starts at ``at``; ``text`` is ``data`` as Latin-1."""
+        n = self.automaton.longest_prefix(text[at : at + self.longest])
+        while (found := self.rank.get(data[at : at + n])) is None:
+            n -= 1
+        return found
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of one piece; a piece that is an entry is that entry."""
         whole = self.rank.get(data)
         if whole is not None:
             return [whole]
-        best = self.longest_at(data)
-        token, n = self.token, len(data)
+        token, n, text = self.token, len(data), data.decode("latin-1")
+        # the automaton's own walk takes the longest entry each time; where two don't fit, the search goes on from there
+        ids = [r for _, r in self.automaton.iter_long(text)]
+        beside, at = self.beside, 0
+        for i, pair in enumerate(pairwise(ids), 1):
+            at += len(token[pair[0]])
+            if not beside[pair]:
+                break
+        else:
+            return ids
+        r = ids[i]
+        del ids[i:]
         dead = bytearray(n + 1)  # 1: the rest from here was tried and leads nowhere
-        ids: list[int] = []
-        options: list[Iterator[int]] = [iter((best[0], *self.prefixes(best[0])))]
-        at = 0
-        while at < n:
-            for r in options[-1]:
-                to = at + len(token[r])
-                if not dead[to] and (not ids or self.can_follow(ids[-1], r)):
-                    ids.append(r)
-                    at = to
-                    if at < n:
-                        options.append(iter((best[at], *self.prefixes(best[at]))))
-                    break
+        while True:
+            to = at + len(token[r])
+            if not dead[to] and (not ids or beside[ids[-1], r]):
+                ids.append(r)
+                at = to
+                if at == n:
+                    return ids
+                r = self.longest_at(data, text, at)
             else:
-                dead[at] = 1
-                options.pop()
-                at -= len(token[ids.pop()])
-        return ids
+                r = self.shorter[r]
+                while r < 0:
+                    dead[at] = 1
+                    last = ids.pop()
+                    at -= len(token[last])
+                    r = self.shorter[last]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -158,7 +162,7 @@ class Tokenizer:
     def piece(self, piece: str) -> tuple[int, str, bytes]:
         """Number of ids, the ids as text, and the bytes that they decode to."""
         ids = self.encode_piece(piece.encode())
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        return len(ids), " ".join([self.digits[r] for r in ids]), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Token count, digest of the ids, digest of the decoded bytes, a block of pieces at a time."""
