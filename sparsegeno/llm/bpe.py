@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Pieces up to this many characters are remembered, and one to two times this many of them per worker.
 MEMO_CHARS, MEMO_PIECES = 40, 250_000
 #: Pairs of entries whose compatibility is remembered per worker, likewise.
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 250_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -83,6 +83,7 @@ class Tokenizer:
         self.beside = Memo(self.can_follow, MEMO_PAIRS)
         self.shorter = Memo(self.next_shorter, len(self.token))
         self.digits = {r: str(r) for r in self.token}
+        self.spelled = {self.digits[r]: entry for r, entry in self.token.items()}
         self.pieces = PieceMemo(self.piece, MEMO_PIECES)
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -159,23 +160,22 @@ class Tokenizer:
             out += self.encode_piece(piece.encode())
         return out
 
-    def piece(self, piece: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids as text, and the bytes that they decode to."""
-        ids = self.encode_piece(piece.encode())
-        return len(ids), " ".join([self.digits[r] for r in ids]), self.decode(ids)
+    def piece(self, piece: str) -> str:
+        """The ids of a piece as text."""
+        return " ".join([self.digits[r] for r in self.encode_piece(piece.encode())])
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Token count, digest of the ids, digest of the decoded bytes, a block of pieces at a time."""
         pieces = self.split(text)
         n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-        piece = self.pieces.__getitem__
         for i in range(0, len(pieces), 4096):
-            counts, texts, data = zip(*map(piece, pieces[i : i + 4096]), strict=True)
-            n += sum(counts)
+            block = " ".join(map(self.pieces.__getitem__, pieces[i : i + 4096]))
+            found = block.split(" ")
+            n += len(found)
             if i:
                 ids.update(b" ")
-            ids.update(" ".join(texts).encode())
-            back.update(b"".join(data))
+            ids.update(block.encode())
+            back.update(b"".join(map(self.spelled.__getitem__, found)))
         return n, ids.hexdigest(), back.hexdigest()
 
 
