@@ -9,7 +9,7 @@ the driver; beyond, they are only ever multiplied by a few vectors, a pass each.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,10 @@ DIRECT = 5000
 SPARE, MOST_PASSES, RESIDUAL = 8, 40, 1e-10
 #: Components that the choice of their number looks at, and the residual that it asks of their vectors.
 MOST_COMPONENTS, LOOSE = 15, 1e-7
+#: A residual variance below this part of the sample's variance is the error of the vectors, and counts as 0.
+NO_VARIANCE = 1e-6
+#: Scores that differ by less than this part of the smallest are equal: one component left makes exactly 1, as no variance does.
+EQUAL_SCORES = 1e-9
 
 
 def top_k(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +130,18 @@ class Model:
     converged: bool
 
 
+def _first_smallest(scores: Sequence[float]) -> int:
+    """1 + the place of the first score that is the smallest but for rounding; 1 if there is none."""
+    scores = np.asarray(scores)
+    return 1 + int(np.argmax(scores <= scores.min() + EQUAL_SCORES * abs(scores.min()))) if len(scores) else 1
+
+
 def select_k(c: np.ndarray, most: int = MOST_COMPONENTS) -> int:
     """Number of components by the minimum average partial test on a covariance.
 
     Components are taken out one by one; the average squared partial correlation of what is
-    left is smallest after the right number. A step with a residual variance of 0 or less scores 1.
+    left is smallest after the right number, the least of equal ones (``EQUAL_SCORES``). A step that leaves a sample
+    no variance (``NO_VARIANCE``) scores 1.
     """
     n = len(c)
     values, vectors = np.linalg.eigh(c)
@@ -140,12 +151,12 @@ def select_k(c: np.ndarray, most: int = MOST_COMPONENTS) -> int:
     for e in range(count):
         rest = rest - np.outer(lead[:, e], lead[:, e])
         d = np.diag(rest)
-        if (d <= 0).any() or np.isnan(d).any():
+        if not (d > NO_VARIANCE * np.diag(c)).all():
             scores.append(1.0)
             continue
         r = rest / np.sqrt(np.outer(d, d))
         scores.append(((r**2).sum() - n) / (n * (n - 1)))
-    return max(1, int(np.argmin(scores)) + 1)
+    return _first_smallest(scores)
 
 
 def select_components(strips: DataFrame, samples: int, most: int = MOST_COMPONENTS) -> int:
@@ -177,7 +188,7 @@ def select_components(strips: DataFrame, samples: int, most: int = MOST_COMPONEN
     vectors, values = lanczos(product, samples, count, residual=LOOSE)
     lead = vectors * np.sqrt(np.maximum(values, 0.0))
     left = diagonal[:, None] - np.cumsum(lead**2, axis=1)  # diagonals after each component
-    usable = (left > 0).all(axis=0)
+    usable = (left > NO_VARIANCE * diagonal[:, None]).all(axis=0)
     with np.errstate(divide="ignore", invalid="ignore"):
         inverse = np.where(usable, 1.0 / left, 0.0)
 
@@ -195,7 +206,7 @@ def select_components(strips: DataFrame, samples: int, most: int = MOST_COMPONEN
     for e, x in rows:
         sums[e] = x
     scores = np.where(usable, (sums - samples) / (samples * (samples - 1)), 1.0)
-    return max(1, int(np.argmin(scores)) + 1)
+    return _first_smallest(scores)
 
 
 def choose_components(panel: DataFrame, direct: int = DIRECT, tile: int = TILE) -> int:

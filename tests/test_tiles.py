@@ -103,6 +103,26 @@ def test_residual_variance_of_zero(spark):
     assert pca.select_components(strips, 5) == pca.select_k(c)
 
 
+def test_rounding_chooses_nothing(spark):
+    """Covariances of few dimensions: with one left the score is exactly 1, with none it is 1 by definition, whatever rounding says."""
+    rng = np.random.default_rng(4)
+    for rank, samples in ((1, 5), (2, 5), (2, 30), (3, 12), (3, 40), (4, 25)):
+        x = rng.normal(size=(rank, samples)) * 2.0 ** -np.arange(rank)[:, None]
+        c = x.T @ x
+        values, vectors = np.linalg.eigh(c)
+        scores = []
+        for e in range(1, rank - 1):
+            rest = c - (vectors[:, -e:] * values[-e:]) @ vectors[:, -e:].T
+            d = np.diag(rest)
+            scores.append(((rest**2 / np.outer(d, d)).sum() - samples) / (samples * (samples - 1)))
+        want = int(np.argmin([*scores, 1.0])) + 1
+        rows = [(i, j, c[i, j : j + 8].tolist(), 1) for i in range(samples) for j in range(0, samples, 8)]
+        strips = spark.createDataFrame(rows, passes.STRIP)
+        assert (pca.select_k(c), pca.select_components(strips, samples)) == (want, want)
+    found = [pca._first_smallest(x) for x in ([0.5, 0.2, 0.2 * (1 - 1e-13), 0.2], [0.2, 0.2 - 1e-8], [0.1, -1e-17, 0.1])]
+    assert found == [2, 2, 2]
+
+
 def test_unsettled_vectors_are_reported(monkeypatch):
     monkeypatch.setattr(pca, "MOST_PASSES", 1)
     c = np.diag(np.linspace(1, 2, 60))
