@@ -85,12 +85,19 @@ def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return text.scan_beagle(spark, a.beagle, sites, samples, check=True)
 
 
-def write_site_inbreeding(panel: DataFrame, out: str, prefix: str = "", tol: float = 1e-5, rounds: int = 500) -> int:
+def write_site_inbreeding(
+    panel: DataFrame,
+    out: str,
+    prefix: str = "",
+    tol: float = 1e-5,
+    rounds: int = 500,
+    digits: tuple[int, int] = (sinks.DIGITS, sinks.DIGITS),
+) -> int:
     """Inbreeding and likelihood ratio of each site of a panel with pi, below ``out``; the rounds that it took."""
     per = inbreeding.per_site(panel, tol, rounds)
     tested = inbreeding.likelihood_ratios(per.panel).persist(StorageLevel.MEMORY_AND_DISK)
-    sinks.write_site_vector(tested, "inbreed", f"{out}/{prefix}inbreed.sites")
-    sinks.write_site_vector(tested, "lrt", f"{out}/{prefix}lrt.sites")
+    sinks.write_site_vector(tested, "inbreed", f"{out}/{prefix}inbreed.sites", digits=digits[0])
+    sinks.write_site_vector(tested, "lrt", f"{out}/{prefix}lrt.sites", digits=digits[1])
     tested.unpersist()
     per.release()
     return per.rounds
