@@ -83,25 +83,32 @@ def write_beagle(panel: DataFrame, path: str, block_gzip: bool = False) -> None:
         both.write.text(path)
 
 
-def write_npy(panel: DataFrame, column: str, path: str, kind: str = "<f4") -> None:
+def write_npy(panel: DataFrame, column: str, path: str, kind: str = "<f4") -> DataFrame:
     """A column, numbers or arrays over samples, as one .npy file with the sites in order; all tasks write to it.
 
-    ``kind`` is the type of the numbers in NumPy's notation.
+    ``kind`` is the type of the numbers in NumPy's notation. ``panel`` is worked out once. Returns (site_idx, pos): each site's row.
     """
     refuse(path)
-    first = panel.select(column).first()
+    places = dense_positions(panel.select("site_idx", column))
+    first, sites = places.select(column).first(), places.count()
     flat = first is None or not isinstance(first[0], list)
-    shape = (panel.count(),) if flat else (panel.count(), len(first[0]))
+    shape = (sites,) if flat else (sites, len(first[0]))
     header, width = npy_header(shape, kind), np.dtype(kind).itemsize * (1 if flat else shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             values = np.ascontiguousarray(to_numpy(batch.column(1)).astype(kind))
-            at = pa.array(len(header) + width * batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([at, pa.array([v.tobytes() for v in values], pa.binary())], ["at", "data"])
+            pos = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pos) != 1) + 1), len(pos)]  # rows that follow each other are written at once
+            at = pa.array([len(header) + width * int(pos[i]) for i in cuts[:-1]], pa.int64())
+            data = pa.array([values[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([at, data], ["at", "data"])
 
-    places = dense_positions(panel.select("site_idx", column)).select("pos", column)
-    write_ranges(places.mapInArrow(run, "at long, data binary"), path, len(header) + width * shape[0], header)
+    ranges = places.select("pos", column).mapInArrow(run, "at long, data binary")
+    write_ranges(ranges, path, len(header) + width * shape[0], header)
+    return places.select("site_idx", "pos")
 
 
 def write_plink(rows: DataFrame, samples: int, prefix: str) -> None:
@@ -113,7 +120,7 @@ def write_plink(rows: DataFrame, samples: int, prefix: str) -> None:
     )
     places = dense_positions(rows.select("site_idx", "codes"))
     ranges = places.select((F.col("pos") * width + len(BED_HEADER)).alias("at"), fits.alias("data"))
-    write_ranges(ranges, f"{prefix}.bed", len(BED_HEADER) + width * rows.count(), BED_HEADER)
+    write_ranges(ranges, f"{prefix}.bed", len(BED_HEADER) + width * places.count(), BED_HEADER)
     with open(mounted(f"{prefix}.fam"), "x") as f:  # one line per sample
         f.writelines(f"{i} {i} 0 0 0 -9\n" for i in range(samples))
 

@@ -302,27 +302,25 @@ def attach_vector(panel: DataFrame, vector: DataFrame, name: str = "lrt") -> Dat
 def dense_positions(panel: DataFrame) -> DataFrame:
     """``panel`` with ``pos``, the rank of the site from 0.
 
-    Range-partitioned counts, not a window over one partition: sites are sorted into ranges
-    and each range starts after the counts of those before it.
+    ``panel`` is worked out once and written to the shared folder, then sorted into ranges of sites, a file each; the rows of a
+    file are numbered by Parquet, and each file starts after the counts of those before it (one row per file on the driver).
     """
-    ranged = panel.repartitionByRange("site_idx").sortWithinPartitions("site_idx")
-    ids = ranged.withColumn("__nth", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
-    counts = ids.groupBy("__part").agg(F.count("*").alias("n"), F.min("__nth").alias("first"), F.min("site_idx").alias("s"))
+    spark, kept, ordered = panel.sparkSession, shared_path(panel.sparkSession, "sites"), shared_path(panel.sparkSession, "ordered")
+    panel.write.parquet(kept)
+    once = spark.read.schema(panel.schema).parquet(kept)  # setting the ranges reads it twice
+    once.repartitionByRange("site_idx").sortWithinPartitions("site_idx").write.parquet(ordered)
+    rows = spark.read.schema(panel.schema).parquet(ordered)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__nth"))
+    counts = placed.groupBy("__file").agg(F.count("*").alias("n"), F.min("site_idx").alias("s"))
     table, total = [], 0
     for r in sorted(counts.collect(), key=lambda r: r["s"]):
-        table.append((r["s"], r["n"], total))
+        table.append((r["__file"], total))
         total += r["n"]
     if not table:
-        return panel.withColumn("pos", F.lit(0).cast("long"))
-    starts = F.array(*(F.lit(s) for s, _, _ in table))
-    bases = F.array(*(F.lit(b) for _, _, b in table))
-    # the range of a site is the last one that starts at or before it
-    k = F.size(F.filter(starts, lambda s: s <= F.col("site_idx")))
-    from pyspark.sql import Window
-
-    within = F.row_number().over(Window.partitionBy("__k").orderBy("site_idx")) - 1
-    out = panel.withColumn("__k", k).withColumn("pos", (F.element_at(bases, F.col("__k")) + within).cast("long"))
-    return out.drop("__k")
+        return rows.withColumn("pos", F.lit(0).cast("long"))
+    bases = spark.createDataFrame(table, "__file string, __base long")
+    out = placed.join(F.broadcast(bases), "__file")
+    return out.select(*panel.columns, (F.col("__base") + F.col("__nth")).alias("pos"))
 
 
 def load_names(spark: SparkSession, path: str | None, samples: int) -> DataFrame:

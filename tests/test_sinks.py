@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparsegeno.jobs import run
 from sparsegeno.jobs.queries import QUERIES
 from sparsegeno.operators.fixed_point import Fit
+from sparsegeno.sources import files, sinks
 
 
 def test_null_model_is_rounded_once(spark, sf_dir, monkeypatch):
@@ -16,3 +18,28 @@ def test_null_model_is_rounded_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(run.inbreeding, "likelihood_ratios", lambda panel: panel.withColumn("lrt", F.lit(found["lrt"])))
     rows = QUERIES["sink_null_model"](spark, sf_dir).select("f", "t").distinct().collect()
     assert [tuple(r) for r in rows] == [(-0.1234, 1.234)]
+
+
+def counted(spark, sites: int, column: str):
+    """A panel that counts how often each of its sites is worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(sites).select((F.col("id") * 7 % 1009 * 1000).alias("site_idx"), F.array(F.col("id") / 7.0, F.lit(0.5)).alias(column))
+    return rows.mapInArrow(run, f"site_idx long, {column} array<double>"), seen
+
+
+def test_npy_works_its_panel_out_once(spark, tmp_path):
+    panel, seen = counted(spark, 1009, "e")
+    places = sinks.write_npy(panel, "e", f"{tmp_path}/e.npy", "<f8")
+    back = files.read_npy_at(places, f"{tmp_path}/e.npy").collect()
+    assert seen.value == 1009
+    want = {i * 7 % 1009 * 1000: [i / 7.0, 0.5] for i in range(1009)}
+    assert {r["site_idx"]: r["values"] for r in back} == want and len(back) == 1009
+    whole = np.load(f"{tmp_path}/e.npy")
+    assert whole.tolist() == [want[s] for s in sorted(want)]
+    assert [r["pos"] for r in places.orderBy("site_idx").collect()] == list(range(1009))
