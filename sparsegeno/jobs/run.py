@@ -190,16 +190,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         write_tree(between, names, a.out)
     if a.admix:
         k = a.admix_K or components + 1
-
-        def fitted(alphas: list[float]) -> list[admixture.Admixture]:
-            return admixture.admix_many(
-                panel, samples, k, alphas, a.admix_tole, a.admix_iter, a.admix_batch, a.admix_seed
-            )
-
-        if a.admix_auto is not None:
-            alpha, found = admixture.alpha_search(fitted, a.admix_auto, a.admix_depth)
-        else:
-            alpha, found = a.admix_alpha, fitted([a.admix_alpha])[0]
+        fitting = admixture.fits_over(panel, samples, k, a.admix_tole, a.admix_iter, a.admix_batch, a.admix_seed)
+        with fitting as fits:
+            if a.admix_auto is not None:
+                alpha, found = admixture.alpha_search(fits, a.admix_auto, a.admix_depth)
+            else:
+                alpha, found = a.admix_alpha, fits([a.admix_alpha])[0]
         q = [(i, j, float(found.q[i, j])) for i in range(samples) for j in range(k)]
         sinks.write_cells(spark.createDataFrame(q, "i int, j int, v double"), path(f"admix.{k}.Q"))
         sinks.write_site_matrix(found.panel, "anc", path(f"admix.{k}.P"))

@@ -3,17 +3,22 @@
 Ancestral frequencies (``anc``, k per site) belong to sites, the proportions Q (samples by k) to all tasks.
 Sites are dealt to batches by a hash; batch by batch ``anc`` and then Q take multiplicative
 steps, and the steps of both stop on norms over the whole batch. Sites stay in the tasks of a barrier stage
-for many rounds: each task steps its own sites, and norms and what Q needs are summed over tasks, so
-that a round needs no job. Fits with different regularisations run side by side over the same sites.
+for many rounds: each task steps its own sites, and norms and what Q needs are summed over tasks, mostly at once, so
+that a round needs no job. Fits with different regularisations run side by side over the same sites, which are dealt to tasks
+once for all of them.
 """
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +27,10 @@ from ..functions.passes import Columns, collect_matrix, shared_path, site_sums,
 from .covariance import ARRAY
 
 LOW = 1e-4
-#: Steps of ``anc`` whose norms are summed over tasks at once.
+#: Steps of ``anc`` whose norms are summed over tasks at once, when nothing is known from the round before.
 TRIED = 8
-#: Rounds after which the state is written, so that a lost executor costs no more than these.
-ROUNDS_PER_STAGE = 50
+#: The state is written after so many rounds, or a multiple once so many seconds have passed: a lost executor costs no more.
+ROUNDS_PER_STAGE, SECONDS_PER_STAGE = 50, 120
 
 
 def _clamp(x: np.ndarray) -> np.ndarray:
@@ -114,69 +119,109 @@ class Admixture:
 
 
 class _Fit:
-    """One regularisation's state in one task: Q, and ``anc`` of the task's sites by batch."""
+    """One regularisation's state in one task: Q, and by batch ``anc`` of the task's sites (components by sites) and the steps it took last."""
 
     def __init__(self, alpha: float, q: np.ndarray, anc: list[np.ndarray], rounds: int, done: bool):
         self.alpha, self.q, self.anc, self.rounds, self.done = alpha, q, anc, rounds, done
+        self.steps = [TRIED] * len(anc)
 
 
-def _anc_steps(fits: list[_Fit], b: int, x: np.ndarray, most: int, sums: Sums) -> None:
-    """Steps of ``anc`` of batch b until one is at most a tenth of the first: some are tried, and their norms summed."""
+def _tried(anc: np.ndarray, a: np.ndarray, gram: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """n steps of ``anc`` (components by sites), and the square norm of each."""
+    steps, norms = [], np.zeros(n)
+    for t in range(n):
+        new = anc * a
+        new /= gram @ anc
+        np.maximum(new, LOW, out=new)
+        np.minimum(new, 1.0 - LOW, out=new)
+        far = (new - anc).ravel()
+        norms[t] = far @ far
+        anc = new
+        steps.append(new)
+    return steps, norms
+
+
+def _anc_steps(fits: list[_Fit], b: int, x: np.ndarray, most: int, sums: Sums) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Steps of ``anc`` of batch b until one is at most a tenth of the first; F'X and F'F over all tasks for each fit.
+
+    As many steps are tried as the fit took in the round before, and one more. With their norms goes what Q needs if it takes
+    as many again, so that one sum is enough when it does.
+    """
     grams = [fit.q.T @ fit.q for fit in fits]
     split = np.cumsum([fit.q.shape[1] for fit in fits])[:-1]
-    a = np.split(x @ np.hstack([fit.q for fit in fits]), split, axis=1)  # one product for all fits
-    first: list[float | None] = [None] * len(fits)
-    left, taken = list(range(len(fits))), 0
-    while left and taken < most:
-        n = min(TRIED, most - taken)
-        steps, norms = {}, np.zeros((len(fits), n))
+    a = np.split(np.ascontiguousarray((x @ np.hstack([fit.q for fit in fits])).T), split)  # one product for all fits
+    first: dict[int, float] = {}
+    found: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
+    left, taken = list(range(len(fits))), [0] * len(fits)
+    guess = [min(fit.steps[b], most) for fit in fits]
+    tried = [min(n + 1, most) for n in guess]
+    while left:
+        steps, parts = {}, []
         for i in left:
-            anc, steps[i] = fits[i].anc[b], []
-            for t in range(n):
-                new = anc_step(anc, a[i], grams[i])
-                norms[i, t] = ((new - anc) ** 2).sum()
-                anc = new
-                steps[i].append(new)
-        norms = np.sqrt(sums(norms)[0])
-        taken += n
+            steps[i], norms = _tried(fits[i].anc[b], a[i], grams[i], tried[i])
+            anc = steps[i][guess[i] - 1]
+            parts += [norms, anc @ x, anc @ anc.T]
+        got = iter(sums(*parts))
         for i in list(left):
-            first[i] = norms[i, 0] if first[i] is None else first[i]
-            small = np.flatnonzero(norms[i] <= 0.1 * first[i])
-            fits[i].anc[b] = steps[i][small[0] if len(small) else -1]
-            if len(small):
+            norms, fx, ff = np.sqrt(next(got)), next(got), next(got)
+            first.setdefault(i, norms[0])
+            small = np.flatnonzero(norms <= 0.1 * first[i])
+            n = small[0] + 1 if len(small) else len(norms)
+            fits[i].anc[b] = steps[i][n - 1]
+            if len(small) or taken[i] + n == most:
                 left.remove(i)
+                fits[i].steps[b] = int(taken[i] + n)
+                found[i] = (fx, ff) if n == guess[i] else None
+            taken[i] += n
+            guess[i] = tried[i] = min(TRIED, most - taken[i])
+    if late := [i for i in sorted(found) if found[i] is None]:
+        got = iter(sums(*(p for i in late for p in (fits[i].anc[b] @ x, fits[i].anc[b] @ fits[i].anc[b].T))))
+        found |= {i: (next(got), next(got)) for i in late}
+    return [found[i] for i in range(len(fits))]
 
 
 def _q_steps(fit: _Fit, xf: np.ndarray, ff: np.ndarray, most: int) -> None:
-    first = None
+    """``q_step`` until a step is at most a tenth of the first; every task takes them, and there are many, so few calls are made."""
+    q, first = fit.q, None
     for _ in range(most):
-        new = q_step(fit.q, xf, ff, fit.alpha)
-        norm = float(np.linalg.norm(new - fit.q))
-        fit.q = new
+        below = q @ ff
+        below += fit.alpha
+        new = q * xf
+        new /= below
+        np.maximum(new, LOW, out=new)
+        np.minimum(new, 1.0 - LOW, out=new)
+        new /= np.add.reduce(new, axis=1, keepdims=True)
+        far = (new - q).ravel()
+        norm = math.sqrt(far @ far)
+        q = new
         first = norm if first is None else first
         if norm <= 0.1 * first:
             break
+    fit.q = q
 
 
-def _rounds(fits: list[_Fit], xs: list[np.ndarray], sizes: np.ndarray, until: int, tol: float, sums: Sums) -> None:
-    """Rounds over the batches for every fit that isn't done; the same in all tasks but for their sites."""
+def _rounds(fits: list[_Fit], xs: list[np.ndarray], sizes: np.ndarray, most: int, stage: tuple[int, float], tol: float, sums: Sums) -> None:
+    """Rounds over the batches for every fit that isn't done, up to the end of the ``stage``; the same in all tasks but for their sites."""
+    began = time.monotonic()
     if not sizes.any():
         for fit in fits:
             fit.done = True
-    while active := [fit for fit in fits if not fit.done and fit.rounds < until]:
+    while active := [fit for fit in fits if not fit.done and fit.rounds < most]:
         before = [fit.q for fit in active]
         samples, k = before[0].shape
         for b, m in enumerate(int(x) for x in sizes):
             if not m:
                 continue
-            _anc_steps(active, b, xs[b], 2 * (1 + (samples * m + samples * k) // (m * k + m)), sums)
-            parts = [p for fit in active for p in (xs[b].T @ fit.anc[b], fit.anc[b].T @ fit.anc[b])]
-            found = sums(*parts)
-            for i, fit in enumerate(active):
-                _q_steps(fit, found[2 * i], found[2 * i + 1], 2 * (1 + (samples * m + m * k) // (samples * k + samples)))
+            found = _anc_steps(active, b, xs[b], 2 * (1 + (samples * m + samples * k) // (m * k + m)), sums)
+            for fit, (fx, ff) in zip(active, found, strict=True):
+                _q_steps(fit, fx.T, ff, 2 * (1 + (samples * m + m * k) // (samples * k + samples)))
         for fit, q in zip(active, before, strict=True):
             fit.rounds += 1
             fit.done = float(np.sqrt(((fit.q - q) ** 2).mean())) < tol
+        if active[0].rounds % stage[0] == 0:
+            (late,) = sums(np.array([float(sums.rank == 0 and time.monotonic() - began >= stage[1])]))
+            if late[0]:  # by the first task's clock, for all
+                break
 
 
 def _fit_quality(c: Columns, anc: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -186,101 +231,137 @@ def _fit_quality(c: Columns, anc: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([likely, ((x - c["pi"]) ** 2).sum()])
 
 
-#: What a stage reads and writes, and the row without site that holds each fit's Q, rounds, end and quality.
-STAGE = ("l0", "l1", "pi", "anc")
-SCHEMA = f"site_idx long, {', '.join(f'{c} {ARRAY}' for c in STAGE)}, state {ARRAY}"
+CELL_COLUMNS = ("l0", "l1", "pi")
+#: What a stage writes: ``anc`` of all fits, and in the row without site each fit's Q, rounds, end and quality.
+SCHEMA = f"site_idx long, anc {ARRAY}, state {ARRAY}"
 
 
-def _stage(rows: DataFrame, states: list[tuple], batches: int, until: int, tol: float) -> DataFrame:
-    """``rows`` (site_idx, columns of ``STAGE``, batch) with ``anc`` of all fits stepped until done or ``until`` rounds."""
+def _stage(rows: DataFrame, states: list[tuple], batches: int, most: int, stage: tuple[int, float], tol: float, seed: int) -> DataFrame:
+    """``anc`` of all fits over ``rows`` (site_idx, l0, l1, pi, batch, and anc if it isn't to be drawn) at the end of a stage."""
     samples, k = states[0][1].shape
-    floats = pa.list_(pa.float64())
+    names, drawn = rows.columns, "anc" not in rows.columns
 
-    def batch_of(sites: pa.Array, columns: list[pa.Array], state: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([sites, *columns, state], ["site_idx", *STAGE, "state"])
+    def batch_of(sites: pa.Array, anc: pa.Array, state: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([sites, anc, state], ["site_idx", "anc", "state"])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = {"batch": np.zeros(0, np.int32), "site_idx": np.zeros(0, np.int64)}
-        cols |= {c: np.zeros((0, samples)) for c in ("l0", "l1", "pi")} | {"anc": np.zeros((0, k * len(states)))}
-        held = [b for b in incoming if b.num_rows]
-        if held:
-            own = pa.Table.from_batches(held).sort_by([("batch", "ascending"), ("site_idx", "ascending")]).combine_chunks()
-            cols = {n: to_numpy(own.column(n).chunk(0)) for n in cols}
-            del held, own
-        cuts = np.searchsorted(cols["batch"], np.arange(batches + 1))
+        held: dict[str, list[np.ndarray]] = {n: [] for n in names}
+        for came in incoming:
+            if came.num_rows:
+                for n, c in zip(names, came.columns, strict=True):
+                    held[n].append(np.array(to_numpy(c)))  # a copy: Arrow's batch can go
+
+        def taken(name: str, empty: np.ndarray) -> np.ndarray:
+            parts = held.pop(name)
+            return np.concatenate(parts) if parts else empty
+
+        site, batch = taken("site_idx", np.zeros(0, np.int64)), taken("batch", np.zeros(0, np.int32))
+        order = np.lexsort((site, batch))
+        site, batch = site[order], batch[order]
+        cols = {c: taken(c, np.zeros((0, samples)))[order] for c in CELL_COLUMNS}
+        if drawn:
+            anc = np.tile(_clamp(_uniform(site, k, seed)), len(states))
+        else:
+            anc = taken("anc", np.zeros((0, k * len(states))))[order]
+        cuts = np.searchsorted(batch, np.arange(batches + 1))
         parts = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         xs = [cols["pi"][x] for x in parts]
         fits = [
-            _Fit(alpha, q, [cols["anc"][x, n * k : (n + 1) * k] for x in parts], rounds, done)
+            _Fit(alpha, q, [np.ascontiguousarray(anc[x, n * k : (n + 1) * k].T) for x in parts], rounds, done)
             for n, (alpha, q, rounds, done) in enumerate(states)
         ]
+        del anc
         with Sums() as sums:
             (sizes,) = sums(np.diff(cuts))
-            _rounds(fits, xs, sizes, until, tol, sums)
-            anc = np.hstack([np.concatenate(fit.anc) for fit in fits])
+            _rounds(fits, xs, sizes, most, stage, tol, sums)
+            anc = np.hstack([np.concatenate(fit.anc, axis=1).T for fit in fits])
             quality = np.zeros((len(fits), 2))
             for i in range(0, len(anc), 2048):
-                part = {n: cols[n][i : i + 2048] for n in ("l0", "l1", "pi")}
+                part = {n: cols[n][i : i + 2048] for n in CELL_COLUMNS}
                 for n, fit in enumerate(fits):
                     quality[n] += _fit_quality(part, anc[i : i + 2048, n * k : (n + 1) * k], fit.q)
             (quality,) = sums(quality)
             rank = sums.rank
-        cols["anc"] = anc
         for i in range(0, len(anc), 2048):
-            sites = pa.array(cols["site_idx"][i : i + 2048])
-            yield batch_of(sites, [to_arrow(cols[c][i : i + 2048]) for c in STAGE], pa.nulls(len(sites), floats))
+            sites = pa.array(site[i : i + 2048])
+            yield batch_of(sites, to_arrow(anc[i : i + 2048]), pa.nulls(len(sites), pa.list_(pa.float64())))
         if rank == 0:
             state = [np.array([*fit.q.ravel(), fit.rounds, fit.done, *x], np.float64) for fit, x in zip(fits, quality, strict=True)]
-            nothing = [pa.nulls(1, floats) for _ in STAGE]
-            yield batch_of(pa.nulls(1, pa.int64()), nothing, to_arrow(np.concatenate(state)[None, :]))
+            yield batch_of(pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), to_arrow(np.concatenate(state)[None, :]))
 
     return rows.mapInArrow(run, SCHEMA, barrier=True)
 
 
-def admix_many(
+@contextmanager
+def fits_over(
     panel: DataFrame,
     samples: int,
     k: int,
-    alphas: Sequence[float],
     tol: float = 1e-5,
     most_rounds: int = 500,
     batches: int = 10,
     seed: int = 0,
     rounds_per_stage: int = ROUNDS_PER_STAGE,
     tasks: int | None = None,
-) -> list[Admixture]:
-    """A fit for each alpha of pi of a panel (site_idx, l0, l1, pi), all over the same sites in the same tasks.
+    seconds_per_stage: float = SECONDS_PER_STAGE,
+) -> Iterator[Callable[[Sequence[float]], list[Admixture]]]:
+    """A function that fits each of some alphas to pi of a panel (site_idx, l0, l1, pi), side by side.
 
-    Every task keeps its sites in memory, 24 bytes a cell; there are ``tasks`` of them, by default as many as
-    can run now. Empty batches are left out. The state is written to the shared folder every
-    ``rounds_per_stage`` rounds, from where the next stage goes on.
+    The panel is worked out and dealt to tasks once, and stays with the executors for all calls. Every task of a
+    call holds its sites in memory, 24 bytes a cell; there are ``tasks`` of them, by default as many as can run at the first call.
+    Empty batches are left out. The state is written to the shared folder as ``ROUNDS_PER_STAGE`` says, from where the next stage goes on.
     """
     spark = panel.sparkSession
-    drawn, q = initial(panel, samples, k, seed)
+    cells = panel.select("site_idx", *(F.col(c).cast(ARRAY).alias(c) for c in CELL_COLUMNS))
     # a batch is a range of hashes: about equal in size whatever the site numbers are
     batch = F.pmod(F.xxhash64("site_idx", F.lit(seed)), F.lit(batches)).cast("int").alias("batch")
-    anc = F.flatten(F.array_repeat("anc", len(alphas))).alias("anc")
-    rows = drawn.select("site_idx", *(F.col(c).cast(ARRAY).alias(c) for c in ("l0", "l1", "pi")), anc)
-    states, until = [(alpha, q, 0, False) for alpha in alphas], 0
-    while True:
-        until = min(until + rounds_per_stage, most_rounds)
-        dealt = rows.select("site_idx", *STAGE, batch).repartition(tasks or slots(spark), "site_idx")
-        path = shared_path(spark, "admix")
-        _stage(dealt, states, batches, until, tol).write.parquet(path)
-        done = spark.read.schema(SCHEMA).parquet(path)
-        state = np.array(done.where("site_idx IS NULL").first()["state"]).reshape(len(alphas), -1)
-        rows = done.where("site_idx IS NOT NULL").select("site_idx", *STAGE)
-        states = [(a, x[:-4].reshape(samples, k), int(x[-4]), bool(x[-3])) for a, x in zip(alphas, state, strict=True)]
-        if until >= most_rounds or all(x[-1] for x in states):
-            break
-    return [
-        Admixture(q, rows.withColumn("anc", F.slice("anc", n * k + 1, k)), float(x[-2]), float(np.sqrt(x[-1])), rounds, end)
-        for n, ((_, q, rounds, end), x) in enumerate(zip(states, state, strict=True))
-    ]
+    _, start = initial(panel, samples, k, seed)
+    held: list[tuple[int, DataFrame]] = []
+
+    def dealt() -> tuple[int, DataFrame]:
+        most = tasks or slots(spark)
+        if held and held[0][0] > most:  # fewer tasks can run than before
+            held.pop()[1].unpersist()
+        if not held:
+            rows = cells.select("*", batch).repartition(most, "site_idx")
+            held.append((most, rows.persist(StorageLevel.MEMORY_AND_DISK)))
+        return held[0]
+
+    def fits(alphas: Sequence[float]) -> list[Admixture]:
+        states, done = [(alpha, start, 0, False) for alpha in alphas], None
+        while True:
+            n, rows = dealt()
+            if done is not None:
+                rows = rows.join(done.repartition(n, "site_idx").hint("merge"), "site_idx")
+            path = shared_path(spark, "admix")
+            _stage(rows, states, batches, most_rounds, (rounds_per_stage, seconds_per_stage), tol, seed).write.parquet(path)
+            wrote = spark.read.schema(SCHEMA).parquet(path)
+            state = np.array(wrote.where("site_idx IS NULL").first()["state"]).reshape(len(alphas), -1)
+            done = wrote.where("site_idx IS NOT NULL").select("site_idx", "anc")
+            states = [(a, x[:-4].reshape(samples, k), int(x[-4]), bool(x[-3])) for a, x in zip(alphas, state, strict=True)]
+            if all(end or rounds >= most_rounds for _, _, rounds, end in states):
+                break
+        both = cells.join(done, "site_idx")
+        return [
+            Admixture(q, both.withColumn("anc", F.slice("anc", n * k + 1, k)), float(x[-2]), float(np.sqrt(x[-1])), rounds, end)
+            for n, ((_, q, rounds, end), x) in enumerate(zip(states, state, strict=True))
+        ]
+
+    try:
+        yield fits
+    finally:
+        for _, rows in held:
+            rows.unpersist()
+
+
+def admix_many(panel: DataFrame, samples: int, k: int, alphas: Sequence[float], *settings, **options) -> list[Admixture]:
+    """A fit for each alpha; settings and options as in ``fits_over``."""
+    with fits_over(panel, samples, k, *settings, **options) as fits:
+        return fits(alphas)
 
 
 def admix(panel: DataFrame, samples: int, k: int, alpha: float = 0.0, **options) -> Admixture:
-    """Factorise pi of a panel (site_idx, l0, l1, pi); options as in ``admix_many``."""
+    """Factorise pi of a panel (site_idx, l0, l1, pi); options as in ``fits_over``."""
     return admix_many(panel, samples, k, [alpha], **options)[0]
 
 
