@@ -52,3 +52,13 @@ def test_grouped_panel_deals_reads_out_once(spark, sf_dir):
     by_site = [x for x in plan.split("\n") if "Exchange hashpartitioning(site_idx" in x]
     assert len(by_site) == 1 and "sample_idx" not in by_site[0].split("]")[0].split("hashpartitioning")[1].split(")")[0]
     assert plan.count("lineitem.parquet") <= 1 and panel.count() == 200
+
+
+def test_npy_takes_few_jobs(spark, sf_dir):
+    """What the driver keeps grows with jobs and plans; ranking sites twice over a panel worked out anew took several times as many."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("npy", "")
+    rows = QUERIES["sink_pi_npy"](spark, sf_dir).collect()
+    jobs = len(tracker.getJobIdsForGroup("npy"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows) == 200 * 25 and jobs < 40
