@@ -126,48 +126,71 @@ class _Fit:
         self.steps = [TRIED] * len(anc)
 
 
-def _tried(anc: np.ndarray, a: np.ndarray, gram: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+class _Room:
+    """Arrays that are used again: fresh ones of some 100 KB would cost more than what is worked out in them."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def __call__(self, name, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size)
+        return self.held[name][:size].reshape(shape)
+
+
+def _tried(anc: np.ndarray, a: np.ndarray, gram: np.ndarray, n: int, room: _Room, fit: int) -> tuple[list[np.ndarray], np.ndarray]:
     """n steps of ``anc`` (components by sites), and the square norm of each."""
-    steps, norms = [], np.zeros(n)
+    steps, norms, below = [], np.zeros(n), room("below", *anc.shape)
     for t in range(n):
-        new = anc * a
-        new /= gram @ anc
+        new = np.multiply(anc, a, out=room((fit, t), *anc.shape))
+        new /= np.matmul(gram, anc, out=below)
         np.maximum(new, LOW, out=new)
         np.minimum(new, 1.0 - LOW, out=new)
-        far = (new - anc).ravel()
+        far = np.subtract(new, anc, out=below).ravel()
         norms[t] = far @ far
         anc = new
         steps.append(new)
     return steps, norms
 
 
-def _anc_steps(fits: list[_Fit], b: int, x: np.ndarray, most: int, sums: Sums) -> list[tuple[np.ndarray, np.ndarray]]:
+def _anc_steps(fits: list[_Fit], b: int, x: np.ndarray, most: int, sums: Sums, room: _Room) -> list[tuple[np.ndarray, np.ndarray]]:
     """Steps of ``anc`` of batch b until one is at most a tenth of the first; F'X and F'F over all tasks for each fit.
 
     As many steps are tried as the fit took in the round before, and one more. With their norms goes what Q needs if it takes
     as many again, so that one sum is enough when it does.
     """
-    grams = [fit.q.T @ fit.q for fit in fits]
-    split = np.cumsum([fit.q.shape[1] for fit in fits])[:-1]
-    a = np.split(np.ascontiguousarray((x @ np.hstack([fit.q for fit in fits])).T), split)  # one product for all fits
+    grams, k, m = [fit.q.T @ fit.q for fit in fits], fits[0].q.shape[1], len(x)
+    # one product for all fits
+    xq = np.matmul(x, np.hstack([fit.q for fit in fits]), out=room("xq", m, k * len(fits)))
+    a = room("a", len(fits), k, m)
+    np.copyto(a.reshape(len(fits) * k, m), xq.T)
     first: dict[int, float] = {}
     found: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
     left, taken = list(range(len(fits))), [0] * len(fits)
     guess = [min(fit.steps[b], most) for fit in fits]
     tried = [min(n + 1, most) for n in guess]
+
+    def of_q(own: list[np.ndarray]) -> list[np.ndarray]:
+        """F'X and F'F of this task for each, X read once."""
+        kept = room("kept", len(own), k, m)
+        for j, anc in enumerate(own):
+            kept[j] = anc
+        fx = (kept.reshape(len(own) * k, m) @ x).reshape(len(own), k, -1)
+        return [p for j in range(len(own)) for p in (fx[j], kept[j] @ kept[j].T)]
+
     while left:
-        steps, parts = {}, []
+        steps, norms = {}, []
         for i in left:
-            steps[i], norms = _tried(fits[i].anc[b], a[i], grams[i], tried[i])
-            anc = steps[i][guess[i] - 1]
-            parts += [norms, anc @ x, anc @ anc.T]
-        got = iter(sums(*parts))
-        for i in list(left):
-            norms, fx, ff = np.sqrt(next(got)), next(got), next(got)
-            first.setdefault(i, norms[0])
-            small = np.flatnonzero(norms <= 0.1 * first[i])
-            n = small[0] + 1 if len(small) else len(norms)
-            fits[i].anc[b] = steps[i][n - 1]
+            steps[i], found_norms = _tried(fits[i].anc[b], a[i], grams[i], tried[i], room, i)
+            norms.append(found_norms)
+        got = sums(*norms, *of_q([steps[i][guess[i] - 1] for i in left]))
+        for j, i in enumerate(list(left)):
+            norm, fx, ff = np.sqrt(got[j]), *got[len(norms) + 2 * j : len(norms) + 2 * j + 2]
+            first.setdefault(i, norm[0])
+            small = np.flatnonzero(norm <= 0.1 * first[i])
+            n = small[0] + 1 if len(small) else len(norm)
+            np.copyto(fits[i].anc[b], steps[i][n - 1])
             if len(small) or taken[i] + n == most:
                 left.remove(i)
                 fits[i].steps[b] = int(taken[i] + n)
@@ -175,8 +198,8 @@ def _anc_steps(fits: list[_Fit], b: int, x: np.ndarray, most: int, sums: Sums) -
             taken[i] += n
             guess[i] = tried[i] = min(TRIED, most - taken[i])
     if late := [i for i in sorted(found) if found[i] is None]:
-        got = iter(sums(*(p for i in late for p in (fits[i].anc[b] @ x, fits[i].anc[b] @ fits[i].anc[b].T))))
-        found |= {i: (next(got), next(got)) for i in late}
+        got = sums(*of_q([fits[i].anc[b] for i in late]))
+        found |= {i: (got[2 * j], got[2 * j + 1]) for j, i in enumerate(late)}
     return [found[i] for i in range(len(fits))]
 
 
@@ -202,7 +225,7 @@ def _q_steps(fit: _Fit, xf: np.ndarray, ff: np.ndarray, most: int) -> None:
 
 def _rounds(fits: list[_Fit], xs: list[np.ndarray], sizes: np.ndarray, most: int, stage: tuple[int, float], tol: float, sums: Sums) -> None:
     """Rounds over the batches for every fit that isn't done, up to the end of the ``stage``; the same in all tasks but for their sites."""
-    began = time.monotonic()
+    began, room = time.monotonic(), _Room()
     if not sizes.any():
         for fit in fits:
             fit.done = True
@@ -212,7 +235,7 @@ def _rounds(fits: list[_Fit], xs: list[np.ndarray], sizes: np.ndarray, most: int
         for b, m in enumerate(int(x) for x in sizes):
             if not m:
                 continue
-            found = _anc_steps(active, b, xs[b], 2 * (1 + (samples * m + samples * k) // (m * k + m)), sums)
+            found = _anc_steps(active, b, xs[b], 2 * (1 + (samples * m + samples * k) // (m * k + m)), sums, room)
             for fit, (fx, ff) in zip(active, found, strict=True):
                 _q_steps(fit, fx.T, ff, 2 * (1 + (samples * m + m * k) // (samples * k + samples)))
         for fit, q in zip(active, before, strict=True):

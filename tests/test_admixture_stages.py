@@ -63,3 +63,16 @@ def test_a_steady_round_needs_a_sum_per_batch():
 
     admixture._rounds([fit], xs, np.full(4, 50), 200, (1000, 0.0), 0.0, Alone())
     assert fit.rounds == 200 and len(calls) < 1.5 * 200 * len(xs)
+
+
+def test_a_task_without_sites_of_a_batch():
+    """Fewer sites than tasks and batches: sums still have the shapes of the other tasks."""
+    fit = admixture._Fit(0.0, np.full((SAMPLES, 2), 0.5), [np.zeros((2, 0))], 0, False)
+    shapes = []
+
+    def sums(*parts):
+        shapes.extend(np.shape(p) for p in parts)
+        return [np.ones(np.shape(p)) / (1 + np.arange(np.size(p)) * 100.0).reshape(np.shape(p)) for p in parts]
+
+    fx, ff = admixture._anc_steps([fit], 0, np.zeros((0, SAMPLES)), 4, sums, admixture._Room())[0]
+    assert fx.shape == (2, SAMPLES) and ff.shape == (2, 2) and (2, SAMPLES) in shapes
